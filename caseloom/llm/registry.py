@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import chat_format, quality_rules
+from caseloom.llm import chat_format, packing, quality_rules, token_counts, toxicity
 from caseloom.session import table
 
 
@@ -79,5 +79,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {"op5_chat_format": op5_chat_format, "op8_quality_rules": op8_quality_rules}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_chat_format": op5_chat_format,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLES = {"op5_chat_format": OP5_SQL, "op8_quality_rules": OP8_SQL}
