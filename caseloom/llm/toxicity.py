@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 FIT_ROWS = 12_000  # most labelled rows that the model is fitted on
 FIT_CHARS = 20_000_000  # and most characters of their texts
 PREFIXES = (3, 4, 5, 6)
-THRESHOLD = 0.5  # expected severity from which a document is rejected
+THRESHOLD = 0.25  # expected severity from which a document is rejected
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 
 
