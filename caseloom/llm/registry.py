@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import chat_format, decontaminate, html_extract, packing, quality_rules, token_counts, toxicity
+from caseloom.llm import chat_format, decontaminate, html_extract, minhash_near, packing, quality_rules, token_counts, toxicity
 from caseloom.session import table
 
 
@@ -91,6 +91,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -105,6 +109,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_token_counts": op10_token_counts,
