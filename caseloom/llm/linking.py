@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.session import materialize
 
@@ -49,9 +49,14 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     )
 
 
-def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str) -> tuple[DataFrame, DataFrame]:
-    """entries: (key, id), stored or cheap to read twice. verify: keeps of pairs (a, b),
-    a < b, those that are links. Gives (id, component) of linked ids, and the verified links."""
+def linked_groups(
+    entries: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, near: Callable[[Column, Column], Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """entries: (key, id, mark), stored or cheap to read twice. verify: keeps of pairs (a, b),
+    a < b, those that are links. near: of the marks of two rows, a condition that every link
+    meets; where it fails, the second step emits no pair. Gives (id, component) of linked
+    ids, and the verified links."""
+    close = near or (lambda a, b: F.lit(True))
     heads = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
     shared = materialize(entries.join(heads, "key"), f"{label}-shared")
     first = materialize(
@@ -59,12 +64,12 @@ def linked_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     )
     links = materialize(verify(first).select("a", "b"), f"{label}-links")
     found = materialize(components(links, f"{label}-star"), f"{label}-groups")
-    tagged = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    tagged = shared.join(found, "id", "left").select("key", "id", "mark", F.coalesce("component", "id").alias("c"))
     mixed = tagged.groupBy("key").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.min_by("c", "id").alias("lead")).where("__lo < __hi").select("key", "lead")
     left = materialize(tagged.join(mixed, "key"), f"{label}-mixed")
     x, y = left.where("c <> lead").alias("x"), left.alias("y")
     rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.lead")) | (F.col("x.id") < F.col("y.id"))))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & close(F.col("x.mark"), F.col("y.mark")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.lead")) | (F.col("x.id") < F.col("y.id"))))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")

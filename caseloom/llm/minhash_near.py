@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = materialize(
         some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("__last"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "minhash-sets"
     )
-    entries = copies.select("id", F.explode(chunk_keys(F.col("sig"))).alias("key"))
+    entries = copies.select("id", F.col("n").alias("mark"), F.explode(chunk_keys(F.col("sig"))).alias("key"))
     size = copies.select("id", "n", "f1", "f2")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -144,7 +144,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
-    groups, _ = linked_groups(entries, verify, "minhash")
+    def sizes_fit(na: Column, nb: Column) -> Column:
+        return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+
+    groups, _ = linked_groups(entries, verify, "minhash", sizes_fit)
     of_set = copies.where("id < __last").select("f1", "f2", "id").join(groups, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
     alone = copies.where("id = __last").join(groups, "id").select("f1", "f2", F.col("component").alias("c"))
     linked = materialize(of_set.unionByName(alone), "minhash-components")
