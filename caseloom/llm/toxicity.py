@@ -10,9 +10,9 @@ its whole text, in one scan.
 Labels say toxic or not. The grade of a toxic training row is 2 if it has more of the
 chosen features than the median toxic row, else 1.
 
-Features: those whose toxic rate differs from the base rate with a one-sided score of
-at least `min_z`, by the (Laplace-smoothed) log odds; the rest carry no weight. This keeps
-long clean texts at the intercept.
+Features: those whose toxic rate is above the base rate by `min_z` standard scores more
+than chance would give to the best of as many features; the rest carry no weight. This
+keeps long clean texts at the intercept.
 
 Defined results: null or empty text has no features and gets the intercept's severity;
 repeated rows are scored alike; with no labelled rows, or labels of one kind, every
@@ -99,7 +99,7 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, c
             g_t[j] = (d_hi * weight)[grades == j + 1].sum() - (d_lo * weight)[grades == j].sum()
         g_base = g_t.sum()
         g_gaps = np.array([np.exp(gaps[j]) * g_t[j + 1 :].sum() for j in range(classes - 2)])
-        for k, g in enumerate((g_w, 4 * g_base, 4 * g_gaps)):
+        for k, g in enumerate((g_w, 4 * g_base, g_gaps)):
             vel[k] = 0.9 * vel[k] - rate * g
         w, base, gaps = np.maximum(0, w + vel[0]), base + vel[1], np.clip(gaps + vel[2], -5, 5)
     return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
@@ -121,7 +121,7 @@ def without_copies(sets: list[set[str]], hashes: int = 8, same: int = 4) -> list
     return out
 
 
-def fit(sample: list[tuple[str | None, int]], min_z: float = 7.0, most: int = 2000) -> OrdinalModel:
+def fit(sample: list[tuple[str | None, int]], min_z: float = 2.0, most: int = 2000) -> OrdinalModel:
     """sample: (text, toxic). most: of features."""
     sample = sorted(sample, key=lambda r: (r[1], r[0] or ""))
     sets = [features(t) for t, _ in sample]
@@ -134,17 +134,19 @@ def fit(sample: list[tuple[str | None, int]], min_z: float = 7.0, most: int = 20
     pos = Counter(f for s, t in zip(sets, toxic, strict=True) if t for f in s)
     all_ = Counter(f for s in sets for f in s if f in pos)
     rate = n_pos / n
+    least = min_z + math.sqrt(2 * math.log(len(all_)))  # the most that chance gives among so many
     scored = []
     for f, c in pos.items():
         m = all_[f]
         z = (c - m * rate) / math.sqrt(m * rate * (1 - rate))
-        if z >= min_z and c / m >= 0.6:
+        if z >= least and c / m >= 0.6:
             scored.append((-z, f))
     chosen = {f: k for k, (_, f) in enumerate(sorted(scored)[:most])}
     rows = [sorted(chosen[f] for f in s if f in chosen) for s in sets]
     found = np.array([len(r) for r in rows])
     grades = np.where(toxic == 1, np.where(found > np.median(found[toxic == 1]), 2, 1), 0)
     w, thetas = fit_cumulative_link(rows, grades, len(chosen))
+    thetas = thetas + max(0.0, math.log((n - n_pos) / n_pos))  # from grades that weigh alike back to the sample's rates
     return OrdinalModel({f: float(w[k]) for f, k in chosen.items()}, tuple(float(t) for t in thetas))
 
 
