@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from caseloom.functions import extract as X, text as T
+from caseloom.operators import deadlines, flows, language, relational as R, retrieval
 from caseloom.session import table
 
 QUERIES: dict = {}
@@ -38,3 +40,595 @@ def monthly_order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.max("o_totalprice"), 2).alias("largest"),
         )
     )
+
+
+# SQL fragments, so that the two sides state the same rule.
+_ACC, _PLAIN = T.ACCENTED, T.PLAIN
+_FOLD = f"translate(lower({{}}), '{_ACC}', '{_PLAIN}')"
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_TOKENS = f"list_filter(regexp_split_to_array({_FOLD}, '[^a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOP}))"
+_ROUND = "CAST(floor({} + 0.5) AS INTEGER)"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+@query(
+    "text_statistics",
+    r"""SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_words,
+          len(list_filter(regexp_split_to_array(text, '\n'), lambda p: trim(p) <> '')) AS paragraphs,
+          greatest(1, CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) / 220.0 + 0.5) AS INTEGER)) AS minutes,
+          CAST(ceil(length(text) / 3.2) AS BIGINT) + 8 AS token_estimate
+        FROM documents""",
+)
+def text_statistics(spark, sf_dir):
+    """Characters, words, paragraphs, reading time and a token estimate of each document."""
+    t = F.col("text")
+    n = F.size(T.words(t))
+    return _docs(spark, sf_dir).select(
+        "doc_id",
+        F.length(t).alias("chars"),
+        n.alias("n_words"),
+        F.size(F.filter(F.split(t, "\n"), lambda p: F.trim(p) != "")).alias("paragraphs"),
+        F.greatest(F.lit(1), F.floor(n / 220.0 + 0.5).cast("int")).alias("minutes"),
+        T.token_estimate(t).alias("token_estimate"),
+    )
+
+
+@query(
+    "normalised_keys",
+    rf"""SELECT item_id, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS match_key,
+           {_FOLD.format('text')} AS folded,
+           CASE WHEN length(f) <= 60 THEN f ELSE rtrim(substring(f, 1, 59)) || '…' END AS short
+         FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM benchmark)""",
+)
+def normalised_keys(spark, sf_dir):
+    """Match key, accent fold and truncation of each benchmark text."""
+    t = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", T.match_key(t).alias("match_key"), T.fold(t).alias("folded"), T.truncate(t, 60).alias("short"))
+
+
+@query(
+    "slugs",
+    rf"""SELECT p_partkey, p_name, regexp_replace(substring(regexp_replace(regexp_replace({_FOLD.format('p_name')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40), '-$', '') AS slug,
+           replace(replace(replace(replace(replace(p_name || ' <' || p_brand || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped
+         FROM part""",
+)
+def slugs(spark, sf_dir):
+    """Slug of each part name and its HTML-escaped label."""
+    label = F.concat(F.col("p_name"), F.lit(" <"), F.col("p_brand"), F.lit(">"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", T.slug(F.col("p_name")).alias("slug"), T.html_escape(label).alias("escaped"))
+
+
+@query(
+    "html_strip",
+    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
+            regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'),
+              '(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]+>', '', 'g'),
+            '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'))) AS text_md5
+        FROM pages""",
+)
+def html_strip(spark, sf_dir):
+    """Text of each page by regular expressions alone."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_strip(F.col("html"))).alias("text_md5"))
+
+
+@query(
+    "document_facets",
+    """SELECT lang, source, count(*) AS n, count(*) FILTER (text ILIKE '%the%') AS n_hits, GROUPING(lang) AS g_lang, GROUPING(source) AS g_source
+       FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())""",
+)
+def document_facets(spark, sf_dir):
+    """Facet counts by language and source with totals, and hits of a folded search."""
+    _docs(spark, sf_dir).withColumn("hit", F.lower("text").contains("the")).createOrReplaceTempView("facet_documents")
+    return spark.sql(
+        "SELECT lang, source, count(*) AS n, count_if(hit) AS n_hits, CAST(grouping(lang) AS BIGINT) AS g_lang, CAST(grouping(source) AS BIGINT) AS g_source "
+        "FROM facet_documents GROUP BY GROUPING SETS ((lang, source), (lang), ())"
+    )
+
+
+@query(
+    "keyword_search",
+    rf"""SELECT doc_id, count(*) AS n_items FROM (
+           SELECT d.doc_id, b.item_id FROM (SELECT doc_id, ' ' || trim(regexp_replace({_FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS k FROM documents) d
+           JOIN (SELECT item_id, substring(trim(regexp_replace({_FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), 1, 24) AS q FROM benchmark) b ON contains(d.k, ' ' || b.q)
+         ) GROUP BY doc_id""",
+)
+def keyword_search(spark, sf_dir):
+    """Documents with a word sequence that begins like a benchmark item. The items are the
+    query set; Spark joins each document's words with the items' first word, then verifies."""
+    key = lambda c: T.match_key(T.fold(c))
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit(" "), key(F.col("text"))).alias("k"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(key(F.col("text")), 1, 24).alias("q")).withColumn("w", F.split("q", " ")[0])
+    words = docs.select("doc_id", "k", F.explode(F.array_distinct(F.split(F.trim("k"), " "))).alias("word"))
+    full = items.where(F.length("w") < F.length("q"))
+    hit = words.join(full.withColumnRenamed("w", "word"), "word").where(F.col("k").contains(F.concat(F.lit(" "), F.col("q"))))
+    single = items.where(F.length("w") >= F.length("q")).withColumn("p", F.substring("w", 1, 24))
+    prefix = words.withColumn("p", F.substring("word", 1, 24)).join(single, "p").where(F.col("word").startswith(F.col("q")))
+    pairs = hit.select("doc_id", "item_id").unionByName(prefix.select("doc_id", "item_id")).distinct()
+    return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+@query(
+    "tf_idf_ranking",
+    rf"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents),
+         q AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
+         tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+         df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+         s AS (SELECT item_id, doc_id, round(sum((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / df)) / sqrt(1 + len), 6) AS score
+               FROM q JOIN tf USING (term) JOIN df USING (term) GROUP BY item_id, doc_id, len)
+         SELECT item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def tf_idf_ranking(spark, sf_dir):
+    """The five best documents of each benchmark item."""
+    return retrieval.tf_idf_rank(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id", "rank")
+
+
+@query("chunk_packing")
+def chunk_packing(spark, sf_dir):
+    """Chunks of about 900 characters: number and hash of each."""
+    return retrieval.pack_chunks(_docs(spark, sf_dir)).select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+_GRAMS = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD.format('text')}, '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+  u AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM w) WHERE length(word) <= 7 GROUP BY word HAVING count(*) >= 3)"""
+
+
+@query("unigram_model", _GRAMS + " SELECT word, n FROM u")
+def unigram_model(spark, sf_dir):
+    """Word counts of the n-gram model."""
+    return language.unigrams(_docs(spark, sf_dir))
+
+
+@query(
+    "bigram_model",
+    _GRAMS
+    + """, p AS (SELECT w[i] AS first, w[i + 1] AS second FROM w, unnest(range(1, len(w)::BIGINT)) AS t(i))
+       SELECT first, second, count(*) AS n FROM p WHERE first IN (SELECT word FROM u) AND second IN (SELECT word FROM u) GROUP BY ALL HAVING count(*) >= 2""",
+)
+def bigram_model(spark, sf_dir):
+    """Pair counts of the n-gram model."""
+    docs = _docs(spark, sf_dir)
+    return language.bigram_counts(docs, language.unigrams(docs))
+
+
+@query(
+    "phrase_weights",
+    rf"""WITH w AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents),
+         p AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM w, unnest(range(1, len(w)::BIGINT)) AS t(i)),
+         c AS (SELECT phrase, count(*) AS df FROM p GROUP BY phrase HAVING count(*) <= 10)
+         SELECT df, CASE WHEN df = 1 THEN 3 WHEN df <= 3 THEN 2 ELSE 1 END AS weight, count(*) AS n_phrases, min(phrase) AS first_phrase FROM c GROUP BY ALL""",
+)
+def phrase_weights(spark, sf_dir):
+    """Phrases by document frequency and weight."""
+    w = language.phrase_weights(_docs(spark, sf_dir))
+    return w.groupBy("df", "weight").agg(F.count(F.lit(1)).alias("n_phrases"), F.min("phrase").alias("first_phrase"))
+
+
+@query(
+    "case_report",
+    """SELECT c_custkey AS case_id, c_mktsegment AS segment, count(o_orderkey) AS n_records, count(*) FILTER (o_orderstatus = 'F') AS n_done, max(o_orderdate) AS last_activity,
+         CASE WHEN count(o_orderkey) = 0 THEN 'none' WHEN count(*) FILTER (o_orderstatus = 'F') = count(o_orderkey) THEN 'done' ELSE 'running' END AS status,
+         CASE WHEN count(o_orderkey) = 0 THEN 0 ELSE CAST(floor(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(o_orderkey) + 0.5) AS INTEGER) END AS pct_done
+       FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""",
+)
+def case_report(spark, sf_dir):
+    """Per case: its records, how many are done, the last activity and a status. Records are
+    counted before the join, so a case with very many records costs one row."""
+    o = table(spark, sf_dir, "orders")
+    per = o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("d"), F.max("o_orderdate").alias("last_activity"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("segment")).join(per, "case_id", "left")
+    n, d = F.coalesce("n", F.lit(0)), F.coalesce("d", F.lit(0))
+    return c.select("case_id", "segment", n.alias("n_records"), d.alias("n_done"), "last_activity", F.when(n == 0, "none").when(n == d, "done").otherwise("running").alias("status"), T.percent(d, n).alias("pct_done"))
+
+
+@query(
+    "status_pivot",
+    """SELECT o_orderpriority AS priority, count(*) FILTER (o_orderstatus = 'F') AS "n_F", count(*) FILTER (o_orderstatus = 'O') AS "n_O", count(*) FILTER (o_orderstatus = 'P') AS "n_P", count(*) AS n_all
+       FROM orders GROUP BY 1""",
+)
+def status_pivot(spark, sf_dir):
+    return R.status_pivot(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "priority"), "priority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query(
+    "dense_months",
+    """WITH m AS (SELECT date_trunc('month', max(o_orderdate)) AS last FROM orders),
+       s AS (SELECT unnest(generate_series(last - INTERVAL 5 MONTH, last, INTERVAL 1 MONTH)) AS month FROM m),
+       c AS (SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1)
+       SELECT strftime(month, '%Y-%m') AS month, coalesce(n, 0) AS n, coalesce(n, 0) - lag(coalesce(n, 0)) OVER (ORDER BY month) AS delta FROM s LEFT JOIN c USING (month)""",
+)
+def dense_months(spark, sf_dir):
+    """Records of each of the last six months, zeros included, and the change to the month before."""
+    o = table(spark, sf_dir, "orders")
+    last = o.agg(F.trunc(F.max("o_orderdate"), "month").alias("last"))
+    months = last.select(F.explode(F.sequence(F.add_months("last", -5), "last", F.expr("interval 1 month"))).alias("m"))
+    n = o.groupBy(F.trunc("o_orderdate", "month").cast("date").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    out = months.withColumn("m", F.col("m").cast("date")).join(n, "m", "left").select("m", F.coalesce("n", F.lit(0)).alias("n"))
+    return out.select(F.date_format("m", "yyyy-MM").alias("month"), "n", (F.col("n") - F.lag("n").over(Window.orderBy("m"))).alias("delta"))  # six rows
+
+
+@query(
+    "upsert_latest",
+    """SELECT user_id, event_id, event_type, value FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def upsert_latest(spark, sf_dir):
+    """Latest event of each user, as an upsert of all later events into the earlier ones."""
+    e = table(spark, sf_dir, "events").withColumn("v", F.struct("ts", "event_id"))
+    odd = F.col("event_id") % 2 == 1
+    return R.upsert(e.where(~odd), e.where(odd), "user_id", "v").select("user_id", "event_id", "event_type", "value")
+
+
+@query(
+    "cascade_delete",
+    """SELECT 'case' AS kind, count(*) AS n, sum(c_custkey) AS keys FROM customer WHERE NOT coalesce(c_acctbal < 0, false)
+       UNION ALL SELECT 'record', count(*), sum(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
+)
+def cascade_delete(spark, sf_dir):
+    """What stays when cases with a negative balance go, with their records."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    cases, records = R.cascade_delete(c, o, c.where("c_acctbal < 0"), "c_custkey", "o_custkey")
+    total = lambda df, kind, key: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"))
+    return total(cases, "case", "c_custkey").unionByName(total(records, "record", "o_orderkey"))
+
+
+@query(
+    "catalogue_diff",
+    """SELECT coalesce(a.k, b.k) AS p_type, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change
+       FROM (SELECT p_type AS k, count(*) AS n FROM part WHERE p_size <= 25 GROUP BY 1) a FULL JOIN (SELECT p_type AS k, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1) b ON a.k = b.k
+       WHERE a.n IS DISTINCT FROM b.n""",
+)
+def catalogue_diff(spark, sf_dir):
+    """Added, removed and changed rows between two states of a catalogue."""
+    p = table(spark, sf_dir, "part")
+    state = lambda df: df.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    return R.diff(state(p.where("p_size <= 25")), state(p.where("p_size > 25")), "p_type", "n")
+
+
+@query(
+    "source_reconcile",
+    """WITH r AS (SELECT user_id, event_type, min(CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 10 ELSE 990 END) AS r FROM events GROUP BY 1, 2)
+       SELECT user_id, arg_min(event_type, (r, event_type)) AS event_type, count(*) - 1 AS alternatives FROM r GROUP BY 1""",
+)
+def source_reconcile(spark, sf_dir):
+    """Value of the most trusted source of each key, and how many others disagree."""
+    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 10).otherwise(990)
+    return R.reconcile(table(spark, sf_dir, "events"), "user_id", "event_type", rank)
+
+
+@query(
+    "law_in_force",
+    """WITH law(law, valid_from, valid_to) AS (VALUES ('first', NULL::DATE, DATE '1994-12-31'), ('second', DATE '1995-01-01', DATE '1996-12-31'), ('third', DATE '1997-01-01', NULL))
+       SELECT law, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN law ON (valid_from IS NULL OR CAST(o_orderdate AS DATE) >= valid_from) AND (valid_to IS NULL OR CAST(o_orderdate AS DATE) <= valid_to) GROUP BY law""",
+)
+def law_in_force(spark, sf_dir):
+    """Records under the law that was in force on their date."""
+    law = spark.sql("SELECT * FROM VALUES ('first', NULL, DATE'1994-12-31'), ('second', DATE'1995-01-01', DATE'1996-12-31'), ('third', DATE'1997-01-01', NULL) AS t(law, valid_from, valid_to)")
+    o = table(spark, sf_dir, "orders").select("o_totalprice", F.to_date("o_orderdate").alias("d"))
+    return R.valid_at(o, law, "d").groupBy("law").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    "amount_frames",
+    """WITH f(k, lo, hi) AS (VALUES (1, 0.0, 50000.0), (2, 50000.0, 150000.0), (3, 100000.0, 250000.0), (4, 250000.0, NULL))
+       SELECT k AS clause, count(*) AS n FROM (SELECT o_orderkey, max(k) AS k FROM orders JOIN f ON o_totalprice >= lo AND (hi IS NULL OR o_totalprice < hi) GROUP BY 1) GROUP BY 1""",
+)
+def amount_frames(spark, sf_dir):
+    """Highest clause whose amount range holds the record's amount: the frames are a few
+    constants, so the range join is one CASE-like fold per row and needs no shuffle."""
+    frames = [(1, 0.0, 50000.0), (2, 50000.0, 150000.0), (3, 100000.0, 250000.0), (4, 250000.0, None)]
+    amount = F.col("o_totalprice")
+    clause = F.greatest(*[F.when((amount >= lo) & (F.lit(True) if hi is None else amount < hi), F.lit(k)) for k, lo, hi in frames])
+    return table(spark, sf_dir, "orders").select(clause.alias("clause")).where("clause is not null").groupBy("clause").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "prior_event_as_of",
+    """SELECT a.event_id, (SELECT arg_max(b.value, (b.ts, b.event_id)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts <= a.ts) AS value_as_of
+       FROM events a WHERE a.event_type = 'click'""",
+)
+def prior_event_as_of(spark, sf_dir):
+    """Each click with the user's last purchase value at or before it."""
+    e = table(spark, sf_dir, "events")
+    last = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return R.as_of(e.where("event_type = 'click'").drop("value"), last, "user_id", "ts", "ts", "value").select("event_id", "value_as_of")
+
+
+@query(
+    "timeline_without_repeats",
+    """SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type""",
+)
+def timeline_without_repeats(spark, sf_dir):
+    """Events in time order without those that repeat the one before."""
+    e = table(spark, sf_dir, "events")
+    return R.drop_adjacent_repeats(e, ["user_id"], ["ts", "event_id"], F.col("event_type")).select("user_id", "event_id", "event_type")
+
+
+@query(
+    "sliding_quota",
+    """SELECT event_id, count(*) OVER w AS window_count, round(sum(value) OVER w, 4) AS window_total FROM events
+       WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""",
+)
+def sliding_quota(spark, sf_dir):
+    """Requests and tokens of each model over the last 60 seconds."""
+    out = R.sliding_totals(table(spark, sf_dir, "events"), "event_type", "ts", F.col("value"), 60)
+    return out.select("event_id", "window_count", F.round("window_total", 4).alias("window_total"))
+
+
+@query(
+    "sessions",
+    """WITH n AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events),
+       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM n)
+       SELECT user_id, session_no, count(*) AS n, min(ts) AS start, max(ts) AS stop FROM s GROUP BY 1, 2""",
+)
+def sessions(spark, sf_dir):
+    """Sessions of each user by gaps of more than 30 minutes."""
+    s = R.session_numbers(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 1800)
+    return s.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("stop"))
+
+
+@query(
+    "daily_quota",
+    """SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS requests, round(sum(value), 2) AS tokens, count(*) FILTER (value > 50) AS large,
+         round(sum(sum(value)) OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)), 2) AS running FROM events GROUP BY 1, 2""",
+)
+def daily_quota(spark, sf_dir):
+    """Totals per model and day, and the running total."""
+    d = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"), F.sum("value").alias("s"), F.count_if(F.col("value") > 50).alias("large"))
+    w = Window.partitionBy("event_type").orderBy("day")
+    return d.select("event_type", "day", "requests", F.round("s", 2).alias("tokens"), "large", F.round(F.sum("s").over(w), 2).alias("running"))
+
+
+@query(
+    "event_props",
+    """SELECT event_type, count(*) AS n, count(TRY_CAST(props AS JSON)) AS n_valid, count(DISTINCT props) AS n_distinct FROM events GROUP BY 1""",
+)
+def event_props(spark, sf_dir):
+    """JSON properties with a fallback: how many parse, how many differ."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.expr("try_parse_json(props)")).alias("n_valid"), F.count_distinct("props").alias("n_distinct"))
+
+
+@query(
+    "qa_pairs",
+    """WITH t AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+       SELECT conv_id, turn, length(text) AS q_chars, length(answer) AS a_chars,
+         CASE WHEN coalesce(answer, '') = '' THEN 'empty' WHEN length(answer) < 160 THEN 'short' ELSE 'ok' END AS quality
+       FROM t WHERE role = 'user' AND next_role = 'assistant'""",
+)
+def qa_pairs(spark, sf_dir):
+    """Question and answer pairs of each conversation, and the answer's quality."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(w), "answer": F.lead("text").over(w)})
+    n = F.length("answer")
+    quality = F.when(F.coalesce(F.col("answer"), F.lit("")) == "", "empty").when(n < 160, "short").otherwise("ok")
+    return t.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.length("text").alias("q_chars"), n.alias("a_chars"), quality.alias("quality"))
+
+
+@query(
+    "conversation_progress",
+    """SELECT conv_id, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS answered,
+         CASE WHEN count(*) FILTER (role = 'user') = 0 THEN 0 ELSE CAST(floor(100.0 * count(*) FILTER (role = 'assistant') / count(*) FILTER (role = 'user') + 0.5) AS INTEGER) END AS pct,
+         string_agg(role, '>' ORDER BY turn) AS path FROM conversations GROUP BY 1""",
+)
+def conversation_progress(spark, sf_dir):
+    """Progress of each record: asked, answered, percent, and the order of turns."""
+    asked, answered = F.count_if(F.col("role") == "user"), F.count_if(F.col("role") == "assistant")
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(asked.alias("asked"), answered.alias("answered"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("ts"))
+    return c.select("conv_id", "asked", "answered", T.percent(F.col("answered"), F.col("asked")).alias("pct"), F.array_join(F.transform("ts", lambda t: t["role"]), ">").alias("path"))
+
+
+@query(
+    "money_flows",
+    """WITH e AS (SELECT l_suppkey AS src, o_custkey AS dst, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_extendedprice END AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+       s AS (SELECT src AS party, 0 AS i, coalesce(amount, 0) AS o, (amount IS NULL)::INT AS u FROM e UNION ALL SELECT dst, coalesce(amount, 0), 0, (amount IS NULL)::INT FROM e)
+       SELECT party, round(sum(i), 2) AS total_in, round(sum(o), 2) AS total_out, sum(u) AS unknown, round(sum(i) - sum(o), 2) AS balance,
+         CASE WHEN sum(i) > 0 AND sum(o) > 0 THEN 'middle' WHEN sum(o) > 0 THEN 'source' ELSE 'end' END AS role FROM s GROUP BY 1""",
+)
+def money_flows(spark, sf_dir):
+    """Money in, out and unknown of each party, and its role in the flow."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("src"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("amount"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("dst"))
+    b = flows.balances(li.join(o, "l_orderkey"))
+    return b.select("party", *[F.round(c, 2).alias(c) for c in ("total_in", "total_out")], "unknown", F.round("balance", 2).alias("balance"), "role")
+
+
+@query(
+    "flow_edges",
+    """SELECT l_suppkey AS src, o_custkey AS dst, count(*) AS n, round(sum(l_extendedprice), 2) AS total, min(l_shipdate) AS first_at,
+         CASE WHEN bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'N') THEN 'both' WHEN bool_or(l_returnflag = 'A') THEN 'payer' WHEN bool_or(l_returnflag = 'N') THEN 'receiver' ELSE 'third' END AS confirmed
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+)
+def flow_edges(spark, sf_dir):
+    """Edges between parties, merged, with who confirms them."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    g = li.join(o, "l_orderkey").groupBy(F.col("l_suppkey").alias("src"), F.col("o_custkey").alias("dst")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.min("l_shipdate").alias("first_at"),
+        F.bool_or(F.col("l_returnflag") == "A").alias("p"), F.bool_or(F.col("l_returnflag") == "N").alias("r"),
+    )
+    return g.select("src", "dst", "n", "total", "first_at", F.when(F.col("p") & F.col("r"), "both").when(F.col("p"), "payer").when(F.col("r"), "receiver").otherwise("third").alias("confirmed"))
+
+
+@query(
+    "question_answer_match",
+    r"""WITH q AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 1)) AS w FROM conversations WHERE role = 'user'),
+         a AS (SELECT conv_id, turn AS a_turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 1)) AS w FROM conversations WHERE role = 'assistant'),
+         s AS (SELECT q.conv_id, turn, a_turn, len(list_intersect(q.w, a.w)) / len(list_distinct(q.w || a.w)) AS j FROM q JOIN a USING (conv_id) WHERE len(q.w) + len(a.w) > 0)
+         SELECT conv_id, turn, arg_max(a_turn, (j, -a_turn)) AS best_turn, round(max(j), 6) AS similarity FROM s GROUP BY 1, 2""",
+)
+def question_answer_match(spark, sf_dir):
+    """Best-matching answer of each question within its record, by word overlap (first wins ties)."""
+    w = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 1))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", w.alias("w"))
+    q = c.where("role = 'user'").select("conv_id", "turn", "w")
+    a = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("a_turn"), F.col("w").alias("v"))
+    j = q.join(a, "conv_id").where(F.size("w") + F.size("v") > 0).withColumn("j", T.jaccard(F.col("w"), F.col("v")))
+    best = F.max(F.struct("j", (-F.col("a_turn")).alias("t")))
+    return j.groupBy("conv_id", "turn").agg(best.alias("b")).select("conv_id", "turn", (-F.col("b.t")).alias("best_turn"), F.round("b.j", 6).alias("similarity"))
+
+
+@query(
+    "name_similarity",
+    rf"""WITH p AS (SELECT p_partkey, p_brand, p_size, {_FOLD.format('trim(p_name)')} AS f FROM part)
+         SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.f, b.f) / greatest(length(a.f), length(b.f)), 6) AS similarity
+         FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.f, b.f) / greatest(length(a.f), length(b.f)) >= 0.75""",
+)
+def name_similarity(spark, sf_dir):
+    """Part names of one brand and size that are alike (edit similarity of at least 0.75)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name")
+    a, b = p.alias("a"), p.alias("b")
+    sim = T.edit_similarity(F.col("a.p_name"), F.col("b.p_name"))
+    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), sim.alias("s")).where("s >= 0.75").select("a", "b", F.round("s", 6).alias("similarity"))
+
+
+@query(
+    "contradictions",
+    """SELECT a.l_orderkey AS case_id, a.l_linenumber AS first_line, b.l_linenumber AS second_line, round(abs(a.l_extendedprice - b.l_extendedprice), 2) AS gap
+       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey % 10 = b.l_suppkey % 10 AND a.l_linenumber < b.l_linenumber AND a.l_returnflag <> b.l_returnflag""",
+)
+def contradictions(spark, sf_dir):
+    """Pairs of statements in one case about the same party that disagree. The case is part
+    of the equi-join key, so no more than a case's own statements meet."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 10).alias("g"), "l_returnflag", "l_extendedprice")
+    a, b = li.alias("a"), li.alias("b")
+    on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & (F.col("a.l_returnflag") != F.col("b.l_returnflag"))
+    return a.join(b, on).select(F.col("a.l_orderkey").alias("case_id"), F.col("a.l_linenumber").alias("first_line"), F.col("b.l_linenumber").alias("second_line"), F.round(F.abs(F.col("a.l_extendedprice") - F.col("b.l_extendedprice")), 2).alias("gap"))
+
+
+@query(
+    "one_sided_claims",
+    """SELECT DISTINCT c_custkey AS party FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey IN (SELECT s_nationkey FROM supplier)""",
+)
+def one_sided_claims(spark, sf_dir):
+    """Parties that others name but that made no statement of their own."""
+    c, o, s = (table(spark, sf_dir, n) for n in ("customer", "orders", "supplier"))
+    named = c.join(s.select(F.col("s_nationkey").alias("c_nationkey")).distinct(), "c_nationkey", "left_semi")
+    return named.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select(F.col("c_custkey").alias("party"))
+
+
+@query(
+    "scene_windows",
+    """SELECT l_orderkey AS source, l_linenumber AS start_line, count(*) OVER w AS n, round(sum(l_quantity) OVER w, 2) AS weight, max(l_discount) OVER w AS best
+       FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)""",
+)
+def scene_windows(spark, sf_dir):
+    """Scenes: up to three consecutive statements of one source."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(0, 2)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("start_line"), F.count(F.lit(1)).over(w).alias("n"), F.round(F.sum("l_quantity").over(w), 2).alias("weight"), F.max("l_discount").over(w).alias("best"))
+
+
+@query(
+    "top_per_group",
+    """SELECT c_mktsegment AS segment, o_orderkey, rank FROM (SELECT c_mktsegment, o_orderkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS rank
+       FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rank <= 6""",
+)
+def top_per_group(spark, sf_dir):
+    """Six largest records of each segment (Spark keeps six per group before the shuffle)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("c_custkey"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return R.capped(o.join(c, "c_custkey"), ["segment"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 6).select("segment", "o_orderkey", "rank")
+
+
+@query("interval_selection")
+def interval_selection(spark, sf_dir):
+    """Non-overlapping intervals of each order: by start, longest first."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.unix_date(F.to_date("l_shipdate")).cast("long").alias("start"))
+    spans = li.withColumn("stop", F.col("start") + 20)
+    return R.non_overlapping(spans, "l_orderkey", "start", "stop")
+
+
+@query("budgeted_lines")
+def budgeted_lines(spark, sf_dir):
+    """Lines of each order, by number, that fit a quantity budget of 100."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    return R.budgeted(li, "l_orderkey", ["l_linenumber"], "q", 100)
+
+
+@query(
+    "deadline_engine",
+    """WITH r(rule, n, unit) AS (VALUES ('appeal', 15, 'day'), ('review', 1, 'month'), ('trial', 3, 'month')),
+       d AS (SELECT o_orderkey, rule, CAST(CASE WHEN unit = 'month' THEN CAST(o_orderdate AS DATE) + to_months(n) ELSE CAST(o_orderdate AS DATE) + to_days(n) END AS DATE) AS raw FROM orders, r),
+       x AS (SELECT *, raw + CASE dayofweek(raw) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END AS due FROM d)
+       SELECT o_orderkey, rule, due, CASE WHEN due < DATE '1997-06-15' THEN 'overdue' WHEN due - DATE '1997-06-15' <= 5 THEN 'soon' ELSE 'open' END AS status, CAST(due - DATE '1997-06-15' AS INTEGER) AS days_left FROM x""",
+)
+def deadline_engine(spark, sf_dir):
+    """Due dates and statuses of three rules for every record, as of a fixed day."""
+    rules = spark.sql("SELECT * FROM VALUES ('appeal', 15, 'day'), ('review', 1, 'month'), ('trial', 3, 'month') AS t(rule, n, unit)")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("base"), F.lit(None).cast("date").alias("done"))
+    return deadlines.deadline_rows(o, rules, "base", "done", F.lit("1997-06-15").cast("date")).select("o_orderkey", "rule", "due", "status", "days_left")
+
+
+@query(
+    "fact_extraction",
+    """SELECT o_orderkey, nullif(CAST(o_orderkey * 1000000 AS DOUBLE), 0) AS amount, CAST(o_orderdate AS DATE) AS day, '51' AS dieu, 2 AS khoan, 'a,b' AS diem FROM orders""",
+)
+def fact_extraction(spark, sf_dir):
+    """Amount, date and citation read back from a sentence written about each record."""
+    said = F.concat(F.lit("Chuyển "), F.col("o_orderkey").cast("string"), F.lit(" triệu ngày "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(", theo điểm a, b khoản 2 Điều 51."))
+    s = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("s"))
+    c = F.get(X.citations(F.col("s")), 0)
+    return s.select("o_orderkey", F.get(X.amounts(F.col("s")), 0).cast("double").alias("amount"), F.get(X.dates(F.col("s")), 0).alias("day"), c["dieu"].alias("dieu"), c["khoan"].alias("khoan"), F.array_join(c["diem"], ",").alias("diem"))
+
+
+@query(
+    "sentencing_statistics",
+    """SELECT p_type, count(*) AS n, min(p_size) AS lowest, max(p_size) AS highest, list_sort(list(p_size))[CAST(floor((count(*) - 1) / 2) AS BIGINT) + 1] AS lower_median FROM part GROUP BY 1""",
+)
+def sentencing_statistics(spark, sf_dir):
+    """Count, range and lower median per class (exact percentile over counted values)."""
+    p = table(spark, sf_dir, "part")
+    return p.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_size").alias("lowest"), F.max("p_size").alias("highest"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY p_size)").cast("int").alias("lower_median"))
+
+
+@query(
+    "similar_cases",
+    """WITH c AS (SELECT o_orderkey AS a, o_totalprice AS pa, o_orderpriority AS ka, CAST(o_orderdate AS DATE) AS d FROM orders),
+       s AS (SELECT x.a, y.a AS b, 1 + (x.ka = y.ka)::INT * 3 + (abs(x.pa - y.pa) <= 0.5 * greatest(x.pa, y.pa))::INT * 2 AS score FROM c x JOIN c y ON x.d = y.d AND x.a <> y.a)
+       SELECT a, b, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s) WHERE rank <= 3""",
+)
+def similar_cases(spark, sf_dir):
+    """Three most similar records of the same day, by priority and amount."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("d"))
+    x, y = o.alias("x"), o.alias("y")
+    j = x.join(y, (F.col("x.d") == F.col("y.d")) & (F.col("x.o_orderkey") != F.col("y.o_orderkey")))
+    close = F.abs(F.col("x.o_totalprice") - F.col("y.o_totalprice")) <= 0.5 * F.greatest("x.o_totalprice", "y.o_totalprice")
+    score = 1 + (F.col("x.o_orderpriority") == F.col("y.o_orderpriority")).cast("int") * 3 + close.cast("int") * 2
+    return R.capped(j.select(F.col("x.o_orderkey").alias("a"), F.col("y.o_orderkey").alias("b"), score.alias("score")), ["a"], [F.desc("score"), F.asc("b")], 3)
+
+
+@query(
+    "union_of_stores",
+    """SELECT kind, owner, count(*) AS n FROM (SELECT 'stored' AS kind, 'u:' || source AS owner FROM documents UNION ALL SELECT 'app', 'u:' || role FROM conversations) GROUP BY 1, 2""",
+)
+def union_of_stores(spark, sf_dir):
+    """Stored and in-app documents as one list, by owner."""
+    d = _docs(spark, sf_dir).select(F.lit("stored").alias("kind"), F.concat(F.lit("u:"), "source").alias("owner"))
+    c = table(spark, sf_dir, "conversations").select(F.lit("app").alias("kind"), F.concat(F.lit("u:"), "role").alias("owner"))
+    return d.unionByName(c).groupBy("kind", "owner").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "hourly_event_windows",
+    """SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
+)
+def hourly_event_windows(spark, sf_dir):
+    """Tumbling hours of events: the same plan that streaming.windows runs on a stream."""
+    from caseloom.streaming.windows import hourly_totals
+
+    return hourly_totals(table(spark, sf_dir, "events"))
+
+
+@query(
+    "word_bigram_overlap",
+    rf"""WITH l AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(range(1, len(w)::BIGINT), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM l)
+         SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.g, b.g)) AS shared FROM g a JOIN g b ON a.item_id < b.item_id AND len(list_intersect(a.g, b.g)) > 0""",
+)
+def word_bigram_overlap(spark, sf_dir):
+    """Benchmark items that share word pairs, and how many: an inverted index on the pair."""
+    g = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.bigrams(T.tokens(F.col("text"))))).alias("g"))
+    a, b = g.alias("a"), g.alias("b")
+    j = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.item_id") < F.col("b.item_id")))
+    return j.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
