@@ -1,9 +1,11 @@
 """Connected groups from candidate keys, without pairs of all members of a group.
 
 Rows that share a key are candidates. `linked_groups` first verifies one pair per row
-(the row and the least row it shares a key with), which ties most of a group of copies
-together in linear work. Then it takes every key under which more than one group is
-left, and verifies all pairs of rows from different groups there. So each candidate pair
+(the row and the least row it shares a key with, its leader), which ties most of a group
+of copies together in linear work. Rows that still miss their leader's group are then
+tried against the rows nearest to that leader: in a group of copies that were all made
+from one text, that text is near to every copy. Last, it takes every key under which more
+than one group is left, and verifies all pairs of rows from different groups there. So each candidate pair
 is either verified or already in one group, and the groups are exactly those of the
 graph of all candidate pairs that pass. Everything stays in DataFrames: the driver sees
 counts only.
@@ -49,34 +51,67 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     )
 
 
+HUB_ROUNDS = 2
+
+
 def linked_groups(
     entries: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, near: Callable[[Column, Column], Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """entries: (key, id, mark), stored or cheap to read twice. verify: keeps of pairs (a, b),
-    a < b, those that are links. near: of the marks of two rows, a condition that every link
-    meets; where it fails, the second step emits no pair. Gives (id, component) of linked
-    ids, and the verified links."""
+    """entries: (key, id, mark), stored or cheap to read twice. verify: of pairs (a, b),
+    a < b, those that are links, with a score that is higher for nearer pairs. near: of the
+    marks of two rows, a condition that every link meets; where it fails, the last step emits
+    no pair. Gives (id, component) of linked ids, and the verified links."""
     close = near or (lambda a, b: F.lit(True))
     heads = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
     shared = materialize(entries.join(heads, "key"), f"{label}-shared")
-    first = materialize(
-        shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), f"{label}-first"
+    pairs = materialize(
+        shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), f"{label}-pairs"
     )
-    links = materialize(verify(first).select("a", "b"), f"{label}-links")
-    found = materialize(components(links, f"{label}-star"), f"{label}-groups")
-    tagged = shared.join(found, "id", "left").select("key", "id", "mark", F.coalesce("component", "id").alias("c"))
-    mixed = tagged.groupBy("key").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.min_by("c", "id").alias("lead")).where("__lo < __hi").select("key", "lead")
-    left = materialize(tagged.join(mixed, "key"), f"{label}-mixed")
-    x, y = left.where("c <> lead").alias("x"), left.alias("y")
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & close(F.col("x.mark"), F.col("y.mark")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.lead")) | (F.col("x.id") < F.col("y.id"))))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    rest = materialize(rest, f"{label}-rest")
-    more = materialize(verify(rest).select("a", "b"), f"{label}-more") if rest.take(1) else rest
-    every = links.unionByName(more)
-    if more.take(1):
-        found = materialize(components(every, f"{label}-star"), f"{label}-groups")
-    return found, every
+    tested = pairs
+    for turn in range(HUB_ROUNDS + 2):
+        if turn == 0 or pairs.take(1):
+            new = materialize(verify(pairs).select("a", "b", "score"), f"{label}-links")
+            links = new if turn == 0 else links.unionByName(new)
+            if turn == 0 or new.take(1):
+                found = materialize(components(links, f"{label}-star"), f"{label}-groups")
+        if turn > HUB_ROUNDS:
+            break
+        tagged = shared.join(found, "id", "left").select("key", "id", "mark", "leader", F.coalesce("component", "id").alias("c"))
+        mixed = (
+            tagged.groupBy("key")
+            .agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.min_by("c", "id").alias("lead"))
+            .where("__lo < __hi")
+            .select("key", "lead")
+        )
+        left = materialize(tagged.join(mixed, "key"), f"{label}-mixed")
+        if not left.take(1):
+            break
+        if turn < HUB_ROUNDS:  # rows that miss their leader's group, with the row that is nearest to that leader
+            near_to = links.select("a", "b", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+            hub = nth_nearest(near_to, turn)
+            pairs = (
+                left.where("c <> lead").groupBy("id").agg(F.min("leader").alias("leader")).join(hub, "leader").where("id <> hub")
+                .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            )
+        else:
+            x, y = left.where("c <> lead").alias("x"), left.alias("y")
+            pairs = x.join(
+                y,
+                (F.col("x.key") == F.col("y.key"))
+                & close(F.col("x.mark"), F.col("y.mark"))
+                & (F.col("x.c") != F.col("y.c"))
+                & ((F.col("y.c") == F.col("y.lead")) | (F.col("x.id") < F.col("y.id"))),
+            ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"{label}-pairs")
+        tested = tested.unionByName(pairs)
+    return found, links.select("a", "b")
+
+
+def nth_nearest(links: DataFrame, n: int) -> DataFrame:
+    """(leader, hub): of links (a, b, score) in both directions, the row that is nearest to
+    a, after n nearer ones have been left out."""
+    best = links
+    for _ in range(n):
+        top = best.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top"))
+        best = best.join(top, "a").where(F.struct("score", "b") < F.col("top")).select("a", "b", "score")
+    return best.groupBy(F.col("a").alias("leader")).agg(F.max(F.struct("score", "b"))["b"].alias("hub"))
