@@ -79,7 +79,7 @@ def html_strip(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for code, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         out = F.replace(out, F.lit(code), F.lit(mark))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n\s*\n+", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n\s*\n+", "\n"), F.lit(" \n"))
 
 
 def token_estimate(text: Column) -> Column:
