@@ -632,3 +632,6 @@ def word_bigram_overlap(spark, sf_dir):
     a, b = g.alias("a"), g.alias("b")
     j = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.item_id") < F.col("b.item_id")))
     return j.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+from caseloom.plans import case_queries  # noqa: E402, F401  registers its queries here

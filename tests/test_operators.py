@@ -64,3 +64,21 @@ def test_stream_equals_batch(spark, tmp_path):
         got = {tuple(r) for r in spark.table(name).collect()}
         whole = {tuple(r) for r in make(df).collect()}
         assert got and got <= whole  # the last window stays open until the watermark passes it
+
+
+def test_document_operators(spark):
+    from caseloom.functions import measures as M
+    from caseloom.operators import documents as D
+
+    df = spark.createDataFrame([(1, "intro\nBy A (x)\none\ntwo\nBy B (y)\n"), (2, "none"), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.part, r.speaker, r.role, r.text) for r in D.split_statements(df, r"By (\w) \((\w)\)").collect()}
+    assert got == {(1, 0, "A", "x", "one\ntwo"), (1, 1, "B", "y", "")}
+    texts = spark.createDataFrame([(1, "Pay 5 now please ok.\npay 5 NOW please ok.\nnothing to see here"), (2, None), (3, "")], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_kept) for r in D.information_filter(texts, "[0-9]", "copyright", least=10).collect()}
+    assert out == {1: ("Pay 5 now please ok.", 1), 2: (None, -1), 3: ("", -1)}
+    assert one(spark, D.stitch(F.lit("abc" * 10 + "overlapping text"), F.lit("overlapping text end"))) == "abc" * 10 + "overlapping text end"
+    assert one(spark, D.stitch(F.lit("a"), F.lit("b"))) == "a\nb"
+    assert one(spark, M.money(F.lit(1_250_000_000))) == "1,25 tỷ" and one(spark, M.money(F.lit(12_500))) == "12.500 đồng"
+    assert one(spark, M.duration_months(F.lit("02 năm 06 tháng"))) == 30 and one(spark, M.duration_months(F.lit("x"))) is None
+    s = spark.createDataFrame([(1, "The cat sat on a mat. The cat ran home today. Short one.")], "doc_id long, text string")
+    assert [r.pos for r in D.summary_sentences(s).collect()] == [0]
