@@ -85,16 +85,17 @@ def adjacent_runs(spark, sf_dir):
 
 @query(
     "name_suffix_match",
-    rf"""WITH p AS (SELECT DISTINCT trim(regexp_replace({_FOLD.format("p_brand || ' ' || p_name")}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS k, p_brand || ' ' || p_name AS name FROM part),
-         t AS (SELECT name, array_to_string(string_split(k, ' ')[-2:], ' ') AS tail FROM p), o AS (SELECT tail, min(name) AS full_name FROM t GROUP BY tail HAVING count(*) = 1),
-         s AS (SELECT DISTINCT p_name AS short_name, trim(regexp_replace({_FOLD.format('p_name')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS k FROM part)
-         SELECT short_name, full_name FROM s JOIN o ON array_to_string(string_split(k, ' ')[-2:], ' ') = tail WHERE len(string_split(k, ' ')) >= 2""",
+    rf"""WITH n AS (SELECT DISTINCT 'Land ' || r_name || ' ' || n_name AS full_name, r_name || ' ' || n_name AS short_name FROM nation JOIN region ON r_regionkey = n_regionkey),
+         t AS (SELECT full_name, array_to_string(string_split(trim(regexp_replace({_FOLD.format('full_name')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')[-2:], ' ') AS tail FROM n),
+         o AS (SELECT tail, min(full_name) AS full_name FROM t GROUP BY tail HAVING count(*) = 1)
+         SELECT short_name, o.full_name FROM n JOIN o ON array_to_string(string_split(trim(regexp_replace({_FOLD.format('short_name')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')[-2:], ' ') = tail""",
 )
 def name_suffix_match(spark, sf_dir):
     """Short names that end exactly one full name."""
-    p = table(spark, sf_dir, "part")
-    full = p.select(F.concat_ws(" ", "p_brand", "p_name").alias("name"))
-    return D.match_by_suffix(p.select(F.col("p_name").alias("name")).distinct(), full).toDF("short_name", "full_name")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    short = n.select(F.concat_ws(" ", "r_name", "n_name").alias("name")).distinct()
+    full = short.select(F.concat(F.lit("Land "), F.col("name")).alias("name"))
+    return D.match_by_suffix(short, full).toDF("short_name", "full_name")
 
 
 @query("overlap_stitch", "SELECT item_id, text AS stitched FROM benchmark WHERE length(text) > 150 AND length(text) <= 400")
