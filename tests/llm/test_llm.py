@@ -263,6 +263,38 @@ def test_line_dedup(docs, rows):
     assert len(have) == len(rows) and {r.doc_id: r.text for r in have} == want
 
 
+def test_line_dedup_recall_without_simhash_filter(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    lines = []
+    for low, high in ((5, 9), (10, 15), (16, 30), (31, 60), (61, 120)):
+        for _ in range(8):
+            base = [word() for _ in range(rng.randint(low, high))]
+            lines.append(" ".join(base))
+            base[rng.randrange(len(base))] = word()
+            lines.append(" ".join(base))
+            if len(base) > 15:
+                base[rng.randrange(len(base))] = word()
+                lines.append(" ".join(base))
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").cache()
+    a, b = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    longest = F.greatest(F.length("ta"), F.length("tb"))
+    near = a.join(b, F.col("a") < F.col("b")).where(5 * F.levenshtein("ta", "tb") <= longest).select("a", "b").collect()
+    up = list(range(len(lines)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in sorted(map(tuple, near)):
+        x, y = sorted((top(x), top(y)))
+        up[y] = x
+    got = {r.doc_id for r in line_dedup.dedup_lines(rows).where("n_removed = 1").collect()}
+    want = {k for k in range(len(lines)) if top(k) != k}
+    assert len(want) > 50 and got == want
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     clean = ["w%d" % i for i in range(400)]
