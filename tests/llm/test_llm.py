@@ -295,6 +295,12 @@ def test_line_dedup_recall_without_simhash_filter(spark):
     assert len(want) > 50 and got == want
 
 
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "Yes\nno way\n\n--\nYes."), (2, "yes!\nmaybe\n--\n\nNo  way"), (3, "read all of it\nmaybe not"), (4, "Read all of it\nother")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "Yes\nno way\n\n--", 2: "maybe\n--\n", 3: "read all of it\nmaybe not", 4: "other"}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     clean = ["w%d" % i for i in range(400)]
