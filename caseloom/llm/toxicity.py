@@ -23,15 +23,17 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from caseloom.llm import minhash_near
+
 FIT_ROWS = 12_000  # most labelled rows that the model is fitted on
 FIT_CHARS = 20_000_000  # and most characters of their texts
 PREFIXES = (3, 4, 5, 6)
@@ -105,16 +107,21 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, c
     return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def without_copies(sets: list[set[str]], hashes: int = 8, same: int = 4) -> list[int]:
-    """Rows of the sample that are no near copies of an earlier one (at least `same` of
-    `hashes` minhashes agree): features of one copied text must not count as evidence."""
-    seen: dict[tuple[int, int], list[int]] = {}
+def without_copies(sets: list[set[str]], labels: list[int], same: float = 0.8, band: int = 4) -> list[int]:
+    """Rows of the sample that are no near copies (a Jaccard of at least `same`) of an
+    earlier one with their label: features of one copied text must not count as evidence.
+    Rows that agree in `band` neighbouring minhashes are compared on their sets."""
+    seen: dict[tuple, list[int]] = {}
+    hashes: dict[str, int] = {}
     out = []
-    for k, s in enumerate(sets):
-        h = np.fromiter((zlib.crc32(w.encode()) for w in s), "u8", len(s))
-        marks = [(j, int(((h * (2 * j + 1) * 0x9E3779B97F4A7C15) >> np.uint64(20)).min())) for j in range(hashes)] if len(s) else []
-        hits = Counter(x for m in marks for x in seen.get(m, ()))
-        if max(hits.values(), default=0) < same:
+    for k, (s, label) in enumerate(zip(sets, labels, strict=True)):
+        for w in s:
+            if w not in hashes:
+                hashes[w] = xxhash.xxh3_64_intdigest(w)
+        sig = minhash_near.signature(np.fromiter((hashes[w] for w in s), "u8", len(s))).tolist() if s else []
+        marks = [(label, j, *sig[j : j + band]) for j in range(0, len(sig) - band + 1, band)]
+        hits = {x for m in marks for x in seen.get(m, ())}
+        if not any(min(len(s), len(sets[x])) >= same * max(len(s), len(sets[x])) and len(s & sets[x]) >= same * len(s | sets[x]) for x in hits):
             out.append(k)
             for m in marks:
                 seen.setdefault(m, []).append(k)
@@ -124,8 +131,9 @@ def without_copies(sets: list[set[str]], hashes: int = 8, same: int = 4) -> list
 def fit(sample: list[tuple[str | None, int]], min_z: float = 2.0, most: int = 2000) -> OrdinalModel:
     """sample: (text, toxic). most: of features."""
     sample = sorted(sample, key=lambda r: (r[1], r[0] or ""))
-    sets = [features(t) for t, _ in sample]
-    once = without_copies(sets)
+    names: dict[str, str] = {}  # one string for each feature, however many rows have it
+    sets = [{names.setdefault(f, f) for f in features(t)} for t, _ in sample]
+    once = without_copies(sets, [t for _, t in sample])
     sample, sets = [sample[k] for k in once], [sets[k] for k in once]
     toxic = np.array([int(t) for _, t in sample])
     n, n_pos = len(sample), int(toxic.sum())

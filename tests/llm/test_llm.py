@@ -321,6 +321,15 @@ def test_toxicity_held_out(spark):
     assert not toxicity.toxicity(docs, labels.where("false")).where("toxic").count()
 
 
+def test_fit_drops_only_copies_with_the_same_label():
+    rng = random.Random(4)
+    common = min(("w%d" % i for i in range(20_000)), key=lambda w: zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 % (1 << 64))
+    sets = [{common, *("v%d" % rng.randrange(5000) for _ in range(40))} for _ in range(200)]
+    labels = [k % 2 for k in range(200)]
+    assert toxicity.without_copies(sets, labels) == list(range(200))
+    assert toxicity.without_copies([*sets, set(sets[0]), set(sets[0])], [*labels, labels[0], 1 - labels[0]]) == [*range(200), 201]
+
+
 def test_quality_rules(docs, none, rows):
     import re
 
