@@ -42,7 +42,7 @@ NOISE = re.compile(r"(?:^|[\s_\-])(?:ads?|advert\w*|adverts?|banner\w*|promo\w*|
 GOOD = re.compile(r"(?:^|[\s_\-])(?:article\w*|story\w*|post|post-body|post-content|entry|entry-content|content|main|body|text|page-content|prose)(?=$|[\s_\-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<", re.S | re.I)
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?!svg(?:\s(?:[^>\"\']|\"[^\"]*\"|\'[^\']*\')*)?/>)(script|style|noscript|template|iframe|svg|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
@@ -135,6 +135,8 @@ def blocks_of(page: str) -> list[Block]:
                 if name == "p" or name == "br":
                     flush() if name == "p" else add(" ")
             continue
+        if name == "svg" and tag.endswith("/>"):
+            continue
         if name in VOID:
             if name not in INLINE:
                 flush()
@@ -163,8 +165,6 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a":
             in_link += 1
         silent = up[6] or name in SILENT
-        if tag.endswith("/>") and name not in INLINE and name in ("svg", "script", "iframe"):
-            continue
         stack.append((name, up[1] or chrome, up[2] or noise, up[3] or article, up[4] or good, container, silent))
     add(page[at:])
     flush()

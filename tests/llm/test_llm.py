@@ -129,6 +129,14 @@ def test_html(spark):
     assert by[2].text == by[3].text == "" and by[1].n_chars == len(by[1].text)
 
 
+def test_html_goes_on_after_custom_elements_and_empty_svg():
+    body = "<p>First text that goes on for a while.</p>%s<p>Second text that goes on for a while.</p>"
+    want = ["First text that goes on for a while.", "Second text that goes on for a while."]
+    for part in ("<svg-icon></svg-icon>", "<template-card></template-card>", '<svg width="1" />', "<svg/>", "<svg class=\"a>b\"/>", "<svg><path/><title>no</title></svg>", "<style>p{}</style>"):
+        assert [b.text for b in html_extract.blocks_of(body % part)] == want, part
+    assert [b.text for b in html_extract.blocks_of("<p>a<svg/>b</p>")] == ["ab"]
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
