@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document is the set of its distinct 2-word shingles (words are maximal runs of
+A document is the set of its distinct shingles of `words` words, 2 unless told otherwise (words are maximal runs of
 characters other than space and \\t..\\r, A-Z lower-cased; with fewer words than that, the
 whole sequence is one shingle; without words, the set is empty and links with nothing).
 Its signature is CHUNKS * WIDTH minhashes of `BITS` bits. Signatures are split into
@@ -81,7 +81,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(64 - BITS)).astype("i4")
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, bits, sig) of documents (doc_id, text); sig is null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +89,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             for at in range(0, len(pdf), 500):
                 part, rows = pdf.iloc[at : at + 500], []
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                    s = shingles(text)
+                    s = shingles(text, words)
                     sig = signature(s)
                     rows.append((doc, len(s), *fingerprint(s), int(np.packbits(sig[:64] & 1).view("i8")[0]), sig if len(s) else None))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "bits", "sig"])
@@ -107,7 +107,7 @@ def chunk_keys(sig: Column) -> Column:
     return F.array(*keys)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, s): the full sets of the documents named in ids (id, f1, f2), f1 and f2 being
     the set's fingerprint, which tells rows with one doc_id apart."""
 
@@ -116,7 +116,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for at in range(0, len(pdf), 200):
                 rows = []
                 for doc, text, f1, f2 in pdf.iloc[at : at + 200].itertuples(index=False):
-                    s = shingles(text)
+                    s = shingles(text, words)
                     if fingerprint(s) == (f1, f2):
                         rows.append((doc, s.view("i8")))
                 yield pd.DataFrame(rows, columns=["id", "s"])
@@ -125,9 +125,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.select("doc_id", "text", "f1", "f2").mapInPandas(run, "id long, s array<long>")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept)."""
-    found = profiles(docs)
+    found = profiles(docs, words)
     first = F.min(F.struct("f1", "f2", "n_shingles", "bits", "sig"))
     profile = materialize(found.groupBy("doc_id").agg(first.alias("p")).select("doc_id", "p.*"), "minhash-profiles")
     some = profile.where("n_shingles > 0")
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         fit = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= 80 * greatest(na, nb)").select("a", "b", "na", "nb")
         fit = materialize(fit, "minhash-pairs")
         named = fit.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = shingle_sets(docs, materialize(size.join(named, "id").select("id", "f1", "f2"), "minhash-ids"))
+        sets = shingle_sets(docs, materialize(size.join(named, "id").select("id", "f1", "f2"), "minhash-ids"), words)
         both = fit.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb"))
         both = both.select("a", "b", "na", "nb", common.alias("common"))
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs without those that are near copies of a kept one; columns as they were."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    gone = near_duplicates(docs, words).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -229,6 +229,18 @@ def test_near_duplicates(docs, none, rows):
     assert minhash_near.near_duplicates(none).count() == 0
 
 
+def test_near_copies_stage_takes_five_words(spark):
+    import corpus_pipeline
+
+    base = ["w%d" % k for k in range(100)]
+    changed = lambda *at: " ".join("x%d" % k if k in at else w for k, w in enumerate(base))
+    rows = [(1, " ".join(base)), (2, changed(20, 40, 60)), (3, changed(50)), (4, "a b")]  # 1 and 2: 0.89 by two words, 0.73 by five
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in rows for w in [t.split()]}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert near == {(1, 3)} and sorted(r.doc_id for r in got) == [1, 2, 4]
+
+
 def test_line_dedup(docs, rows):
     lines, occurrences = {}, []
     for k, t in sorted(set(rows), key=lambda r: r[0]):
