@@ -1,21 +1,23 @@
 """Connected groups from candidate keys, without pairs of all members of a group.
 
-Rows that share a key are candidates. `linked_groups` first verifies one pair per row
-(the row and the least row it shares a key with, its leader), which ties most of a group
-of copies together in linear work. Rows that still miss their leader's group are then
-tried against the rows nearest to that leader: in a group of copies that were all made
-from one text, that text is near to every copy. Last, it takes every key under which more
-than one group is left, and verifies all pairs of rows from different groups there. So each candidate pair
-is either verified or already in one group, and the groups are exactly those of the
-graph of all candidate pairs that pass. Everything stays in DataFrames: the driver sees
-counts only.
+Rows that share a key are candidates. `linked_groups` first verifies one pair per row: the
+row and the least row that it shares a key with, its leader. That ties most of a group of
+copies together in linear work. Every key that still holds rows of several groups then
+gets a reference row, the row nearest to its leader, and each of its rows is compared with
+that: linear work, too. What is left are rows that are not linked with the reference, nor
+in its group. Such a row can be linked with another only if both share some of their
+differences from the reference (`Rule` says how many), so pairs are looked for by shared
+differences, rarest first (`by_shared_differences`). Near misses of one text, each changed in places of its
+own, share none and make no pairs, however many there are. Everything stays in DataFrames:
+the driver sees counts only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.session import materialize
 
@@ -51,67 +53,87 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     )
 
 
-HUB_ROUNDS = 2
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt evenly over tasks, whatever their bytes: what follows costs by the
+    length of texts, and adaptive execution would merge such small rows into one task."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a link tells of two rows' differences from one reference row.
+
+    least(d, n, nr, apart): fewest differences that a row (with d of them, of size n, the
+    reference of size nr) shares with any row that it may be linked to; apart says that the
+    row is not in the reference's group. One row of each pair looked for is apart.
+    enough(x, y, shared): whether rows x and y (fields d, n) that share at most `shared`
+    differences may be linked."""
+
+    least: Callable[[Column, Column, Column, Column], Column]
+    enough: Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
 
 
 def linked_groups(
-    entries: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, near: Callable[[Column, Column], Column] | None = None
+    entries: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], rule: Rule, label: str
 ) -> tuple[DataFrame, DataFrame]:
-    """entries: (key, id, mark), stored or cheap to read twice. verify: of pairs (a, b),
-    a < b, those that are links, with a score that is higher for nearer pairs. near: of the
-    marks of two rows, a condition that every link meets; where it fails, the last step emits
-    no pair. Gives (id, component) of linked ids, and the verified links."""
-    close = near or (lambda a, b: F.lit(True))
+    """entries: (key, id), stored or cheap to read twice; rows that share a key are candidates.
+    verify: of pairs (a, b), those that are links, with a score that is higher for nearer pairs.
+    differences: of pairs (ref, id), all of them as (ref, id, n, nr, score, diff): sizes of id and
+    ref, the score (null if they aren't linked), and the tokens that only one of them has.
+    Gives (id, component) of linked ids, and the verified links."""
     heads = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
     shared = materialize(entries.join(heads, "key"), f"{label}-shared")
-    pairs = materialize(
-        shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), f"{label}-pairs"
-    )
-    tested = pairs
-    for turn in range(HUB_ROUNDS + 2):
-        if turn == 0 or pairs.take(1):
-            new = materialize(verify(pairs).select("a", "b", "score"), f"{label}-links")
-            links = new if turn == 0 else links.unionByName(new)
-            if turn == 0 or new.take(1):
-                found = materialize(components(links, f"{label}-star"), f"{label}-groups")
-        if turn > HUB_ROUNDS:
-            break
-        tagged = shared.join(found, "id", "left").select("key", "id", "mark", "leader", F.coalesce("component", "id").alias("c"))
-        mixed = (
-            tagged.groupBy("key")
-            .agg(F.min("c").alias("__lo"), F.max("c").alias("__hi"), F.min_by("c", "id").alias("lead"))
-            .where("__lo < __hi")
-            .select("key", "lead")
-        )
-        left = materialize(tagged.join(mixed, "key"), f"{label}-mixed")
-        if not left.take(1):
-            break
-        if turn < HUB_ROUNDS:  # rows that miss their leader's group, with the row that is nearest to that leader
-            near_to = links.select("a", "b", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-            hub = nth_nearest(near_to, turn)
-            pairs = (
-                left.where("c <> lead").groupBy("id").agg(F.min("leader").alias("leader")).join(hub, "leader").where("id <> hub")
-                .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-            )
-        else:
-            x, y = left.where("c <> lead").alias("x"), left.alias("y")
-            pairs = x.join(
-                y,
-                (F.col("x.key") == F.col("y.key"))
-                & close(F.col("x.mark"), F.col("y.mark"))
-                & (F.col("x.c") != F.col("y.c"))
-                & ((F.col("y.c") == F.col("y.lead")) | (F.col("x.id") < F.col("y.id"))),
-            ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), f"{label}-pairs")
-        tested = tested.unionByName(pairs)
+    pairs = shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    links = materialize(verify(materialize(pairs, f"{label}-pairs")).select("a", "b", "score"), f"{label}-links")
+    found = materialize(components(links, f"{label}-star"), f"{label}-groups")
+
+    tagged = shared.join(found, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("c"))
+    mixed = tagged.groupBy("key").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi")).where("__lo < __hi").select("key")
+    both = links.select("a", "b", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    hub = both.groupBy(F.col("a").alias("leader")).agg(F.max(F.struct("score", "b"))["b"].alias("hub"))
+    group = tagged.join(mixed, "key", "left_semi").select("leader", "id").distinct().join(hub, "leader", "left")
+    group = materialize(group.select(F.coalesce("hub", "leader").alias("ref"), "id").where("ref <> id").distinct(), f"{label}-refs")
+    if not group.take(1):
+        return found, links.select("a", "b")
+
+    diff = materialize(differences(group).select("ref", "id", "n", "nr", "score", "diff"), f"{label}-differences")
+    new = diff.where("score is not null").select(F.least("ref", "id").alias("a"), F.greatest("ref", "id").alias("b"), "score")
+    links = materialize(links.unionByName(new), f"{label}-links")
+    found = materialize(components(links, f"{label}-star"), f"{label}-groups")
+    pairs = materialize(by_shared_differences(diff, found, rule, label), f"{label}-pairs")
+    if pairs.take(1):
+        links = links.unionByName(materialize(verify(pairs).select("a", "b", "score"), f"{label}-links"))
+        found = materialize(components(links, f"{label}-star"), f"{label}-groups")
     return found, links.select("a", "b")
 
 
-def nth_nearest(links: DataFrame, n: int) -> DataFrame:
-    """(leader, hub): of links (a, b, score) in both directions, the row that is nearest to
-    a, after n nearer ones have been left out."""
-    best = links
-    for _ in range(n):
-        top = best.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top"))
-        best = best.join(top, "a").where(F.struct("score", "b") < F.col("top")).select("a", "b", "score")
-    return best.groupBy(F.col("a").alias("leader")).agg(F.max(F.struct("score", "b"))["b"].alias("hub"))
+def by_shared_differences(diff: DataFrame, found: DataFrame, rule: Rule, label: str) -> DataFrame:
+    """Pairs (a, b) of rows with one reference, of different groups, of which one isn't in the
+    reference's group, that share enough differences from it to be linked.
+
+    A prefix filter: a row's differences are put in one order, rarest first, and a pair that
+    shares t of them shares one within the first d - t + 1 of each. In a group of copies, each
+    made from one text by changes of its own, rows share the commonest differences at most, so
+    their prefixes don't meet."""
+    ours, theirs = found.select("id", F.col("component").alias("c")), found.select(F.col("id").alias("ref"), F.col("component").alias("cr"))
+    rows = diff.join(ours, "id", "left").join(theirs, "ref", "left").select(
+        "ref", "id", "n", "nr", F.size("diff").alias("d"), F.coalesce("c", "id").alias("c"), (F.coalesce("c", "id") != F.coalesce("cr", "ref")).alias("apart"), "diff"
+    )
+    rows = materialize(rows.join(rows.where("apart").select("ref").distinct(), "ref", "left_semi"), f"{label}-rows")
+    tokens = rows.select("ref", "id", "apart", F.explode("diff").alias("token"))
+    of_use = tokens.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("f"), F.max("apart").alias("__any")).where("f > 1 and __any").drop("__any")
+    own = Window.partitionBy("ref", "id")
+    placed = tokens.drop("apart").join(of_use, ["ref", "token"]).select(
+        "ref", "id", "token", F.row_number().over(own.orderBy("f", "token")).alias("k"), F.count(F.lit(1)).over(own).alias("m")
+    )
+    # tokens that no pair shares come first in the order: they fill the first d - m places
+    placed = placed.join(rows.drop("diff"), ["ref", "id"]).withColumn("pos", F.col("d") - F.col("m") + F.col("k"))
+    placed = materialize(placed.where(F.col("pos") <= F.col("d") - rule.least(*map(F.col, ("d", "n", "nr", "apart"))) + 1), f"{label}-prefixes")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    most = 1 + F.least(x("d") - x("pos"), y("d") - y("pos"))
+    met = placed.where("apart").alias("x").join(
+        placed.alias("y"),
+        (x("ref") == y("ref")) & (x("token") == y("token")) & (x("c") != y("c")) & (~y("apart") | (x("id") < y("id"))) & rule.enough(x, y, most),
+    )
+    return met.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()

@@ -21,7 +21,7 @@ table gives an empty result; other columns are ignored by `near_duplicates` and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,14 +29,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.llm.linking import linked_groups, sized
+from caseloom.llm.linking import Rule, linked_groups, sized
 from caseloom.session import materialize
 
 CHUNKS, WIDTH, ERRORS, BITS = 13, 6, 1, 16
 WORDS, PERCENT = 2, 80
-#: Lowest bits of the first 64 minhashes in which candidates may differ before their sets
-#: are fetched. At similarity 0.8 that is 6.4 on average; more than 22 has a probability under 1e-7.
-MOST_BITS = 22
 MEMORY = 500_000
 
 _rng = np.random.default_rng(20_240_601)
@@ -82,7 +79,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bits, sig) of documents (doc_id, text); sig is null for empty sets."""
+    """(doc_id, n_shingles, f1, f2, sig) of documents (doc_id, text); sig is null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -91,10 +88,10 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     s = shingles(text, words)
                     sig = signature(s)
-                    rows.append((doc, len(s), *fingerprint(s), int(np.packbits(sig[:64] & 1).view("i8")[0]), sig if len(s) else None))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "bits", "sig"])
+                    rows.append((doc, len(s), *fingerprint(s), sig if len(s) else None))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, bits long, sig array<int>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
 
 
 def chunk_keys(sig: Column) -> Column:
@@ -125,36 +122,61 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
     return wanted.select("doc_id", "text", "f1", "f2").mapInPandas(run, "id long, s array<long>")
 
 
+#: A link: MORE * (size of the difference of both sets) <= LESS * (sum of their sizes).
+LESS, MORE = 100 - PERCENT, 100 + PERCENT
+
+
+def least_shared(d: Column, n: Column, nr: Column, apart: Column) -> Column:
+    """Fewest differences that a row shares with one it is linked to. What the two don't share
+    is at most LESS / MORE * (sum of their sizes), and the other has at most 100 / PERCENT * n
+    members. If the other is apart, it has over LESS / MORE * (its size + nr) differences of its
+    own, so more than half of this row's are shared, up to the sizes of this row and the reference."""
+    of_sizes = d - F.floor(F.lit(LESS) * (n + F.floor(100 * n / PERCENT)) / MORE)
+    of_apart = F.floor((MORE * d + LESS * (nr - n)) / (2 * MORE)) + 1
+    return F.greatest(F.lit(1), of_sizes, F.when(apart, F.lit(1)).otherwise(of_apart))
+
+
+def may_link(x: Callable[[str], Column], y: Callable[[str], Column], shared: Column) -> Column:
+    sizes = 100 * F.least(x("n"), y("n")) >= PERCENT * F.greatest(x("n"), y("n"))
+    return sizes & (2 * MORE * shared >= MORE * (x("d") + y("d")) - LESS * (x("n") + y("n")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept)."""
     found = profiles(docs, words)
-    first = F.min(F.struct("f1", "f2", "n_shingles", "bits", "sig"))
+    first = F.min(F.struct("f1", "f2", "n_shingles", "sig"))
     profile = materialize(found.groupBy("doc_id").agg(first.alias("p")).select("doc_id", "p.*"), "minhash-profiles")
     some = profile.where("n_shingles > 0")
     copies = materialize(
-        some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("__last"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")), "minhash-sets"
+        some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("__last"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "minhash-sets"
     )
-    entries = copies.select("id", F.struct("n", "bits").alias("mark"), F.explode(chunk_keys(F.col("sig"))).alias("key"))
+    entries = copies.select("id", F.explode(chunk_keys(F.col("sig"))).alias("key"))
     size = copies.select("id", "n", "f1", "f2")
 
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with both sets, sa and sb."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = materialize(shingle_sets(docs, materialize(size.join(named, "id").select("id", "f1", "f2"), "minhash-ids"), words), "minhash-members")
+        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return both.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+
     def verify(pairs: DataFrame) -> DataFrame:
         a = size.select(F.col("id").alias("a"), F.col("n").alias("na"))
         b = size.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        fit = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= 80 * greatest(na, nb)").select("a", "b", "na", "nb")
-        fit = materialize(fit, "minhash-pairs")
-        named = fit.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = shingle_sets(docs, materialize(size.join(named, "id").select("id", "f1", "f2"), "minhash-ids"), words)
-        both = fit.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-        common = F.size(F.array_intersect("sa", "sb"))
-        both = both.select("a", "b", "na", "nb", common.alias("common"))
+        fit = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb")
+        both = with_sets(materialize(fit, "minhash-pairs"))
+        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
         union = F.col("na") + F.col("nb") - F.col("common")
         return both.where(100 * F.col("common") >= PERCENT * union).select("a", "b", (F.col("common") / union).alias("score"))
 
-    def close(a: Column, b: Column) -> Column:
-        fit = 100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"])
-        return fit & (F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= MOST_BITS)
+    def differences(pairs: DataFrame) -> DataFrame:
+        both = with_sets(pairs.select(F.col("ref").alias("a"), F.col("id").alias("b")))
+        diff = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))
+        both = both.select(F.col("a").alias("ref"), F.col("b").alias("id"), F.size("sb").alias("n"), F.size("sa").alias("nr"), diff.alias("diff"))
+        sizes, d = F.col("n") + F.col("nr"), F.size("diff")
+        return both.withColumn("score", F.when(MORE * d <= LESS * sizes, (sizes - d) / (sizes + d)))
 
-    groups, _ = linked_groups(entries, verify, "minhash", close)
+    groups, _ = linked_groups(entries, verify, differences, Rule(least_shared, may_link), "minhash")
     of_set = copies.where("id < __last").select("f1", "f2", "id").join(groups, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
     alone = copies.where("id = __last").join(groups, "id").select("f1", "f2", F.col("component").alias("c"))
     linked = materialize(of_set.unionByName(alone), "minhash-components")
