@@ -241,80 +241,6 @@ def test_near_copies_stage_takes_five_words(spark):
     assert near == {(1, 3)} and sorted(r.doc_id for r in got) == [1, 2, 4]
 
 
-def test_line_dedup(docs, rows):
-    lines, occurrences = {}, []
-    for k, t in sorted(set(rows), key=lambda r: r[0]):
-        for n, line in enumerate((t or "").split("\n")):
-            w = line_dedup.normal_words(line)
-            if len(w) >= line_dedup.MIN_WORDS:
-                occurrences.append((k, n, " ".join(w)))
-                lines[" ".join(w)] = w
-    names = list(lines)
-    sim = line_dedup.simhashes([line_dedup.word_hashes(lines[x]) for x in names])
-    up = {x: x for x in names}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    for i, a in enumerate(names):
-        for j in range(i):
-            if int(np.bitwise_count(sim[i] ^ sim[j])) <= line_dedup.ERRORS and distance(a, names[j]) <= 0.2 * max(len(a), len(names[j])):
-                up[top(a)] = top(names[j])
-    seen, drop = set(), collections.defaultdict(set)
-    for k, n, x in occurrences:
-        if top(x) in seen:
-            drop[k].add(n)
-        seen.add(top(x))
-    got = line_dedup.dedup_lines(docs)
-    assert got.columns[: len(docs.columns)] == docs.columns
-    want = {k: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop[k]) for k, t in rows}
-    have = got.collect()
-    assert len(have) == len(rows) and {r.doc_id: r.text for r in have} == want
-
-
-def test_line_dedup_recall_without_simhash_filter(spark):
-    rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
-    lines = []
-    for low, high in ((5, 9), (10, 15), (16, 30), (31, 60), (61, 120)):
-        for _ in range(8):
-            base = [word() for _ in range(rng.randint(low, high))]
-            lines.append(" ".join(base))
-            base[rng.randrange(len(base))] = word()
-            lines.append(" ".join(base))
-            if len(base) > 15:
-                base[rng.randrange(len(base))] = word()
-                lines.append(" ".join(base))
-    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").cache()
-    a, b = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    longest = F.greatest(F.length("ta"), F.length("tb"))
-    near = a.join(b, F.col("a") < F.col("b")).where(5 * F.levenshtein("ta", "tb") <= longest).select("a", "b").collect()
-    up = list(range(len(lines)))
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for x, y in sorted(map(tuple, near)):
-        x, y = sorted((top(x), top(y)))
-        up[y] = x
-    got = {r.doc_id for r in line_dedup.dedup_lines(rows).where("n_removed = 1").collect()}
-    want = {k for k in range(len(lines)) if top(k) != k}
-    assert len(want) > 50 and got == want
-
-
 def test_line_dedup_short_lines(spark):
     rows = [(1, "Yes\nno way\n\n--\nYes."), (2, "yes!\nmaybe\n--\n\nNo  way"), (3, "read all of it\nmaybe not"), (4, "Read all of it\nother")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
