@@ -53,13 +53,6 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     )
 
 
-def spread(pairs: DataFrame) -> DataFrame:
-    """Pairs dealt evenly over tasks, whatever their bytes: what follows costs by the
-    length of texts, and adaptive execution would merge such small rows into one task."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n)
-
-
 @dataclass(frozen=True)
 class Rule:
     """What a link tells of two rows' differences from one reference row.
@@ -79,13 +72,14 @@ def linked_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """entries: (key, id), stored or cheap to read twice; rows that share a key are candidates.
     verify: of pairs (a, b), those that are links, with a score that is higher for nearer pairs.
-    differences: of pairs (ref, id), all of them as (ref, id, n, nr, score, diff): sizes of id and
-    ref, the score (null if they aren't linked), and the tokens that only one of them has.
+    differences: of pairs (ref, id, open), all of them as (ref, id, n, nr, score, diff): sizes of
+    id and ref, the score (null if they aren't linked; wanted where open), and the tokens that
+    only one of them has.
     Gives (id, component) of linked ids, and the verified links."""
     heads = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
     shared = materialize(entries.join(heads, "key"), f"{label}-shared")
-    pairs = shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = materialize(verify(materialize(pairs, f"{label}-pairs")).select("a", "b", "score"), f"{label}-links")
+    star = materialize(shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), f"{label}-pairs")
+    links = materialize(verify(star).select("a", "b", "score"), f"{label}-links")
     found = materialize(components(links, f"{label}-star"), f"{label}-groups")
 
     tagged = shared.join(found, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("c"))
@@ -93,7 +87,12 @@ def linked_groups(
     both = links.select("a", "b", "score").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     hub = both.groupBy(F.col("a").alias("leader")).agg(F.max(F.struct("score", "b"))["b"].alias("hub"))
     group = tagged.join(mixed, "key", "left_semi").select("leader", "id").distinct().join(hub, "leader", "left")
-    group = materialize(group.select(F.coalesce("hub", "leader").alias("ref"), "id").where("ref <> id").distinct(), f"{label}-refs")
+    group = group.select(F.coalesce("hub", "leader").alias("ref"), "id").where("ref <> id").distinct()
+    # what has been verified, or is in one group already, needs no score
+    group = group.join(star.select(F.col("a").alias("ref"), F.col("b").alias("id"), F.lit(True).alias("tried")), ["ref", "id"], "left")
+    group = group.join(found.withColumnRenamed("component", "c"), "id", "left").join(found.select(F.col("id").alias("ref"), F.col("component").alias("cr")), "ref", "left")
+    group = group.select("ref", "id", (F.col("tried").isNull() & (F.coalesce("c", "id") != F.coalesce("cr", "ref"))).alias("open"))
+    group = materialize(group, f"{label}-refs")
     if not group.take(1):
         return found, links.select("a", "b")
 
