@@ -14,6 +14,7 @@ the driver sees counts only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.session import materialize
 
+#: Of two linked rows, the least size of the smaller for each unit of the larger.
+LEAST_SIZE = 0.8
 #: Rows up to which a stored side of a join is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -68,16 +71,22 @@ class Rule:
 
 
 def linked_groups(
-    entries: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], rule: Rule, label: str
+    entries: DataFrame, sizes: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], rule: Rule, label: str
 ) -> tuple[DataFrame, DataFrame]:
     """entries: (key, id), stored or cheap to read twice; rows that share a key are candidates.
+    sizes: (id, n), n > 0; of two linked rows, the smaller has at least LEAST_SIZE of the larger.
     verify: of pairs (a, b), those that are links, with a score that is higher for nearer pairs.
     differences: of pairs (ref, id, open), all of them as (ref, id, n, nr, score, diff): sizes of
     id and ref, the score (null if they aren't linked; wanted where open), and the tokens that
     only one of them has.
     Gives (id, component) of linked ids, and the verified links."""
-    heads = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
-    shared = materialize(entries.join(heads, "key"), f"{label}-shared")
+    several = entries.groupBy("key").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi")).where("__lo < __hi").select("key")
+    # rows that fit by size have bands that are one apart at most, so they share one of two keys
+    band = F.floor(F.log("n") / math.log(1 / LEAST_SIZE + 1e-9))
+    banded = entries.join(several, "key").join(sizes, "id").select("id", F.explode(F.array(band, band + 1)).alias("__band"), "key")
+    banded = materialize(banded.select("id", F.xxhash64("key", "__band").alias("key")), f"{label}-banded")
+    heads = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
+    shared = materialize(banded.join(heads, "key"), f"{label}-shared")
     star = materialize(shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), f"{label}-pairs")
     links = materialize(verify(star).select("a", "b", "score"), f"{label}-links")
     found = materialize(components(links, f"{label}-star"), f"{label}-groups")

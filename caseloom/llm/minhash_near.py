@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
         sizes, d = F.col("n") + F.col("nr"), F.size("diff")
         return both.withColumn("score", F.when(MORE * d <= LESS * sizes, (sizes - d) / (sizes + d)))
 
-    groups, _ = linked_groups(entries, verify, differences, Rule(least_shared, may_link), "minhash")
+    groups, _ = linked_groups(entries, size.select("id", "n"), verify, differences, Rule(least_shared, may_link), "minhash")
     of_set = copies.where("id < __last").select("f1", "f2", "id").join(groups, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
     alone = copies.where("id = __last").join(groups, "id").select("f1", "f2", F.col("component").alias("c"))
     linked = materialize(of_set.unionByName(alone), "minhash-components")
