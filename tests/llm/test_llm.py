@@ -267,13 +267,54 @@ def test_toxicity_held_out(spark):
     assert not toxicity.toxicity(docs, labels.where("false")).where("toxic").count()
 
 
-def test_fit_drops_only_copies_with_the_same_label():
+def test_fit_drops_only_copies_of_one_grade():
     rng = random.Random(4)
-    common = min(("w%d" % i for i in range(20_000)), key=lambda w: zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 % (1 << 64))
-    sets = [{common, *("v%d" % rng.randrange(5000) for _ in range(40))} for _ in range(200)]
-    labels = [k % 2 for k in range(200)]
-    assert toxicity.without_copies(sets, labels) == list(range(200))
-    assert toxicity.without_copies([*sets, set(sets[0]), set(sets[0])], [*labels, labels[0], 1 - labels[0]]) == [*range(200), 201]
+    draw = lambda n: np.array([rng.getrandbits(64) for _ in range(n)], "u8")
+    common = draw(30)
+    sets = [np.concatenate([common, draw(40)]) for _ in range(200)]
+    sigs = [minhash_near.signature(s).tolist() for s in sets]
+    grades = [k % 3 for k in range(200)]
+    assert toxicity.without_copies([*sigs, None, None], [*grades, 0, 0]) == list(range(202))
+    near = minhash_near.signature(np.concatenate([sets[0][:-2], draw(2)])).tolist()
+    assert toxicity.without_copies([*sigs, near, near], [*grades, grades[0], 1]) == [*range(200), 201]
+
+
+def test_cumulative_link_gradient_and_optimum():
+    rng = np.random.default_rng(6)
+    s, thetas, grades, weight = rng.normal(size=40), np.array([-0.3, 0.9]), rng.integers(0, 3, 40), rng.uniform(0.1, 1, 40)
+    _, g_s, g_t = toxicity.losses(s, thetas, grades, weight)
+    for g, x, at in ((g_s, s, lambda y: (y, thetas)), (g_t, thetas, lambda y: (s, y))):
+        for k in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            by_hand = (toxicity.losses(*at(up), grades, weight)[0] - toxicity.losses(*at(down), grades, weight)[0]) / 2e-5
+            assert abs(by_hand - g[k]) < 1e-6
+    # the fit against a search of all weights and thresholds on a grid that is made finer
+    rows = [[k for k in range(2) if rng.random() < 0.5] for _ in range(80)]
+    grades = np.array([min(2, int(len(r) * 0.9 + rng.random() * 1.2)) for r in rows])
+    w, t = toxicity.fit_cumulative_link(rows, grades, 2, l2=0.0)
+    x = np.array([[float(k in r) for k in range(2)] for r in rows])
+    n_low = (grades == 0).sum()
+    weight = np.where(grades == 0, 0.5 / n_low, 0.5 / (len(rows) - n_low))
+    value = lambda p: toxicity.losses(x @ p[:2], np.array([p[2], p[2] + np.exp(p[3])]), grades, weight)[0]
+    best, width = np.array([1.0, 1.0, 1.0, 0.0]), 3.0
+    while width > 1e-4:
+        options = [best] + [best + width * np.array(d) for d in np.ndindex(3, 3, 3, 3) for d in [np.array(d) - 1]]
+        options = [p for p in options if (p[:2] >= 0).all()]
+        new = min(options, key=value)
+        if new is best or value(new) >= value(best) - 1e-12:
+            width /= 2
+        best = new
+    assert value(np.array([*w, t[0], np.log(t[1] - t[0])])) <= value(best) + 1e-4
+
+
+def test_toxicity_keeps_clashing_columns_where_asked(spark):
+    docs = spark.createDataFrame([(1, "a", "mine"), (2, None, "mine")], "doc_id long, text string, severity string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.severity for r in toxicity.judged(docs, labels).collect()} == {"mine"}
+    assert {r.severity for r in toxicity.toxicity(docs, labels).collect()} == {0.0}
+    assert toxicity.toxicity(docs.where("false"), labels).count() == 0
 
 
 def test_quality_rules(docs, none, rows):
