@@ -70,6 +70,27 @@ class Rule:
     enough: Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
 
 
+SAMPLE, HEAVY_SHARE = 0.01, 1e-4
+
+
+def shared_keys(entries: DataFrame) -> DataFrame:
+    """Those of entries (key, id) whose key has two ids or more.
+
+    Most keys have one row, so a sum for each key before the shuffle would not shrink them:
+    rows are dealt by key once, and each key looks for a second id. Keys with over HEAVY_SHARE of
+    the rows of a sample, 1 / HEAVY_SHARE keys at most, are left out of that, as a task would
+    get all their rows; they are counted with a sum before the shuffle. The sample decides the way, not the result."""
+    sample = entries.sample(SAMPLE, seed=1).groupBy("key").count()
+    total = sample.agg(F.sum("count")).first()[0] or 0
+    heavy = materialize(sample.where(F.col("count") > max(100.0, HEAVY_SHARE * total)).select("key"), "heavy-keys")
+    own = Window.partitionBy("key")
+    light = entries.join(F.broadcast(heavy), "key", "left_anti").select("key", "id", F.min("id").over(own).alias("__lo"), F.max("id").over(own).alias("__hi"))
+    light = light.where("__lo < __hi").select("key", "id")
+    most = entries.join(F.broadcast(heavy), "key").select("key", "id")
+    several = most.groupBy("key").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi")).where("__lo < __hi").select("key")
+    return light.unionByName(most.join(F.broadcast(several), "key", "left_semi"))  # fewer than heavy
+
+
 def linked_groups(
     entries: DataFrame, sizes: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], rule: Rule, label: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -80,10 +101,9 @@ def linked_groups(
     id and ref, the score (null if they aren't linked; wanted where open), and the tokens that
     only one of them has.
     Gives (id, component) of linked ids, and the verified links."""
-    several = entries.groupBy("key").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi")).where("__lo < __hi").select("key")
     # rows that fit by size have bands that are one apart at most, so they share one of two keys
     band = F.floor(F.log("n") / math.log(1 / LEAST_SIZE + 1e-9))
-    banded = entries.join(several, "key").join(sizes, "id").select("id", F.explode(F.array(band, band + 1)).alias("__band"), "key")
+    banded = shared_keys(entries).join(sizes, "id").select("id", F.explode(F.array(band, band + 1)).alias("__band"), "key")
     banded = materialize(banded.select("id", F.xxhash64("key", "__band").alias("key")), f"{label}-banded")
     heads = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
     shared = materialize(banded.join(heads, "key"), f"{label}-shared")
