@@ -6,9 +6,12 @@ from pyspark.sql import Column, functions as F
 
 # Unit words and what they multiply by.
 UNITS = {"nghìn": 1_000, "ngàn": 1_000, "triệu": 1_000_000, "tỷ": 1_000_000_000, "tỉ": 1_000_000_000}
-AMOUNT = r"(\d+(?:[.,]\d+)*)\s*(nghìn|ngàn|triệu|tỷ|tỉ)"
+AMOUNT = r"(\d{1,3}(?:[.,]\d{3})+|\d+(?:[.,]\d+)?)\s*(nghìn|ngàn|triệu|tỷ|tỉ)?\s*(đồng|vnđ|vnd|đ(?![\p{L}]))?"
 DATE = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
-CITATION = r"(?:điểm\s+([a-zđ](?:\s*,\s*[a-zđ])*)\s+)?(?:khoản\s+(\d+)\s+)?điều\s+(\d+[a-z]?)"
+#: What stands before an article, since the last sentence, semicolon or article; and the article.
+ARTICLE = r"((?:(?!điều\s+\d)[^;.])*)điều\s+(\d{1,3}[a-zđ]?)(?![\p{L}\d])"
+POINTS = r"điểm\s+([a-zđ](?:\s*(?:,|và)\s*[a-zđ])*)(?![\p{L}\d])"
+CLAUSE = rf"(?:{POINTS}(?:(?!điểm).)*?)?khoản\s+(\d{{1,2}})"
 
 
 def number(text: Column) -> Column:
@@ -27,13 +30,19 @@ def number(text: Column) -> Column:
 
 
 def amounts(text: Column) -> Column:
-    """array<decimal(30,2)> of amounts written with a unit word, in order; at least 1000."""
+    """array<decimal(30,2)> of amounts in order, at least 1000: figures with a unit word, and
+    figures in groups of three digits with the currency's name."""
     low = F.lower(text)
-    figures = F.regexp_extract_all(low, F.lit(AMOUNT), F.lit(1))
-    units = F.regexp_extract_all(low, F.lit(AMOUNT), F.lit(2))
+    part = lambda k: F.regexp_extract_all(low, F.lit(AMOUNT), F.lit(k))
     factor = lambda u: F.coalesce(*[F.when(u == k, F.lit(v)) for k, v in UNITS.items()])
-    all_ = F.zip_with(figures, units, lambda n, u: (number(n) * factor(u)).cast("decimal(30,2)"))
-    return F.filter(all_, lambda x: x >= 1000)
+
+    def value(r: Column) -> Column:
+        grouped = r["n"].rlike(r"\d[.,]\d{3}") & (r["c"] != "")
+        plain = F.when(grouped, F.regexp_replace(r["n"], "[.,]", "").try_cast("decimal(30,2)"))
+        return F.when(r["u"] != "", (number(r["n"]) * factor(r["u"])).cast("decimal(30,2)")).otherwise(plain)
+
+    found = F.arrays_zip(part(1).alias("n"), part(2).alias("u"), part(3).alias("c"))
+    return F.filter(F.transform(found, value), lambda x: x >= 1000)
 
 
 def dates(text: Column) -> Column:
@@ -44,19 +53,20 @@ def dates(text: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """array<struct<dieu, khoan, diem>> of cited articles; points bind to the clause that follows."""
+    """array<struct<article, clause, points>>, one for each clause of each cited article, or one
+    without clause. Points bind to the clause that follows them, and all to the next article."""
     low = F.lower(text)
-    part = lambda k: F.regexp_extract_all(low, F.lit(CITATION), F.lit(k))
-    points = F.transform(part(1), lambda p: F.filter(F.split(p, r"\s*,\s*"), lambda x: x != ""))
-    return F.transform(
-        F.arrays_zip(part(3).alias("a"), part(2).alias("k"), points.alias("d")),
-        lambda r: F.struct(r["a"].alias("dieu"), r["k"].try_cast("int").alias("khoan"), r["d"].alias("diem")),
-    )
+    listed = lambda p: F.filter(F.split(p, r"\s*(?:,|và)\s*"), lambda x: x != "")
+    row = lambda a, c, p: F.struct(a.alias("article"), c.alias("clause"), p.alias("points"))
 
+    def of_article(r: Column) -> Column:
+        part = lambda k: F.regexp_extract_all(r["before"], F.lit(CLAUSE), F.lit(k))
+        clauses = F.transform(F.arrays_zip(part(2).alias("k"), part(1).alias("p")), lambda c: row(r["article"], c["k"].try_cast("int"), listed(c["p"])))
+        alone = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(r["before"], F.lit(POINTS), F.lit(1))), -1)
+        return F.when(F.size(clauses) > 0, clauses).otherwise(F.array(row(r["article"], F.lit(None).cast("int"), listed(alone))))
 
-def add_months(base: Column, n: Column) -> Column:
-    """Month addition that clamps to the month's end."""
-    return F.add_months(base, n)
+    part = lambda k: F.regexp_extract_all(low, F.lit(ARTICLE), F.lit(k))
+    return F.flatten(F.transform(F.arrays_zip(part(1).alias("before"), part(2).alias("article")), of_article))
 
 
 def roll_weekend(day: Column) -> Column:

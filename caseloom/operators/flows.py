@@ -20,12 +20,27 @@ def merge_edges(rows: DataFrame) -> DataFrame:
 
 
 def balances(edges: DataFrame) -> DataFrame:
-    """Per party: in, out, unknown amounts, balance, and its part in the flow."""
+    """Per party: in, out, unknown amounts, balance, and its part in the flow, which goes by
+    whether it pays or receives at all, known amounts or not."""
     amount = F.coalesce(F.col("amount"), F.lit(0))
     lost = F.col("amount").isNull().cast("int")
-    sides = edges.select(F.col("src").alias("party"), F.lit(0).alias("i"), amount.alias("o"), lost.alias("u")).unionByName(
-        edges.select(F.col("dst").alias("party"), amount.alias("i"), F.lit(0).alias("o"), lost.alias("u"))
+    sides = edges.select(F.col("src").alias("party"), F.lit(0).alias("i"), amount.alias("o"), lost.alias("u"), F.lit(True).alias("pays")).unionByName(
+        edges.select(F.col("dst").alias("party"), amount.alias("i"), F.lit(0).alias("o"), lost.alias("u"), F.lit(False).alias("pays"))
     )
-    out = sides.groupBy("party").agg(F.sum("i").alias("total_in"), F.sum("o").alias("total_out"), F.sum("u").alias("unknown"))
-    role = F.when((F.col("total_in") > 0) & (F.col("total_out") > 0), "middle").when(F.col("total_out") > 0, "source").otherwise("end")
-    return out.withColumns({"balance": F.col("total_in") - F.col("total_out"), "role": role})
+    out = sides.groupBy("party").agg(F.sum("i").alias("total_in"), F.sum("o").alias("total_out"), F.sum("u").alias("unknown"), F.bool_or("pays").alias("__pays"), F.bool_or(~F.col("pays")).alias("__gets"))
+    role = F.when(F.col("__pays") & F.col("__gets"), "middle").when(F.col("__pays"), "source").otherwise("end")
+    return out.withColumns({"balance": F.col("total_in") - F.col("total_out"), "role": role}).drop("__pays", "__gets")
+
+
+def gaps(edges: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(party, gap, amount): what the flow leaves open of each party: money received by a middle
+    party and not passed on (unspent), paid out by one that received less (no source), and flows
+    without an amount (unknown)."""
+    b = balances(edges)
+    middle = F.col("role") == "middle"
+    found = F.array(
+        F.when(middle & (F.col("balance") > tolerance), F.struct(F.lit("unspent").alias("gap"), F.col("balance").alias("amount"))),
+        F.when(middle & (F.col("balance") < -tolerance), F.struct(F.lit("no source").alias("gap"), (-F.col("balance")).alias("amount"))),
+        F.when(F.col("unknown") > 0, F.struct(F.lit("unknown").alias("gap"), F.col("unknown").cast("double").alias("amount"))),
+    )
+    return b.select("party", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("g")).select("party", "g.*")

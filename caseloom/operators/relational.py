@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """Latest row of each key; a change wins over an equal version of base."""
+    """Latest row of each key; a change wins over an equal version of base. One aggregate, which
+    combines before the shuffle."""
     both = base.withColumn("__src", F.lit(0)).unionByName(changes.withColumn("__src", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(version), F.desc("__src"))
-    return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__src")
+    latest = F.max_by(F.struct(*base.columns), F.struct(F.coalesce(F.col(version).isNotNull().cast("int"), F.lit(0)), F.col(version), F.col("__src")))
+    return both.groupBy(key).agg(latest.alias("__row")).select("__row.*")
 
 
 def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, parent_key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +51,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
 def drop_adjacent_repeats(rows: DataFrame, group: list[str], order: list[str], value: Column) -> DataFrame:
     """Rows whose value differs from the row before."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("__p", F.lag(value).over(w)).where(F.col("__p").isNull() | (F.col("__p") != value)).drop("__p")
+    return rows.withColumns({"__p": F.lag(value).over(w), "__k": F.row_number().over(w)}).where((F.col("__k") == 1) | ~F.col("__p").eqNullSafe(value)).drop("__p", "__k")
 
 
 def non_overlapping(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
@@ -58,9 +59,9 @@ def non_overlapping(rows: DataFrame, group: str, start: str, end: str) -> DataFr
     spans = F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("e"))))
     kept = F.aggregate(
         "spans",
-        F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("k")),
+        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("k")),
         lambda a, x: F.when(
-            x["s"].cast("long") >= a["last"],
+            a["last"].isNull() | (x["s"].cast("long") >= a["last"]),
             F.struct((-x["e"]).cast("long").alias("last"), F.array_append(a["k"], F.struct(x["s"].cast("long").alias("s"), (-x["e"]).cast("long").alias("e"))).alias("k")),
         ).otherwise(a),
         lambda a: a["k"],

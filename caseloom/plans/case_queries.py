@@ -98,11 +98,12 @@ def name_suffix_match(spark, sf_dir):
     return D.match_by_suffix(short, full).toDF("short_name", "full_name")
 
 
-@query("overlap_stitch", "SELECT item_id, text AS stitched FROM benchmark WHERE length(text) > 150 AND length(text) <= 400")
+@query("overlap_stitch", "SELECT item_id, text AS stitched FROM benchmark WHERE length(text) > 60")
 def overlap_stitch(spark, sf_dir):
     """Two overlapping scans of each item put together again."""
-    b = table(spark, sf_dir, "benchmark").where("length(text) > 150 AND length(text) <= 400")
-    return b.select("item_id", D.stitch(F.substring("text", 1, 120), F.expr("substring(text, 61)")).alias("stitched"))
+    b = table(spark, sf_dir, "benchmark").where("length(text) > 60")
+    cut, back = F.expr("int(length(text) / 2) + item_id % 7"), F.expr("20 + item_id % 10")  # uneven overlaps
+    return b.select("item_id", D.stitch(F.substring("text", F.lit(1), cut), F.substring("text", cut - back + 1, F.length("text"))).alias("stitched"))
 
 
 @query(
@@ -199,9 +200,9 @@ def age_at_date(spark, sf_dir):
 
 @query(
     "unanswered_questions",
-    """SELECT n_nationkey AS question FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)""",
+    """SELECT n_nationkey AS question FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)""",
 )
 def unanswered_questions(spark, sf_dir):
     """Plan questions that no answer names."""
-    answered = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    answered = table(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
     return table(spark, sf_dir, "nation").join(answered, "n_nationkey", "left_anti").select(F.col("n_nationkey").alias("question"))

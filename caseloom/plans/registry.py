@@ -424,7 +424,7 @@ def conversation_progress(spark, sf_dir):
     """WITH e AS (SELECT l_suppkey AS src, o_custkey AS dst, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_extendedprice END AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
        s AS (SELECT src AS party, 0 AS i, coalesce(amount, 0) AS o, (amount IS NULL)::INT AS u FROM e UNION ALL SELECT dst, coalesce(amount, 0), 0, (amount IS NULL)::INT FROM e)
        SELECT party, round(sum(i), 2) AS total_in, round(sum(o), 2) AS total_out, sum(u) AS unknown, round(sum(i) - sum(o), 2) AS balance,
-         CASE WHEN sum(i) > 0 AND sum(o) > 0 THEN 'middle' WHEN sum(o) > 0 THEN 'source' ELSE 'end' END AS role FROM s GROUP BY 1""",
+         CASE WHEN party IN (SELECT src FROM e) AND party IN (SELECT dst FROM e) THEN 'middle' WHEN party IN (SELECT src FROM e) THEN 'source' ELSE 'end' END AS role FROM s GROUP BY 1""",
 )
 def money_flows(spark, sf_dir):
     """Money in, out and unknown of each party, and its role in the flow."""
@@ -434,6 +434,20 @@ def money_flows(spark, sf_dir):
     return b.select("party", *[F.round(c, 2).alias(c) for c in ("total_in", "total_out")], "unknown", F.round("balance", 2).alias("balance"), "role")
 
 
+@query(
+    "flow_gaps",
+    """WITH e AS (SELECT l_suppkey AS src, o_custkey AS dst, CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+       s AS (SELECT src AS party, 0 AS i, coalesce(amount, 0) AS o, (amount IS NULL)::INT AS u, 1 AS p FROM e UNION ALL SELECT dst, coalesce(amount, 0), 0, (amount IS NULL)::INT, 0 FROM e),
+       b AS (SELECT party, sum(i) - sum(o) AS bal, sum(u) AS u, min(p) = 0 AND max(p) = 1 AS mid FROM s GROUP BY 1)
+       SELECT party, 'unspent' AS gap, round(bal, 2) AS amount FROM b WHERE mid AND bal > 0.005 UNION ALL SELECT party, 'no source', round(-bal, 2) FROM b WHERE mid AND bal < -0.005 UNION ALL SELECT party, 'unknown', CAST(u AS DOUBLE) FROM b WHERE u > 0""",
+)
+def flow_gaps(spark, sf_dir):
+    """What the flow of money leaves open, party by party."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("src"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice").cast("double")).alias("amount"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("dst"))
+    return flows.gaps(li.join(o, "l_orderkey"), 0.005).select("party", "gap", F.round("amount", 2).alias("amount"))
+
+
 @query(
     "flow_edges",
     """SELECT l_suppkey AS src, o_custkey AS dst, count(*) AS n, round(sum(l_extendedprice), 2) AS total, min(l_shipdate) AS first_at,
@@ -500,13 +514,14 @@ def contradictions(spark, sf_dir):
 
 @query(
     "one_sided_claims",
-    """SELECT DISTINCT c_custkey AS party FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey IN (SELECT s_nationkey FROM supplier)""",
+    """SELECT DISTINCT c_custkey AS party FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) AND c_nationkey IN (SELECT s_nationkey FROM supplier)""",
 )
 def one_sided_claims(spark, sf_dir):
     """Parties that others name but that made no statement of their own."""
     c, o, s = (table(spark, sf_dir, n) for n in ("customer", "orders", "supplier"))
     named = c.join(s.select(F.col("s_nationkey").alias("c_nationkey")).distinct(), "c_nationkey", "left_semi")
-    return named.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select(F.col("c_custkey").alias("party"))
+    said = o.where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return named.join(said, "c_custkey", "left_anti").select(F.col("c_custkey").alias("party"))
 
 
 @query(
@@ -532,15 +547,27 @@ def top_per_group(spark, sf_dir):
     return R.capped(o.join(c, "c_custkey"), ["segment"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 6).select("segment", "o_orderkey", "rank")
 
 
-@query("interval_selection")
+@query(
+    "interval_selection",
+    """WITH RECURSIVE v AS (SELECT l_orderkey AS k, CAST(date_diff('day', DATE '2000-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate) AS rn FROM lineitem),
+       w AS (SELECT k, rn, s, s + 20 AS last, true AS keep FROM v WHERE rn = 1
+         UNION ALL SELECT v.k, v.rn, v.s, CASE WHEN v.s >= w.last THEN v.s + 20 ELSE w.last END, v.s >= w.last FROM w JOIN v ON v.k = w.k AND v.rn = w.rn + 1)
+       SELECT k AS l_orderkey, s AS start, s + 20 AS stop FROM w WHERE keep""",
+)
 def interval_selection(spark, sf_dir):
-    """Non-overlapping intervals of each order: by start, longest first."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.unix_date(F.to_date("l_shipdate")).cast("long").alias("start"))
+    """Non-overlapping intervals of each order: by start, longest first (days before and after 2000)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.datediff(F.to_date("l_shipdate"), F.lit("2000-01-01").cast("date")).cast("long").alias("start"))
     spans = li.withColumn("stop", F.col("start") + 20)
     return R.non_overlapping(spans, "l_orderkey", "start", "stop")
 
 
-@query("budgeted_lines")
+@query(
+    "budgeted_lines",
+    """WITH RECURSIVE v AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(floor(l_quantity) AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(floor(l_quantity) AS BIGINT)) AS rn FROM lineitem),
+       w AS (SELECT k, rn, n, CASE WHEN q <= 100 THEN q ELSE 0 END AS used, q <= 100 AS keep FROM v WHERE rn = 1
+         UNION ALL SELECT v.k, v.rn, v.n, CASE WHEN w.used + v.q <= 100 THEN w.used + v.q ELSE w.used END, w.used + v.q <= 100 FROM w JOIN v ON v.k = w.k AND v.rn = w.rn + 1)
+       SELECT k AS l_orderkey, CAST(n AS BIGINT) AS l_linenumber FROM w WHERE keep""",
+)
 def budgeted_lines(spark, sf_dir):
     """Lines of each order, by number, that fit a quantity budget of 100."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
@@ -563,14 +590,29 @@ def deadline_engine(spark, sf_dir):
 
 @query(
     "fact_extraction",
-    """SELECT o_orderkey, nullif(CAST(o_orderkey * 1000000 AS DOUBLE), 0) AS amount, CAST(o_orderdate AS DATE) AS day, '51' AS dieu, 2 AS khoan, 'a,b' AS diem FROM orders""",
+    """WITH o AS (SELECT o_orderkey, o_custkey % 90 + 1 AS k, CAST(o_orderdate AS DATE) AS day FROM orders),
+       f AS (SELECT o_orderkey, day, 1 AS n, CAST(CASE o_orderkey % 3 WHEN 0 THEN k * 1000000 WHEN 1 THEN k * 1000 * 1000 + 200000 ELSE 0 END AS DOUBLE) AS amount, k, o_orderkey % 4 AS form FROM o)
+       SELECT o_orderkey, nullif(amount, 0) AS amount, day, article, clause, points FROM f, LATERAL (
+         SELECT CAST(k AS VARCHAR) AS article, 2 AS clause, 'a,b' AS points WHERE form = 0
+         UNION ALL SELECT '51', 1, 'b,s' WHERE form = 1 UNION ALL SELECT '51', 2, '' WHERE form = 1
+         UNION ALL SELECT CAST(k AS VARCHAR) || 'a', NULL, '' WHERE form = 2 UNION ALL SELECT '9', 3, '' WHERE form = 2
+         UNION ALL SELECT CAST(k AS VARCHAR), NULL, 'c,đ' WHERE form = 3)""",
 )
 def fact_extraction(spark, sf_dir):
-    """Amount, date and citation read back from a sentence written about each record."""
-    said = F.concat(F.lit("Chuyển "), F.col("o_orderkey").cast("string"), F.lit(" triệu ngày "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(", theo điểm a, b khoản 2 Điều 51."))
+    """Amount, date and citations read back from sentences of several forms about each record."""
+    k = (F.col("o_custkey") % 90 + 1).cast("string")
+    paid = F.when(F.col("o_orderkey") % 3 == 0, F.concat(k, F.lit(" triệu"))).when(F.col("o_orderkey") % 3 == 1, F.concat(k, F.lit(".200.000 đồng"))).otherwise("12.345 cái")
+    form = F.col("o_orderkey") % 4
+    cited = (
+        F.when(form == 0, F.concat(F.lit("điểm a, b khoản 2 Điều "), k))
+        .when(form == 1, F.lit("điểm b, s khoản 1, khoản 2 Điều 51"))
+        .when(form == 2, F.concat(F.lit("Điều "), k, F.lit("a và khoản 3 Điều 9")))
+        .otherwise(F.concat(F.lit("khoản 7; điểm c và đ Điều "), k))
+    )
+    said = F.concat(F.lit("Chuyển "), paid, F.lit(" ngày "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(", theo "), cited, F.lit("."))
     s = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("s"))
-    c = F.get(X.citations(F.col("s")), 0)
-    return s.select("o_orderkey", F.get(X.amounts(F.col("s")), 0).cast("double").alias("amount"), F.get(X.dates(F.col("s")), 0).alias("day"), c["dieu"].alias("dieu"), c["khoan"].alias("khoan"), F.array_join(c["diem"], ",").alias("diem"))
+    c = s.select("o_orderkey", F.get(X.amounts(F.col("s")), 0).cast("double").alias("amount"), F.get(X.dates(F.col("s")), 0).alias("day"), F.explode(X.citations(F.col("s"))).alias("c"))
+    return c.select("o_orderkey", "amount", "day", "c.article", "c.clause", F.array_join("c.points", ",").alias("points"))
 
 
 @query(
@@ -634,4 +676,4 @@ def word_bigram_overlap(spark, sf_dir):
     return j.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-from caseloom.plans import case_queries  # noqa: E402, F401  registers its queries here
+from caseloom.plans import case_queries, tracking_queries  # noqa: E402, F401  register their queries here

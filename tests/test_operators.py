@@ -26,8 +26,13 @@ def test_extraction(spark):
     got = one(spark, X.amounts(F.lit("5,5 triệu rồi 1.200 nghìn, 3 tỷ và 7 ngàn")))
     assert [float(x) for x in got] == [5.5e6, 1.2e6, 3e9, 7e3]
     assert one(spark, X.dates(F.lit("ngày 31/02/2020 và 1/3/2020"))) == [datetime.date(2020, 3, 1)]
-    c = one(spark, X.citations(F.lit("điểm b, s khoản 1 Điều 51 và Điều 174a")))
-    assert [(r["dieu"], r["khoan"], r["diem"]) for r in c] == [("51", 1, ["b", "s"]), ("174a", None, [])]
+    said = [float(x) for x in one(spark, X.amounts(F.lit("1.200.000 đồng, 50,000 VND, 300.000 cái, 12 đồng, 2 triệu đồng")))]
+    assert said == [1.2e6, 5e4, 2e6]
+    cited = lambda s: [(r["article"], r["clause"], r["points"]) for r in one(spark, X.citations(F.lit(s)))]
+    assert cited("điểm b, s khoản 1 Điều 51 và Điều 174a") == [("51", 1, ["b", "s"]), ("174a", None, [])]
+    assert cited("điểm b, s khoản 1, khoản 2 Điều 51") == [("51", 1, ["b", "s"]), ("51", 2, [])]
+    assert cited("khoản 9. Theo điểm a điểm c và đ khoản 3 Điều 7; điểm e Điều 8") == [("7", 3, ["c", "đ"]), ("8", None, ["e"])]
+    assert cited("không có gì") == []
     assert one(spark, X.roll_weekend(F.lit("2024-06-01").cast("date"))) == datetime.date(2024, 6, 3)
 
 
@@ -82,3 +87,33 @@ def test_document_operators(spark):
     assert one(spark, M.duration_months(F.lit("02 năm 06 tháng"))) == 30 and one(spark, M.duration_months(F.lit("x"))) is None
     s = spark.createDataFrame([(1, "The cat sat on a mat. The cat ran home today. Short one.")], "doc_id long, text string")
     assert [r.pos for r in D.summary_sentences(s).collect()] == [0]
+
+
+def test_intervals_before_the_epoch(spark):
+    from caseloom.operators import relational as R
+
+    rows = spark.createDataFrame([(1, -100, -90), (1, -95, -80), (1, -80, -70), (1, 5, 9)], "g int, s long, e long")
+    assert sorted((r.s, r.e) for r in R.non_overlapping(rows, "g", "s", "e").collect()) == [(-100, -90), (-80, -70), (5, 9)]
+
+
+def test_repeats_with_nulls(spark):
+    from caseloom.operators import relational as R
+
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "a"), (1, 4, "a"), (1, 5, None)], "g int, k int, v string")
+    assert sorted(r.k for r in R.drop_adjacent_repeats(rows, ["g"], ["k"], F.col("v")).collect()) == [1, 3, 5]
+
+
+def test_seal_draws_a_nonce_for_each_row(spark):
+    from caseloom.functions import measures as M
+
+    key = "0123456789abcdef0123456789abcdef"
+    sealed = spark.range(50).select(M.seal(F.concat(F.lit("same"), F.col("id") * 0), key, F.lit("n")).alias("s")).collect()
+    assert len({bytes(r.s)[:12] for r in sealed}) == 50
+
+
+def test_flow_roles_go_by_flows(spark):
+    from caseloom.operators import flows
+
+    edges = spark.createDataFrame([("a", "b", None), ("b", "c", 5.0)], "src string, dst string, amount double")
+    assert {r.party: r.role for r in flows.balances(edges).collect()} == {"a": "source", "b": "middle", "c": "end"}
+    assert {(r.party, r.gap) for r in flows.gaps(edges).collect()} == {("a", "unknown"), ("b", "unknown"), ("b", "no source")}
