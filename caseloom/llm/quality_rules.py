@@ -1,20 +1,25 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-Rules are boolean "reject" columns. Each rule's cost and rejection rate are
-estimated on a bounded pilot sample; the cascade then tests rules in descending
-rejection-per-cost order inside one CASE expression, so a later, dearer rule is
-evaluated only for rows the earlier ones let through. The order can never change
-the verdict (a row is kept if and only if no rule rejects it), only its price.
+A rule is a "reject" expression over the text. `cascade` tests rules inside one CASE
+expression, so a rule is evaluated only for rows that all earlier ones let through. Rules
+stand in descending order of rejection per cost, both estimated on a sample: the first
+PILOT_ROWS rows, from which one job takes a flag for each rule and the numbers of characters,
+words and lines. A rule's cost is what it does for each of them (`Rule.cost`) times the sample's
+means: a stated model, as wall times of small jobs give another order each time. The order
+can never change whether a row is kept, only the price.
+
+`judged` adds the base statistics, which every row gets, and tests the rules that they don't
+decide on rows that pass the base.
 
 Defined results: a null text has no words and fails `too_few_words`; an empty
-table gives an empty result; repeated rows are judged alike; other columns of the
-input are passed through untouched (statistics take a struct column of their own,
-so names cannot clash).
+table gives an empty result; repeated rows are judged alike; `judged` keeps all columns;
+`quality_cascade` puts stats, base_failed and kept in place of columns of these names. Names
+that begin with "__" are reserved.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,7 +35,8 @@ WINDOW = 5
 @dataclass(frozen=True)
 class Rule:
     name: str
-    reject: Column  # over the fields of the `stats` struct
+    reject: Callable[[Column], Column]  # of the text
+    cost: tuple[float, float, float]  # steps for each character, word and line
 
 
 def words_of(text: Column) -> Column:
@@ -83,7 +89,7 @@ def covered_by_repeats(hashes: Column, width: int = WINDOW) -> Column:
 def with_stats(df: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
     """Adds struct `out`: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    w, ln, h = f"{out}__w", f"{out}__l", f"{out}__h"
+    w, ln, h = "__words", "__lines", "__hashes"
     df = df.withColumns({w: words_of(t), ln: lines_of(t)})
     df = df.withColumn(h, window_hashes(F.col(w)))
     return df.withColumn(
@@ -99,47 +105,83 @@ def with_stats(df: DataFrame, text: str = "text", out: str = "stats") -> DataFra
     ).drop(w, ln, h)
 
 
-def base_failed(stats: str = "stats") -> Column:
-    s = F.col(stats)
+def base_failed(s: Column) -> Column:
     return (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
 
 
-def default_rules(stats: str = "stats") -> list[Rule]:
-    s = F.col(stats)
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is computed once, however often f names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def n_words(t: Column) -> Column:
+    return F.size(words_of(t)).cast("long")
+
+
+def n_symbols(t: Column) -> Column:
+    return F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))
+
+
+def word_chars(t: Column) -> Column:
+    return F.char_length(F.translate(t, SPACES, "")).cast("long")
+
+
+def base_rules() -> list[Rule]:
+    """The rules that the base statistics decide."""
     return [
-        Rule("too_few_words", s["n_words"] < 10),
-        Rule("repeated_words", 100 * s["n_repeat_words"] > 20 * s["n_words"]),
-        Rule("symbols", 10 * s["n_symbols"] > s["n_words"]),
-        Rule("repeated_lines", 2 * s["n_dup_lines"] > s["n_lines"]),
-        Rule("long_words", s["word_chars"] > 15 * s["n_words"]),
-        Rule("short_words", s["word_chars"] < 2 * s["n_words"]),
+        Rule("too_few_words", lambda t: n_words(t) < 10, (1, 2, 0)),
+        Rule("repeated_words", lambda t: bound(words_of(t), lambda w: 100 * bound(window_hashes(w), covered_by_repeats) > 20 * F.size(w)), (2, 40, 0)),
     ]
 
 
-#: Fields of `stats` by what it takes to compute them; a rule costs what its dearest field costs.
-FIELDS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+def further_rules() -> list[Rule]:
+    return [
+        Rule("symbols", lambda t: 10 * n_symbols(t) > n_words(t), (2, 2, 0)),
+        Rule("repeated_lines", lambda t: bound(lines_of(t), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x)), (6, 0, 12)),
+        Rule("long_words", lambda t: word_chars(t) > 15 * n_words(t), (2, 2, 0)),
+        Rule("short_words", lambda t: word_chars(t) < 2 * n_words(t), (2, 2, 0)),
+    ]
+
+
+def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", pilot_rows: int = PILOT_ROWS) -> list[Rule]:
+    """Rules by rejection per cost on at most `pilot_rows` rows. The limit is read split by
+    split until it is met; flags and three numbers of each row reach the driver."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    sizes = [F.char_length(t), F.size(words_of(t)), F.size(lines_of(t))]
+    pilot = df.select(*[r.reject(t).alias(f"r{k}") for k, r in enumerate(rules)], *[c.alias(f"s{k}") for k, c in enumerate(sizes)]).limit(pilot_rows).collect()
+    n = len(pilot)
+    means = [sum(row[f"s{k}"] for row in pilot) / max(1, n) for k in range(3)]
+
+    def score(k: int) -> float:
+        cost = 1 + sum(c * m for c, m in zip(rules[k].cost, means, strict=True))
+        return (sum(bool(row[f"r{k}"]) for row in pilot) + 1) / (n + len(rules)) / cost
+
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-score(k), k))]
+
+
+def verdict(rules: list[Rule], text: Column, first: Column | None = None) -> Column:
+    """Name of the first rule that rejects, tested in the given order; null if none does. Where
+    `first` holds, no rule is tested and the name is "base"."""
+    t = F.coalesce(text, F.lit(""))
+    start = F.when(F.lit(False) if first is None else first, F.lit("base"))
+    return reduce(lambda c, r: c.when(r.reject(t), F.lit(r.name)), rules, start)
 
 
-def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", stats: str = "stats", pilot_rows: int = PILOT_ROWS) -> list[Rule]:
-    """Rules by rejection per second on at most `pilot_rows` rows. The pilot's
-    rows stay on the executors; only one count per rule reaches the driver."""
-    pilot = with_stats(df.select(text).limit(pilot_rows), text, stats).coalesce(1)
-    scored = []
-    for k, rule in enumerate(rules):
-        t = time.perf_counter()
-        n, rejected = pilot.agg(F.count(F.lit(1)), F.count_if(rule.reject)).first()
-        cost = time.perf_counter() - t
-        scored.append((-(rejected + 1) / (n + len(rules)) / cost, k, rule))
-    return [rule for _, _, rule in sorted(scored, key=lambda x: x[:2])]
+def cascade(df: DataFrame, rules: list[Rule] | None = None, text: str = "text", pilot_rows: int = PILOT_ROWS) -> DataFrame:
+    """df with __rejected_by: the rule that rejects the row, null if it is kept."""
+    ordered = order_rules(df, rules or base_rules() + further_rules(), text, pilot_rows)
+    return df.withColumn("__rejected_by", verdict(ordered, F.col(text)))
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """Name of the first rule that rejects, tested in the given order; null if none does."""
-    return reduce(lambda c, r: c.when(r.reject, F.lit(r.name)), rules[1:], F.when(rules[0].reject, F.lit(rules[0].name)))
+def judged(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, pilot_rows: int = PILOT_ROWS) -> DataFrame:
+    """df with structs __stats (base statistics) and __verdict (base_failed, kept)."""
+    ordered = order_rules(df, rules or further_rules(), text, pilot_rows)
+    out = with_stats(df, text, "__stats").withColumn("__failed", base_failed(F.col("__stats")))
+    kept = verdict(ordered, F.col(text), F.col("__failed")).isNull()
+    return out.withColumn("__verdict", F.struct(F.col("__failed").alias("base_failed"), kept.alias("kept"))).drop("__failed")
 
 
-def quality_cascade(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, stats: str = "stats", pilot_rows: int = PILOT_ROWS) -> DataFrame:
-    """df with the `stats` struct, `base_failed` and `kept` (struct-free names must not be taken)."""
-    ordered = order_rules(df, rules or default_rules(stats), text, stats, pilot_rows)
-    out = with_stats(df, text, stats)
-    return out.withColumns({"base_failed": base_failed(stats), "kept": ~base_failed(stats) & verdict(ordered).isNull()})
+def quality_cascade(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, pilot_rows: int = PILOT_ROWS) -> DataFrame:
+    """df with the struct stats, base_failed and kept."""
+    out = judged(df.drop("stats", "base_failed", "kept"), text, rules, pilot_rows)
+    return out.withColumnsRenamed({"__stats": "stats"}).select("*", "__verdict.*").drop("__verdict")

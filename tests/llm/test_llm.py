@@ -320,7 +320,7 @@ def test_toxicity_keeps_clashing_columns_where_asked(spark):
 def test_quality_rules(docs, none, rows):
     import re
 
-    got = collections.Counter((r.doc_id, *r.stats, r.base_failed, r.kept) for r in quality_rules.quality_cascade(docs.drop("stats")).collect())
+    got = collections.Counter((r.doc_id, *r.stats, r.base_failed, r.kept) for r in quality_rules.quality_cascade(docs).collect())
     want = collections.Counter()
     for k, t in rows:
         t = t or ""
@@ -333,14 +333,33 @@ def test_quality_rules(docs, none, rows):
         kept = not (failed or 10 * sym > n or 2 * dup > len(lines) or chars > 15 * n or chars < 2 * n)
         want[(k, n, chars, sym, len(lines), dup, len(cover), failed, kept)] += 1
     assert got == want
-    assert quality_rules.quality_cascade(none.drop("stats")).count() == 0
+    assert quality_rules.quality_cascade(none).count() == 0
 
 
 def test_rules_in_any_order_agree(docs):
-    rules = quality_rules.default_rules()
-    s = quality_rules.with_stats(docs.drop("stats"))
-    both = s.select(quality_rules.verdict(rules).isNull().alias("a"), quality_rules.verdict(rules[::-1]).isNull().alias("b"))
+    rules = quality_rules.base_rules() + quality_rules.further_rules()
+    both = docs.select(quality_rules.verdict(rules, F.col("text")).isNull().alias("a"), quality_rules.verdict(rules[::-1], F.col("text")).isNull().alias("b"))
     assert both.where("a <> b").count() == 0
+    whole = quality_rules.cascade(docs).where("__rejected_by is null").select("doc_id").collect()
+    kept = quality_rules.quality_cascade(docs).where("kept").select("doc_id").collect()
+    assert sorted(whole) == sorted(kept)
+
+
+def test_cascade_skips_rules_and_keeps_its_order(docs):
+    names = [[r.name for r in quality_rules.order_rules(docs, quality_rules.base_rules() + quality_rules.further_rules())] for _ in range(3)]
+    assert names[0] == names[1] == names[2]
+    cheap = quality_rules.Rule("all", lambda t: t.isNotNull(), (0, 0, 0))
+    fails = quality_rules.Rule("fails", lambda t: F.raise_error(F.concat(F.lit("evaluated"), F.left(t, F.lit(1)))).cast("boolean"), (9, 9, 9))
+    got = docs.select(quality_rules.verdict([cheap, fails], F.col("text")).alias("v")).distinct().collect()
+    assert [r.v for r in got] == ["all"]
+    with pytest.raises(Exception, match="evaluated"):
+        docs.select(quality_rules.verdict([fails, cheap], F.col("text")).alias("v")).collect()
+
+
+def test_judged_keeps_all_columns(docs):
+    clash = docs.withColumns({"kept": F.lit("mine"), "base_failed": F.lit("own")})
+    got = quality_rules.judged(clash).select(*clash.columns, "__verdict.kept").collect()
+    assert {(r[-2], r[-3]) for r in got} == {("own", "mine")}
 
 
 def test_token_counts(docs, none, rows):
