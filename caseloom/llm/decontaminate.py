@@ -11,10 +11,14 @@ The benchmark is the query set: it is dealt in blocks of at most `block_chars`
 characters, each sent to the executors and run against all documents, so that what is
 sent stays bounded however large the benchmark grows.
 
-Defined results: null or empty documents match nothing; items that are null or shorter
-than `min_chars` after normalising are too short to tell a leak from common words: they
-match only a document that equals them; repeated rows are each matched; an empty table on either side gives an empty
-result; other columns are ignored by `leaks` and kept by `decontaminate`.
+Items shorter than `min_chars` after normalising occur only without edits and on word limits
+(no letter or digit beside them), as a few edits would turn them into other words.
+
+Defined results: null or empty documents and items match nothing; repeated rows are each
+matched; documents and items without an id are matched like all others, their ids null (of
+items without an id, a document gets the nearest); an empty table on either side gives an empty
+result, or leaves all documents; other columns are ignored by `leaks` and kept by
+`decontaminate`, which needs no ids.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ERROR_SHARE = 0.08
 MIN_CHARS = 40
@@ -68,12 +72,9 @@ def myers(item: str, window: str, most: int) -> tuple[int, int] | None:
 class Matcher:
     """Finds the items of one block in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_share: float = ERROR_SHARE, min_chars: int = MIN_CHARS):
-        self.items = [(i, t, int(len(t) * error_share)) for i, t in items if len(t) >= min_chars]
-        self.short: dict[str, list[int]] = {}
-        for i, t in items:
-            if 0 < len(t) < min_chars:
-                self.short.setdefault(t, []).append(i)
+    def __init__(self, items: list[tuple[int | None, str]], error_share: float = ERROR_SHARE, min_chars: int = MIN_CHARS):
+        self.items = [(i, t, int(len(t) * error_share) if len(t) >= min_chars else 0) for i, t in items if t]
+        self.least = min_chars
         spots: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, errors) in enumerate(self.items):
             for start, piece in pieces(t, errors):
@@ -85,9 +86,9 @@ class Matcher:
             self.automaton.make_automaton()
         self.some = bool(spots)
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item id, distance, first, last character) of the best match of each item."""
-        out = [(i, 0, 0, len(text)) for i in self.short.get(text, ())]
+        out: list[tuple[int | None, int, int, int]] = []
         if not self.some:
             return out
         hits: dict[int, set[int]] = {}
@@ -96,6 +97,11 @@ class Matcher:
                 hits.setdefault(k, set()).add(last + 1 - end)  # where the item would begin
         for k, starts in hits.items():
             item, t, errors = self.items[k]
+            if len(t) < self.least:
+                whole = [s for s in sorted(starts) if not text[s - 1 : s].isalnum() and not text[s + len(t) : s + len(t) + 1].isalnum()]
+                if whole:
+                    out.append((item, 0, whole[0], whole[0] + len(t)))
+                continue
             best, upto = None, -1
             for s in sorted(starts):
                 if s <= upto:
@@ -117,15 +123,25 @@ class Matcher:
         return out
 
 
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark, each distinct item once, in blocks of at most block_chars characters (or one item)."""
+    block: list[tuple[int | None, str]] = []
+    size = 0
+    for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+        t = normalise(r["text"])
+        if block and size + len(t) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((r["item_id"], t))
+        size += len(t)
+    yield block
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that occurs in it: its best match."""
     docs = docs.select("doc_id", "text")
-    items = benchmark.where("item_id is not null").groupBy("item_id", "text").agg(F.lit(1).alias("__one")).orderBy("item_id", "text")
-    block: list[tuple[int, str]] = []
-    found: list[DataFrame] = []
-    size = 0
 
-    def scan(own: list[tuple[int, str]]) -> DataFrame:
+    def scan(own: list[tuple[int | None, str]]) -> DataFrame:
         made: list[Matcher] = []
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,29 +150,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHAR
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    best: dict[int, tuple] = {}
+                    best: dict[int | None, tuple] = {}
                     for item, *m in made[0].find(normalise(text)):
                         best[item] = min(best.get(item, (1 << 30,)), tuple(m))
-                    rows += [(doc, item, *m) for item, m in best.items()]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "first_char", "last_char"])
+                    rows += [(None if pd.isna(doc) else doc, item, *m) for item, m in best.items()]
+                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "first_char", "last_char"])
+                yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         return docs.mapInPandas(run, SCHEMA)
 
-    for r in items.toLocalIterator():
-        t = normalise(r["text"])
-        if block and size + len(t) > block_chars:
-            found.append(scan(block))
-            block, size = [], 0
-        block.append((r["item_id"], t))
-        size += len(t)
-    found.append(scan(block))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = None
+    for own in blocks(benchmark, block_chars):
+        out = scan(own) if out is None else out.unionByName(scan(own))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those in which a benchmark item occurs; columns as they were."""
-    hit = leaks(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without those in which a benchmark item occurs; columns as they were. Rows are judged
+    where they stand, so nothing is joined and rows without an id are judged as well."""
+
+    def clean(own: list[tuple[int | None, str]]) -> Column:
+        made: list[Matcher] = []
+
+        @F.pandas_udf(T.BooleanType())
+        def judge(texts: pd.Series) -> pd.Series:
+            if not made:
+                made.append(Matcher(own, error_share, min_chars))
+            return pd.Series([not made[0].find(normalise(t)) for t in texts], dtype=bool)
+
+        return judge("text")
+
+    for own in blocks(benchmark, block_chars):
+        docs = docs.where(clean(own))
+    return docs

@@ -4,6 +4,7 @@ empty and very long texts, repeated rows, ties, clashing column names, empty tab
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -153,7 +154,7 @@ def test_min_cut_is_minimal():
 
 def test_decontamination(spark, docs, rows):
     rng = random.Random(9)
-    items = [(k, rows[k][1][:150]) for k in (1, 8, 14)] + [(90, None), (91, ""), (92, "one"), (93, "q" * 80)]
+    items = [(k, rows[k][1][:150]) for k in (1, 8, 14)] + [(90, None), (91, ""), (92, "one"), (93, "q" * 80), (94, " ".join(rows[4][1].split()[2:5])), (95, rows[6][1].split()[0][:2])]
     worn = list(rows[8][1][:150])
     worn[20:22] = "zzz"
     more = spark.createDataFrame([(100, "pre fix " + "".join(worn) + " after")], "doc_id long, text string")
@@ -171,18 +172,22 @@ def test_decontamination(spark, docs, rows):
 
     want = set()
     for k, t in [*rows, (100, more.first().text)]:
-        if k == 37:
-            continue
         for i, item in items:
             a, b = decontaminate.normalise(item), decontaminate.normalise(t)
-            if len(a) >= decontaminate.MIN_CHARS and distance(a, b) <= int(len(a) * decontaminate.ERROR_SHARE):
+            if k != 37 and len(a) >= decontaminate.MIN_CHARS and distance(a, b) <= int(len(a) * decontaminate.ERROR_SHARE):
                 want.add((k, i, distance(a, b)))
-            elif a and a == b:
+            elif a and len(a) < decontaminate.MIN_CHARS and re.search(r"(?<![^\W_])" + re.escape(a) + r"(?![^\W_])", b):
                 want.add((k, i, 0))
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(every, bench).collect()}
     assert got == want and any(k == 100 for k, _, _ in got)
     small = decontaminate.leaks(every, bench, block_chars=200)  # several blocks
     assert {(r.doc_id, r.item_id, r.distance) for r in small.collect()} == want
+    bare = spark.createDataFrame([(None, rows[1][1]), (None, "clean"), (5, None)], "doc_id long, text string")
+    nameless = spark.createDataFrame([(None, rows[1][1][:150])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(bare, nameless).collect()} == {(None, None, 0)}
+    assert sorted(r.text or "" for r in decontaminate.decontaminate(bare, nameless).collect()) == ["", "clean"]
+    assert decontaminate.leaks(docs.where("false"), bench).count() == decontaminate.leaks(docs, bench.where("false")).count() == 0
+    assert decontaminate.decontaminate(docs, bench.where("false")).count() == docs.count()
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(k not in {x for x, _, _ in want} for k, _ in rows)
 
@@ -318,8 +323,6 @@ def test_toxicity_keeps_clashing_columns_where_asked(spark):
 
 
 def test_quality_rules(docs, none, rows):
-    import re
-
     got = collections.Counter((r.doc_id, *r.stats, r.base_failed, r.kept) for r in quality_rules.quality_cascade(docs).collect())
     want = collections.Counter()
     for k, t in rows:
