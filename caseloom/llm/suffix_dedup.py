@@ -30,7 +30,6 @@ different texts apart, and rows without one lose nothing and match nothing; an e
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -49,6 +48,7 @@ STEP = (LENGTH - NAME) // 2
 # A perfect difference set modulo 133 (checked in the tests).
 COVER = (0, 1, 8, 21, 39, 43, 48, 54, 73, 105, 117, 131)
 BATCH_BYTES, BUCKET_BYTES = 2_000_000, 8_000_000
+MOST_ROWS, MOST_BYTES = 400_000, 24_000_000  # of spans, up to which they are broadcast
 
 _rng = np.random.default_rng(7_919)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype="u8")
@@ -152,8 +152,10 @@ def send(data: bytes, keys: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, u
 
 
 def repeated(source: DataFrame, buckets: int, triples: bool) -> DataFrame:
-    """source: (key long, first long, body binary). (key, places binary): of each row whose
-    suffixes share a name with another, their offsets (int64, counted from `first`)."""
+    """source: (key long, first long, body binary). (key, spans binary): of each row whose
+    suffixes share a name with another, the union of what they reach (int64 pairs of begin and
+    end, counted from `first`): LENGTH bytes on, and for samples PERIOD - 1 bytes back as well."""
+    before = 0 if triples else PERIOD - 1
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uid, rows = TaskContext.get().partitionId() << 32, []
@@ -204,12 +206,13 @@ def repeated(source: DataFrame, buckets: int, triples: bool) -> DataFrame:
             upto = np.searchsorted(places, ends)
             for k, (a, b) in enumerate(zip(np.concatenate([[0], upto[:-1]]).tolist(), upto.tolist(), strict=True)):
                 if b > a:
-                    rows.append((keys[k], (places[a:b] - (ends[k] - sizes[k]) + firsts[k]).astype("i8").tobytes()))
-        return pd.DataFrame(rows, columns=["key", "places"])
+                    own = intervals(places[a:b] - (ends[k] - sizes[k]), before, LENGTH, int(sizes[k]))
+                    rows.append((keys[k], (np.array(own, "i8") + firsts[k]).tobytes()))
+        return pd.DataFrame(rows, columns=["key", "spans"])
 
     sent = source.select("key", "first", "body").mapInPandas(emit, "bucket int, uid long, kind int, blob binary")
     compared = sent.groupBy("bucket").applyInPandas(compare, "uid long, kind int, blob binary")
-    return compared.groupBy("uid").applyInPandas(place, "key long, places binary")
+    return compared.groupBy("uid").applyInPandas(place, "key long, spans binary")
 
 
 def intervals(starts: np.ndarray, before: int, after: int, size: int) -> list[tuple[int, int]]:
@@ -222,33 +225,46 @@ def intervals(starts: np.ndarray, before: int, after: int, size: int) -> list[tu
     return list(zip(a[np.concatenate([[0], cut + 1])].tolist(), b[np.concatenate([cut, [len(a) - 1]])].tolist(), strict=True))
 
 
+def union(spans: list[bytes]) -> list[tuple[int, int]]:
+    """Union of spans, as `repeated` gives them, in order; spans that touch are one."""
+    both = np.sort(np.concatenate([np.frombuffer(x, "i8").reshape(-1, 2) for x in spans]).view("i8,i8").ravel()).view("i8").reshape(-1, 2)
+    out: list[tuple[int, int]] = []
+    for a, b in both.tolist():
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def sized_spans(found: DataFrame) -> DataFrame:
+    """(doc_id, spans) of found (key, spans), stored; with a hint to broadcast if that is
+    small, by its bytes and its rows."""
+    rows, size = found.agg(F.count(F.lit(1)), F.sum(F.length("spans"))).first()
+    marks = found.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("spans").alias("spans"))
+    return F.broadcast(marks) if rows <= MOST_ROWS and (size or 0) <= MOST_BYTES else marks
+
+
 def regions(marked: DataFrame) -> DataFrame:
-    """marked: (doc_id, text, places). (key, first, body): the bytes within reach of surviving samples."""
+    """marked: (doc_id, text, spans). (key, first, body): the bytes within reach of surviving samples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 rows = []
-                for doc, text, places in pdf.iloc[at : at + 200].itertuples(index=False):
+                for doc, text, spans in pdf.iloc[at : at + 200].itertuples(index=False):
                     data = text.encode()
-                    starts = np.concatenate([np.frombuffer(p, "i8") for p in places])
-                    for a, b in intervals(starts, PERIOD - 1, LENGTH, len(data)):
+                    for a, b in union(spans):
                         if b - a >= LENGTH:
                             rows.append((doc, a, data[a:b]))
                 yield pd.DataFrame(rows, columns=["key", "first", "body"])
 
-    return marked.select("doc_id", "text", "places").mapInPandas(run, "key long, first long, body binary")
+    return marked.select("doc_id", "text", "spans").mapInPandas(run, "key long, first long, body binary")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): what is left of each document without
     the bytes under a repeated string of LENGTH bytes. with_text adds those bytes as `kept`."""
-    spark = docs.sparkSession
-
-    def clean() -> None:  # lets Spark's cleaner delete the shuffles that are out of use
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.octet_length("text")
     whole = docs.select("doc_id", F.unhex(F.md5(F.encode("text", "utf-8"))).alias("h"), size.cast("long").alias("size"))
@@ -262,24 +278,20 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     once = once.where((size >= LENGTH) & F.col("doc_id").isNotNull())
     bodies = once.select(F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("first"), F.encode("text", "utf-8").alias("body"))
     samples = materialize(repeated(bodies, buckets, False), "suffix-samples")
-    clean()
-    places = samples.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("places").alias("places"))
-    near = materialize(regions(once.join(places, "doc_id")), "suffix-regions")
-    clean()
+    near = materialize(regions(once.join(sized_spans(samples), "doc_id")), "suffix-regions")
     found = materialize(repeated(near, buckets, True), "suffix-repeats")
-    clean()
-    marks = found.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("places").alias("places"))
-    joined = docs.join(marks, "doc_id", "left").join(sized(copies), "doc_id", "left").select("doc_id", "text", "places", F.col("later").isNotNull().alias("copied"))
+    joined = docs.join(sized_spans(found), "doc_id", "left").join(sized(copies), "doc_id", "left").select("doc_id", "text", "spans", F.col("later").isNotNull().alias("copied"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 rows = []
-                for doc, text, places, copied in pdf.iloc[at : at + 200].itertuples(index=False):
+                for doc, text, found_spans, copied in pdf.iloc[at : at + 200].itertuples(index=False):
                     data, spans = text.encode(), []
                     if copied:
                         spans = [(0, len(data))]
-                    elif places is not None:
-                        spans = intervals(np.concatenate([np.frombuffer(p, "i8") for p in places]), 0, LENGTH, len(data))
+                    elif found_spans is not None:
+                        spans = union(found_spans)
                     edges = [0, *[x for s in spans for x in s], len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     rows.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
