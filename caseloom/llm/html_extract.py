@@ -60,6 +60,17 @@ class Block:
     name: str  # nearest block element
 
 
+#: Parts of class names that say where something stands or that it is there, not what the element is.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|hide|show|left|right|top|bottom)[-_][\w-]+|(?:^|(?<=\s))[\w-]+[-_](?:area|page|layout|open|closed|on|off|left|right|wrapper-main)(?=$|\s)")
+#: Class names that, as a whole, name content: such an element is not taken for noise by its other names.
+CONTENT = frozenset("article story post entry content main body text prose main-content page-content post-content post-body entry-content article-content article-body story-body".split())
+
+
+def is_noise(value: str) -> bool:
+    names = value.split()
+    return not any(n in CONTENT for n in names) and bool(NOISE.search(LAYOUT.sub(" ", value)))
+
+
 def kind_of(name: str, tag: str) -> tuple[bool, bool, bool, bool]:
     """(chrome, noise, article, good) of an element by its name and attributes."""
     chrome, noise, article, good = name in CHROME, False, name in ARTICLE, False
@@ -67,7 +78,7 @@ def kind_of(name: str, tag: str) -> tuple[bool, bool, bool, bool]:
         for attribute, value in ATTRIBUTE.findall(tag):
             attribute, value = attribute.lower(), value.strip("\"'").lower()
             if attribute in ("class", "id"):
-                noise = noise or bool(NOISE.search(value))
+                noise = noise or name not in ARTICLE and is_noise(value)
                 good = good or bool(GOOD.search(value))
             elif attribute == "role":
                 chrome = chrome or value in ROLES

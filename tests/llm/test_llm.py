@@ -138,6 +138,14 @@ def test_html_goes_on_after_custom_elements_and_empty_svg():
     assert [b.text for b in html_extract.blocks_of("<p>a<svg/>b</p>")] == ["ab"]
 
 
+def test_html_wrappers_named_by_layout_keep_the_article():
+    text = "A paragraph of an article that goes on for a good while, so that it is plainly content."
+    for tag, names in (("article", "has-sidebar"), ("main", "layout no-sidebar"), ("div", "content with-nav"), ("div", "print-area"), ("div", "legal-page"), ("div", "post tags-open"), ("div", "main-content right-side")):
+        page = f'<body><nav><a href="/">Home</a></nav><{tag} class="{names}"><h1>Head</h1><p>{text}</p><div class="related-posts"><p>Related things</p></div></{tag}><footer>x</footer>'
+        assert html_extract.extract(page)[0] == f"Head\n{text}", names
+    assert html_extract.extract(f'<article><p>{text}</p></article><div class="post-comments"><p>{text}</p></div>')[0] == text
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
