@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one. Only where that is unset (tests, local runs) one is made."""
+    cluster names one. Only in local runs one is made where that is unset; on a cluster, a
+    folder of the driver's machine would lose what executors write."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         root = os.path.join(tempfile.gettempdir(), "checkpoints", "caseloom")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
