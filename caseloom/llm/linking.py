@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caseloom.session import materialize
+from caseloom.session import discard, materialize
 
 #: Of two linked rows, the least size of the smaller for each unit of the larger.
 LEAST_SIZE = 0.8
@@ -34,7 +34,7 @@ def sized(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
-    """(id, component): the least id reachable, for every id in links (a, b), by
+    """(id, component), stored: the least id reachable, for every id in links (a, b), by
     alternating large-star and small-star steps until nothing changes."""
     edges = materialize(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label
@@ -50,10 +50,12 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), label)
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+        before, edges = edges, materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(before)
+    of_other = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    out = materialize(of_other.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), f"{label}-groups")
+    discard(edges)
+    return out
 
 
 @dataclass(frozen=True)
@@ -73,8 +75,8 @@ class Rule:
 SAMPLE, HEAVY_SHARE = 0.01, 1e-4
 
 
-def shared_keys(entries: DataFrame) -> DataFrame:
-    """Those of entries (key, id) whose key has two ids or more.
+def shared_keys(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of entries (key, id) whose key has two ids or more, and a stored table that they need.
 
     Most keys have one row, so a sum for each key before the shuffle would not shrink them:
     rows are dealt by key once, and each key looks for a second id. Keys with over HEAVY_SHARE of
@@ -88,28 +90,39 @@ def shared_keys(entries: DataFrame) -> DataFrame:
     light = light.where("__lo < __hi").select("key", "id")
     most = entries.join(F.broadcast(heavy), "key").select("key", "id")
     several = most.groupBy("key").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi")).where("__lo < __hi").select("key")
-    return light.unionByName(most.join(F.broadcast(several), "key", "left_semi"))  # fewer than heavy
+    return light.unionByName(most.join(F.broadcast(several), "key", "left_semi")), heavy  # several: fewer than heavy
+
+
+def candidates(entries: DataFrame, sizes: DataFrame, label: str) -> DataFrame:
+    """(id, key), stored, of entries (key, id), stored or cheap to read twice: rows that share a
+    key here share one there and fit by size, up to the width of a band, and no key that one row
+    has alone is left but for the bands. sizes: (id, n), n > 0; of two linked rows, the smaller
+    has at least LEAST_SIZE of the larger."""
+    # rows that fit by size have bands that are one apart at most, so they share one of two keys
+    band = F.floor(F.log("n") / math.log(1 / LEAST_SIZE + 1e-9))
+    keys, heavy = shared_keys(entries)
+    banded = keys.join(sizes, "id").select("id", F.explode(F.array(band, band + 1)).alias("__band"), "key")
+    banded = materialize(banded.select("id", F.xxhash64("key", "__band").alias("key")), f"{label}-banded")
+    discard(heavy)
+    return banded
 
 
 def linked_groups(
-    entries: DataFrame, sizes: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], rule: Rule, label: str
+    banded: DataFrame, verify: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame], rule: Rule, label: str
 ) -> tuple[DataFrame, DataFrame]:
-    """entries: (key, id), stored or cheap to read twice; rows that share a key are candidates.
-    sizes: (id, n), n > 0; of two linked rows, the smaller has at least LEAST_SIZE of the larger.
-    verify: of pairs (a, b), those that are links, with a score that is higher for nearer pairs.
-    differences: of pairs (ref, id, open), all of them as (ref, id, n, nr, score, diff): sizes of
+    """banded: what `candidates` gives; it is discarded.
+    verify: of pairs (a, b), those that are links, with a score that is higher for nearer pairs, stored.
+    differences: of pairs (ref, id, open), all of them as (ref, id, n, nr, score, diff), stored: sizes of
     id and ref, the score (null if they aren't linked; wanted where open), and the tokens that
     only one of them has.
-    Gives (id, component) of linked ids, and the verified links."""
-    # rows that fit by size have bands that are one apart at most, so they share one of two keys
-    band = F.floor(F.log("n") / math.log(1 / LEAST_SIZE + 1e-9))
-    banded = shared_keys(entries).join(sizes, "id").select("id", F.explode(F.array(band, band + 1)).alias("__band"), "key")
-    banded = materialize(banded.select("id", F.xxhash64("key", "__band").alias("key")), f"{label}-banded")
+    Gives (id, component) of linked ids, and the verified links, both stored. All other tables
+    are discarded as soon as what is made of them is stored."""
     heads = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last")).where("leader < __last").drop("__last")
     shared = materialize(banded.join(heads, "key"), f"{label}-shared")
+    discard(banded)
     star = materialize(shared.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), f"{label}-pairs")
-    links = materialize(verify(star).select("a", "b", "score"), f"{label}-links")
-    found = materialize(components(links, f"{label}-star"), f"{label}-groups")
+    links = verify(star)
+    found = components(links, label)
 
     tagged = shared.join(found, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("c"))
     mixed = tagged.groupBy("key").agg(F.min("c").alias("__lo"), F.max("c").alias("__hi")).where("__lo < __hi").select("key")
@@ -122,23 +135,31 @@ def linked_groups(
     group = group.join(found.withColumnRenamed("component", "c"), "id", "left").join(found.select(F.col("id").alias("ref"), F.col("component").alias("cr")), "ref", "left")
     group = group.select("ref", "id", (F.col("tried").isNull() & (F.coalesce("c", "id") != F.coalesce("cr", "ref"))).alias("open"))
     group = materialize(group, f"{label}-refs")
+    discard(shared, star)
     if not group.take(1):
-        return found, links.select("a", "b")
+        return found, links
 
-    diff = materialize(differences(group).select("ref", "id", "n", "nr", "score", "diff"), f"{label}-differences")
+    diff = differences(group)
     new = diff.where("score is not null").select(F.least("ref", "id").alias("a"), F.greatest("ref", "id").alias("b"), "score")
-    links = materialize(links.unionByName(new), f"{label}-links")
-    found = materialize(components(links, f"{label}-star"), f"{label}-groups")
-    pairs = materialize(by_shared_differences(diff, found, rule, label), f"{label}-pairs")
+    links, found = joined(links, new, label, found, group)
+    pairs = by_shared_differences(diff, found, rule, label)
     if pairs.take(1):
-        links = links.unionByName(materialize(verify(pairs).select("a", "b", "score"), f"{label}-links"))
-        found = materialize(components(links, f"{label}-star"), f"{label}-groups")
-    return found, links.select("a", "b")
+        new = verify(pairs)
+        links, found = joined(links, new, label, found, new)  # new is stored, too
+    discard(pairs)
+    return found, links
+
+
+def joined(links: DataFrame, new: DataFrame, label: str, *consumed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links with new ones, and the groups of both; links and what was consumed are discarded."""
+    both = materialize(links.unionByName(new.select(*links.columns)), f"{label}-links")
+    discard(links, *consumed)
+    return both, components(both, label)
 
 
 def by_shared_differences(diff: DataFrame, found: DataFrame, rule: Rule, label: str) -> DataFrame:
-    """Pairs (a, b) of rows with one reference, of different groups, of which one isn't in the
-    reference's group, that share enough differences from it to be linked.
+    """Pairs (a, b), stored, of rows with one reference, of different groups, of which one isn't in the
+    reference's group, that share enough differences from it to be linked. diff is discarded.
 
     A prefix filter: a row's differences are put in one order, rarest first, and a pair that
     shares t of them shares one within the first d - t + 1 of each. In a group of copies, each
@@ -149,6 +170,7 @@ def by_shared_differences(diff: DataFrame, found: DataFrame, rule: Rule, label:
         "ref", "id", "n", "nr", F.size("diff").alias("d"), F.coalesce("c", "id").alias("c"), (F.coalesce("c", "id") != F.coalesce("cr", "ref")).alias("apart"), "diff"
     )
     rows = materialize(rows.join(rows.where("apart").select("ref").distinct(), "ref", "left_semi"), f"{label}-rows")
+    discard(diff)
     tokens = rows.select("ref", "id", "apart", F.explode("diff").alias("token"))
     of_use = tokens.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("f"), F.max("apart").alias("__any")).where("f > 1 and __any").drop("__any")
     own = Window.partitionBy("ref", "id")
@@ -164,4 +186,6 @@ def by_shared_differences(diff: DataFrame, found: DataFrame, rule: Rule, label:
         placed.alias("y"),
         (x("ref") == y("ref")) & (x("token") == y("token")) & (x("c") != y("c")) & (~y("apart") | (x("id") < y("id"))) & rule.enough(x, y, most),
     )
-    return met.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct()
+    pairs = materialize(met.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct(), f"{label}-pairs")
+    discard(rows, placed)
+    return pairs

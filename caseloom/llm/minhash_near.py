@@ -29,8 +29,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.llm.linking import Rule, linked_groups, sized
-from caseloom.session import materialize
+from caseloom.llm.linking import Rule, candidates, linked_groups, sized
+from caseloom.session import discard, materialize
 
 CHUNKS, WIDTH, ERRORS, BITS = 13, 6, 1, 16
 WORDS, PERCENT = 2, 80
@@ -153,33 +153,42 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     entries = copies.select("id", F.explode(chunk_keys(F.col("sig"))).alias("key"))
     size = copies.select("id", "n", "f1", "f2")
 
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with both sets, sa and sb."""
+    def with_sets(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """pairs (a, b) with both sets, sa and sb, and the stored table of sets."""
         named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = materialize(shingle_sets(docs, materialize(size.join(named, "id").select("id", "f1", "f2"), "minhash-ids"), words), "minhash-members")
+        ids = materialize(size.join(named, "id").select("id", "f1", "f2"), "minhash-ids")
+        sets = materialize(shingle_sets(docs, ids, words), "minhash-members")
+        discard(ids)
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        return both.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+        return both.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"), sets
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = size.select(F.col("id").alias("a"), F.col("n").alias("na"))
         b = size.select(F.col("id").alias("b"), F.col("n").alias("nb"))
         fit = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb")
-        both = with_sets(materialize(fit, "minhash-pairs"))
+        fit = materialize(fit, "minhash-pairs")
+        both, sets = with_sets(fit)
         both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
         union = F.col("na") + F.col("nb") - F.col("common")
-        return both.where(100 * F.col("common") >= PERCENT * union).select("a", "b", (F.col("common") / union).alias("score"))
+        links = materialize(both.where(100 * F.col("common") >= PERCENT * union).select("a", "b", (F.col("common") / union).alias("score")), "minhash-links")
+        discard(fit, sets)
+        return links
 
     def differences(pairs: DataFrame) -> DataFrame:
-        both = with_sets(pairs.select(F.col("ref").alias("a"), F.col("id").alias("b")))
+        both, sets = with_sets(pairs.select(F.col("ref").alias("a"), F.col("id").alias("b")))
         diff = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))
         both = both.select(F.col("a").alias("ref"), F.col("b").alias("id"), F.size("sb").alias("n"), F.size("sa").alias("nr"), diff.alias("diff"))
-        sizes, d = F.col("n") + F.col("nr"), F.size("diff")
-        return both.withColumn("score", F.when(MORE * d <= LESS * sizes, (sizes - d) / (sizes + d)))
+        sums, d = F.col("n") + F.col("nr"), F.size("diff")
+        out = materialize(both.withColumn("score", F.when(MORE * d <= LESS * sums, (sums - d) / (sums + d))), "minhash-differences")
+        discard(sets)
+        return out
 
-    groups, _ = linked_groups(entries, size.select("id", "n"), verify, differences, Rule(least_shared, may_link), "minhash")
+    banded = candidates(entries, size.select("id", "n"), "minhash")
+    groups, links = linked_groups(banded, verify, differences, Rule(least_shared, may_link), "minhash")
     of_set = copies.where("id < __last").select("f1", "f2", "id").join(groups, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
     alone = copies.where("id = __last").join(groups, "id").select("f1", "f2", F.col("component").alias("c"))
     linked = materialize(of_set.unionByName(alone), "minhash-components")
+    discard(copies, groups, links)
     return (
         profile.select("doc_id", "n_shingles", "f1", "f2")
         .join(linked, ["f1", "f2"], "left")
