@@ -70,6 +70,10 @@ class Rule:
 
     least: Callable[[Column, Column, Column, Column], Column]
     enough: Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
+    #: far(part, size): whether a row of `size` tokens is by size alone apart from a common part of
+    #: `part` tokens. With it, differences gives two columns more: t, the tokens of id, and own, how
+    #: many of diff are these; they come first.
+    far: Callable[[Column, Column], Column] | None = None
 
 
 SAMPLE, HEAVY_SHARE = 0.01, 1e-4
@@ -167,10 +171,16 @@ def by_shared_differences(diff: DataFrame, found: DataFrame, rule: Rule, label:
     their prefixes don't meet."""
     ours, theirs = found.select("id", F.col("component").alias("c")), found.select(F.col("id").alias("ref"), F.col("component").alias("cr"))
     rows = diff.join(ours, "id", "left").join(theirs, "ref", "left").select(
-        "ref", "id", "n", "nr", F.size("diff").alias("d"), F.coalesce("c", "id").alias("c"), (F.coalesce("c", "id") != F.coalesce("cr", "ref")).alias("apart"), "diff"
+        "ref", "id", "n", "nr", F.size("diff").alias("d"), F.coalesce("c", "id").alias("c"), (F.coalesce("c", "id") != F.coalesce("cr", "ref")).alias("apart"), "diff", *(["t", "own"] if rule.far else [])
     )
     rows = materialize(rows.join(rows.where("apart").select("ref").distinct(), "ref", "left_semi"), f"{label}-rows")
     discard(diff)
+    stored = [rows]
+    if rule.far is None:
+        rows = rows.withColumn("far", F.lit(False))
+    else:
+        rows = materialize(by_common_part(rows, rule), f"{label}-frames")
+        stored.append(rows)
     tokens = rows.select("ref", "id", "apart", F.explode("diff").alias("token"))
     of_use = tokens.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("f"), F.max("apart").alias("__any")).where("f > 1 and __any").drop("__any")
     own = Window.partitionBy("ref", "id")
@@ -178,14 +188,40 @@ def by_shared_differences(diff: DataFrame, found: DataFrame, rule: Rule, label:
         "ref", "id", "token", F.row_number().over(own.orderBy("f", "token")).alias("k"), F.count(F.lit(1)).over(own).alias("m")
     )
     # tokens that no pair shares come first in the order: they fill the first d - m places
-    placed = placed.join(rows.drop("diff"), ["ref", "id"]).withColumn("pos", F.col("d") - F.col("m") + F.col("k"))
+    placed = placed.join(rows.select("ref", "id", "n", "nr", "d", "c", "apart", "far"), ["ref", "id"]).withColumn("pos", F.col("d") - F.col("m") + F.col("k"))
     placed = materialize(placed.where(F.col("pos") <= F.col("d") - rule.least(*map(F.col, ("d", "n", "nr", "apart"))) + 1), f"{label}-prefixes")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     most = 1 + F.least(x("d") - x("pos"), y("d") - y("pos"))
-    met = placed.where("apart").alias("x").join(
-        placed.alias("y"),
-        (x("ref") == y("ref")) & (x("token") == y("token")) & (x("c") != y("c")) & (~y("apart") | (x("id") < y("id"))) & rule.enough(x, y, most),
-    )
-    pairs = materialize(met.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct(), f"{label}-pairs")
-    discard(rows, placed)
+
+    def meeting(one: str, other: str) -> DataFrame:
+        fit = (x("ref") == y("ref")) & (x("token") == y("token")) & (x("c") != y("c")) & (~y("apart") | y("far") | (x("id") < y("id"))) & rule.enough(x, y, most)
+        met = placed.where(one).alias("x").join(placed.where(other).alias("y"), fit)
+        return met.select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b"))
+
+    met = meeting("apart and not far", "true")
+    if rule.far is not None:
+        met = met.unionByName(meeting("apart and far", "not apart"))
+    pairs = materialize(met.distinct(), f"{label}-pairs")
+    discard(*stored, placed)
     return pairs
+
+
+def by_common_part(rows: DataFrame, rule: Rule) -> DataFrame:
+    """rows with `far`, and once more the far ones, by their differences from the common part.
+
+    Rows that are built around one passage share all that their reference has beside it, which
+    tells nothing of how near they are to each other. The reference with all changes that over
+    half of the rows apart from it have (twice a row's mean at most) is their common part: rows
+    far from that, too, meet each other only by their differences from it, under a reference of
+    its own."""
+    apart = rows.where("apart")
+    many = apart.groupBy("ref").agg(F.count(F.lit(1)).alias("rows")).where("rows > 2")
+    common = apart.select("ref", "own", F.posexplode("diff").alias("pos", "token"))
+    common = common.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("f"), F.max(F.when(F.col("pos") < F.col("own"), 1).otherwise(-1)).alias("sign"))
+    common = common.join(many, "ref").where("2 * f > rows").groupBy("ref").agg(F.collect_list("token").alias("common"), F.sum("sign").alias("more"))
+    both = rows.join(common, "ref", "left").withColumn("__far_diff", F.concat(F.array_except("diff", "common"), F.array_except("common", "diff")))
+    part = F.col("t") + F.col("d") - 2 * F.col("own") + F.col("more")  # tokens of the reference, and what the part has more
+    both = both.withColumn("far", F.coalesce(F.col("apart") & rule.far(part, F.col("t")), F.lit(False)))
+    framed = both.where("far").withColumns({"ref": F.xxhash64("ref", F.lit("common")), "diff": F.col("__far_diff"), "d": F.size("__far_diff"), "far": F.lit(False)})
+    columns = ["ref", "id", "n", "nr", "d", "c", "apart", "far", "diff"]
+    return both.select(*columns).unionByName(framed.select(*columns))
