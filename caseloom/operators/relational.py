@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caseloom.operators import ranges
+
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
     """Latest row of each key; a change wins over an equal version of base. One aggregate, which
@@ -32,10 +34,8 @@ def reconcile(rows: DataFrame, key: str, value: str, rank: Column) -> DataFrame:
 
 
 def valid_at(facts: DataFrame, rules: DataFrame, when: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Interval join: rules whose [start, end] holds the fact's date; null bounds are open.
-    rules is a small table of laws; Spark plans a broadcast nested loop only if its size allows."""
-    c = (F.col(start).isNull() | (F.col(when) >= F.col(start))) & (F.col(end).isNull() | (F.col(when) <= F.col(end)))
-    return facts.join(rules, c)
+    """Rules whose [start, end] holds the fact's date; null bounds are open. An equi-join on dyadic bins."""
+    return ranges.at_point(facts, rules, when, start, end)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:

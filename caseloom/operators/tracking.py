@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caseloom.operators import ranges
+
 
 def ranked(value: Column, order: list[str]) -> Column:
     """Place of value in a fixed order, from 0; after the last for any other."""
@@ -103,15 +105,9 @@ def rebuilt_catalogue(curated: DataFrame, generated: DataFrame, official: DataFr
     return rows.join(hidden.select(key), key, "left_anti")
 
 
-def without_overlaps(rows: DataFrame, others: DataFrame, group: str, start: str, end: str, width: int) -> DataFrame:
-    """rows whose [start, end) meets none of others' in the same group. Both are no longer than
-    `width`, so intervals that meet lie in one or neighbouring slots: an equi-join on the slot."""
-    at = lambda c: F.floor(F.col(c) / width)
-    a = rows.withColumn("__slot", F.explode(F.array(at(start) - 1, at(start), at(start) + 1))).alias("a")
-    b = others.select(group, F.col(start).alias("__s"), F.col(end).alias("__e"), at(start).alias("__slot")).alias("b")
-    on = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.__slot") == F.col("b.__slot")) & (F.col(f"a.{start}") < F.col("b.__e")) & (F.col("b.__s") < F.col(f"a.{end}"))
-    met = a.join(b, on, "left_semi").select(group, start, end).distinct()
-    return rows.join(met, [group, start, end], "left_anti")
+def without_overlaps(rows: DataFrame, others: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """rows whose [start, end) meets none of others' in the same group, whatever their lengths."""
+    return ranges.not_overlapping(rows, others, (start, end), [group], closed=False)
 
 
 def lockouts(events: DataFrame, key: str, order: list[str], failed: Column, cleared: Column, every: int = 5, minutes: int = 5) -> DataFrame:

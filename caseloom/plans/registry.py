@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from caseloom.functions import extract as X, text as T
-from caseloom.operators import deadlines, flows, language, relational as R, retrieval
+from caseloom.operators import deadlines, flows, language, ranges, relational as R, retrieval
 from caseloom.session import table
 
 QUERIES: dict = {}
@@ -121,11 +121,10 @@ def html_strip(spark, sf_dir):
 )
 def document_facets(spark, sf_dir):
     """Facet counts by language and source with totals, and hits of a folded search."""
-    _docs(spark, sf_dir).withColumn("hit", F.lower("text").contains("the")).createOrReplaceTempView("facet_documents")
-    return spark.sql(
-        "SELECT lang, source, count(*) AS n, count_if(hit) AS n_hits, CAST(grouping(lang) AS BIGINT) AS g_lang, CAST(grouping(source) AS BIGINT) AS g_source "
-        "FROM facet_documents GROUP BY GROUPING SETS ((lang, source), (lang), ())"
-    )
+    d = _docs(spark, sf_dir)
+    hits = F.count_if(F.lower("text").contains("the")).alias("n_hits")
+    totals = [F.grouping(c).cast("long").alias(f"g_{c}") for c in ("lang", "source")]
+    return d.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"), hits, *totals)
 
 
 @query(
@@ -316,12 +315,11 @@ def law_in_force(spark, sf_dir):
        SELECT k AS clause, count(*) AS n FROM (SELECT o_orderkey, max(k) AS k FROM orders JOIN f ON o_totalprice >= lo AND (hi IS NULL OR o_totalprice < hi) GROUP BY 1) GROUP BY 1""",
 )
 def amount_frames(spark, sf_dir):
-    """Highest clause whose amount range holds the record's amount: the frames are a few
-    constants, so the range join is one CASE-like fold per row and needs no shuffle."""
-    frames = [(1, 0.0, 50000.0), (2, 50000.0, 150000.0), (3, 100000.0, 250000.0), (4, 250000.0, None)]
-    amount = F.col("o_totalprice")
-    clause = F.greatest(*[F.when((amount >= lo) & (F.lit(True) if hi is None else amount < hi), F.lit(k)) for k, lo, hi in frames])
-    return table(spark, sf_dir, "orders").select(clause.alias("clause")).where("clause is not null").groupBy("clause").agg(F.count(F.lit(1)).alias("n"))
+    """Highest clause whose amount range holds the record's amount, by a table of frames."""
+    frames = spark.createDataFrame([(1, 0.0, 50000.0), (2, 50000.0, 150000.0), (3, 100000.0, 250000.0), (4, 250000.0, None)], "clause int, lo double, hi double")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    held = ranges.at_point(o, frames, "o_totalprice", "lo", "hi", closed=False).groupBy("o_orderkey").agg(F.max("clause").alias("clause"))
+    return held.groupBy("clause").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -676,4 +674,4 @@ def word_bigram_overlap(spark, sf_dir):
     return j.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-from caseloom.plans import case_queries, tracking_queries  # noqa: E402, F401  register their queries here
+from caseloom.plans import analysis_queries, case_queries, tracking_queries  # noqa: E402, F401  register their queries here

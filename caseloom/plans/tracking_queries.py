@@ -169,15 +169,16 @@ def rebuilt_catalogue(spark, sf_dir):
 
 @query(
     "issues_without_overlap",
-    """WITH a AS (SELECT DISTINCT l_orderkey AS g, l_partkey % 500 AS s, l_partkey % 500 + 12 AS e FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey AS g, l_suppkey * 7 % 500 AS s, l_suppkey * 7 % 500 + 20 AS e FROM lineitem WHERE l_linenumber % 2 = 1)
-       SELECT g AS doc, s AS start, e AS stop FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.g = a.g AND a.s < b.e AND b.s < a.e)""",
+    """WITH a AS (SELECT DISTINCT l_orderkey AS g, l_partkey % 500 AS s, l_partkey % 500 + 12 AS e FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey AS g, l_suppkey * 7 % 500 AS s, CASE WHEN l_quantity < 49 THEN l_suppkey * 7 % 500 + CASE WHEN l_quantity < 40 THEN 20 ELSE 400 END END AS e FROM lineitem WHERE l_linenumber % 2 = 1)
+       SELECT g AS doc, s AS start, e AS stop FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.g = a.g AND (b.e IS NULL OR a.s < b.e) AND b.s < a.e)""",
 )
 def issues_without_overlap(spark, sf_dir):
     """Spans of one finder that meet none of another's in the same text."""
     li = table(spark, sf_dir, "lineitem")
     a = li.where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 500).alias("start")).distinct().withColumn("stop", F.col("start") + 12)
-    b = li.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") * 7 % 500).alias("start")).withColumn("stop", F.col("start") + 20)
-    return K.without_overlaps(a, b, "doc", "start", "stop", 20)
+    long = F.when(F.col("l_quantity") < 40, 20).when(F.col("l_quantity") < 49, 400)  # or without an end
+    b = li.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") * 7 % 500).alias("start"), (F.col("l_suppkey") * 7 % 500 + long).alias("stop"))
+    return K.without_overlaps(a, b, "doc", "start", "stop")
 
 
 @query("usage_counters", "SELECT event_type AS kind, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1")
