@@ -1,17 +1,22 @@
-"""Extraction kernels: amounts, dates, citations, ranges. Column expressions."""
+"""Extraction kernels: amounts, dates, citations. Column expressions.
+
+Amounts and citations are read token by token: a text becomes an array of words, numbers and
+marks, one pattern for each kind, and what a number means follows from the tokens after it (amounts) or from a
+fold over what came before it (citations)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Unit words and what they multiply by.
+# Unit words and what they multiply by; names of the currency; the least amount.
 UNITS = {"nghìn": 1_000, "ngàn": 1_000, "triệu": 1_000_000, "tỷ": 1_000_000_000, "tỉ": 1_000_000_000}
-AMOUNT = r"(\d{1,3}(?:[.,]\d{3})+|\d+(?:[.,]\d+)?)\s*(nghìn|ngàn|triệu|tỷ|tỉ)?\s*(đồng|vnđ|vnd|đ(?![\p{L}]))?"
+CURRENCY = ("đồng", "vnđ", "vnd", "đ")
+LEAST_AMOUNT = 1000
+# Token kinds.
+WORD, FIGURE, MARK = r"\p{L}+", r"\d+(?:[.,]\d+)*", r"[^\s\p{L}\d]"
+#: Words of a citation: point, clause, article; what joins points; what ends a citation.
+POINT, CLAUSE, ARTICLE, JOINS, ENDS = "điểm", "khoản", "điều", (",", "và"), (".", ";")
 DATE = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
-#: What stands before an article, since the last sentence, semicolon or article; and the article.
-ARTICLE = r"((?:(?!điều\s+\d)[^;.])*)điều\s+(\d{1,3}[a-zđ]?)(?![\p{L}\d])"
-POINTS = r"điểm\s+([a-zđ](?:\s*(?:,|và)\s*[a-zđ])*)(?![\p{L}\d])"
-CLAUSE = rf"(?:{POINTS}(?:(?!điểm).)*?)?khoản\s+(\d{{1,2}})"
 
 
 def number(text: Column) -> Column:
@@ -29,20 +34,33 @@ def number(text: Column) -> Column:
     )
 
 
+def all_threes(groups: Column) -> Column:
+    """Whether there are groups of digits after the first, all of three."""
+    after = F.slice(groups, 2, F.greatest(F.size(groups) - 1, F.lit(0)))
+    return (F.size(after) > 0) & F.forall(after, lambda g: F.length(g) == 3)
+
+
+def counted(figure: Column) -> Column:
+    """A figure before a unit word: a comma is the decimal mark; dots part thousands if three digits
+    follow each, and a single other dot is a decimal mark."""
+    sides = F.split(figure, ",")
+    groups = F.split(sides[0], r"\.")
+    whole = F.when((F.size(groups) == 1) | all_threes(groups), F.array_join(groups, "")).when(F.size(groups) == 2, sides[0])
+    return F.when(F.size(sides) == 1, whole).otherwise(F.concat_ws(".", F.replace(whole, F.lit("."), F.lit("")), sides[1])).try_cast("decimal(20,3)")
+
+
 def amounts(text: Column) -> Column:
-    """array<decimal(30,2)> of amounts in order, at least 1000: figures with a unit word, and
-    figures in groups of three digits with the currency's name."""
-    low = F.lower(text)
-    part = lambda k: F.regexp_extract_all(low, F.lit(AMOUNT), F.lit(k))
-    factor = lambda u: F.coalesce(*[F.when(u == k, F.lit(v)) for k, v in UNITS.items()])
+    """array<decimal(30,2)> of amounts in order, at least LEAST_AMOUNT: figures before a unit word, and
+    figures in groups of three digits before the currency's name."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(f"({FIGURE}|{WORD}|{MARK})"), F.lit(1))
+    factor = lambda word: F.coalesce(*[F.when(word == k, F.lit(v)) for k, v in UNITS.items()])
 
-    def value(r: Column) -> Column:
-        grouped = r["n"].rlike(r"\d[.,]\d{3}") & (r["c"] != "")
-        plain = F.when(grouped, F.regexp_replace(r["n"], "[.,]", "").try_cast("decimal(30,2)"))
-        return F.when(r["u"] != "", (number(r["n"]) * factor(r["u"])).cast("decimal(30,2)")).otherwise(plain)
+    def value(token: Column, follows: Column) -> Column:
+        by_unit = (counted(token) * factor(follows)).cast("decimal(30,2)")
+        in_full = F.when(all_threes(F.split(token, "[.,]")), F.regexp_replace(token, "[.,]", "").try_cast("decimal(30,2)"))
+        return F.when(token.rlike(r"^\d"), F.when(follows.isin(*UNITS), by_unit).when(follows.isin(*CURRENCY), in_full))
 
-    found = F.arrays_zip(part(1).alias("n"), part(2).alias("u"), part(3).alias("c"))
-    return F.filter(F.transform(found, value), lambda x: x >= 1000)
+    return F.filter(F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), value), lambda x: x >= LEAST_AMOUNT)
 
 
 def dates(text: Column) -> Column:
@@ -52,21 +70,39 @@ def dates(text: Column) -> Column:
     return F.filter(F.transform(iso, lambda s: s.try_cast("date")), lambda d: d.isNotNull())
 
 
+_STATE = "struct<after: string, points: array<string>, open: array<struct<clause: int, points: array<string>>>, out: array<struct<article: string, clause: int, points: array<string>>>>"
+
+
 def citations(text: Column) -> Column:
     """array<struct<article, clause, points>>, one for each clause of each cited article, or one
-    without clause. Points bind to the clause that follows them, and all to the next article."""
-    low = F.lower(text)
-    listed = lambda p: F.filter(F.split(p, r"\s*(?:,|và)\s*"), lambda x: x != "")
-    row = lambda a, c, p: F.struct(a.alias("article"), c.alias("clause"), p.alias("points"))
-
-    def of_article(r: Column) -> Column:
-        part = lambda k: F.regexp_extract_all(r["before"], F.lit(CLAUSE), F.lit(k))
-        clauses = F.transform(F.arrays_zip(part(2).alias("k"), part(1).alias("p")), lambda c: row(r["article"], c["k"].try_cast("int"), listed(c["p"])))
-        alone = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(r["before"], F.lit(POINTS), F.lit(1))), -1)
-        return F.when(F.size(clauses) > 0, clauses).otherwise(F.array(row(r["article"], F.lit(None).cast("int"), listed(alone))))
-
-    part = lambda k: F.regexp_extract_all(low, F.lit(ARTICLE), F.lit(k))
-    return F.flatten(F.transform(F.arrays_zip(part(1).alias("before"), part(2).alias("article")), of_article))
+    without clause. Points bind to the clause that follows them, and all to the next article; a full stop or
+    semicolon forgets what no article has taken."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|\d+\p{L}*|[.;,])"), F.lit(1))
+    no = lambda kind: F.array().cast(kind)
+    none, nothing = no("array<string>"), no("array<struct<clause: int, points: array<string>>>")
+
+    def state(a: Column, **new: Column) -> Column:
+        return F.struct(*[new.get(k, a[k]).alias(k) for k in ("after", "points", "open", "out")]).cast(_STATE)
+
+    def step(a: Column, t: Column) -> Column:
+        """after: the mark whose operand is awaited ("" for none; "list" once a point is read)."""
+        in_points = a["after"].isin(POINT, "list")
+        clause = F.struct(t.try_cast("int").alias("clause"), a["points"].alias("points"))
+        bare = F.array(F.struct(F.lit(None).cast("int").alias("clause"), a["points"].alias("points")))
+        taken = F.when(F.size(a["open"]) > 0, a["open"]).otherwise(bare)
+        cited = F.transform(taken, lambda c: F.struct(t.alias("article"), c["clause"].alias("clause"), c["points"].alias("points")))
+        return (
+            F.when(t.isin(*ENDS), state(a, after=F.lit(""), points=none, open=nothing))
+            .when(t.isin(POINT, CLAUSE, ARTICLE), state(a, after=t))
+            .when(in_points & t.rlike("^[a-zđ]$"), state(a, after=F.lit("list"), points=F.when(a["after"] == POINT, F.array(t)).otherwise(F.array_append(a["points"], t))))
+            .when((a["after"] == "list") & t.isin(*JOINS), a)
+            .when((a["after"] == CLAUSE) & t.rlike(r"^\d{1,2}$"), state(a, after=F.lit(""), points=none, open=F.array_append(a["open"], clause)))
+            .when((a["after"] == ARTICLE) & t.rlike(r"^\d{1,3}[a-zđ]?$"), state(a, after=F.lit(""), points=none, open=nothing, out=F.concat(a["out"], cited)))
+            .otherwise(state(a, after=F.lit("")))
+        )
+
+    start = F.struct(F.lit("").alias("after"), none.alias("points"), nothing.alias("open"), no("array<struct<article: string, clause: int, points: array<string>>>").alias("out")).cast(_STATE)
+    return F.aggregate(tokens, start, step, lambda a: a["out"])
 
 
 def roll_weekend(day: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from caseloom.functions import text as T
+
 
 def duration_months(text: Column) -> Column:
-    """Months of a term written with năm (years) and tháng (months); null if it has neither."""
-    part = lambda unit: F.regexp_extract(F.lower(text), rf"(\d+)\s*{unit}", 1).try_cast("int")
-    years, months = part("năm"), part("tháng")
+    """Months of a term written with năm (years) and tháng (months), with or without their marks; null if it has neither."""
+    part = lambda unit: F.regexp_extract(T.fold(text), rf"(\d+)\s*{unit}(?![a-z])", 1).try_cast("int")
+    years, months = part("nam"), part("thang")
     return F.when(years.isNotNull() | months.isNotNull(), F.coalesce(12 * years, F.lit(0)) + F.coalesce(months, F.lit(0)))
 
 

@@ -116,10 +116,14 @@ def permissions(defaults: Column, overrides: Column) -> Column:
     return F.array_sort(F.array_except(F.array_union(defaults, on), off))
 
 
-def restore(existing: DataFrame, imported: DataFrame, key: str, valid: Column) -> DataFrame:
-    """Imported rows that are valid win over existing rows of the same key."""
+def restore(existing: DataFrame, imported: DataFrame, key: str, valid: Column, version: Column | None = None) -> DataFrame:
+    """Imported rows that are valid win over existing rows of the same key. Of several of one key the
+    one of the largest version stays (nulls lowest; without a version, and among equal ones, the greatest row)."""
     good = imported.where(F.coalesce(valid, F.lit(False)))
-    return good.unionByName(existing.join(good.select(key).distinct(), key, "left_anti").select(*good.columns))
+    row = F.struct(*good.columns)
+    rank = F.struct(row) if version is None else F.struct(version.isNotNull(), version, row)
+    last = good.groupBy(key).agg(F.max_by(row, rank).alias("__row")).select("__row.*")
+    return last.unionByName(existing.join(last.select(key), key, "left_anti").select(*last.columns))
 
 
 def fill_empty(base: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:

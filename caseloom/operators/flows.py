@@ -1,46 +1,95 @@
-"""Money flows: edges between parties, their confirmation, and per-party balances."""
+"""Money flows: edges between parties, their confirmation, edits, balances, gaps and profiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+EDGE = ["src", "dst", "kind", "amount"]
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
     """rows: (src, dst, kind, amount, at, said_by). Edges merged by (src, dst, kind, amount):
     how often, when first, and whether payer, receiver, both or others said so."""
-    return rows.groupBy("src", "dst", "kind", "amount").agg(
+    return rows.groupBy(*EDGE).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("at").alias("first_at"),
-        F.bool_or(F.col("said_by") == F.col("src")).alias("by_payer"),
-        F.bool_or(F.col("said_by") == F.col("dst")).alias("by_receiver"),
-    ).withColumn(
-        "confirmed",
-        F.when(F.col("by_payer") & F.col("by_receiver"), "both").when(F.col("by_payer"), "payer").when(F.col("by_receiver"), "receiver").otherwise("third"),
-    )
+        F.coalesce(F.bool_or(F.col("said_by") == F.col("src")), F.lit(False)).alias("by_payer"),
+        F.coalesce(F.bool_or(F.col("said_by") == F.col("dst")), F.lit(False)).alias("by_receiver"),
+    ).withColumn("confirmed", confirmation(F.col("by_payer"), F.col("by_receiver")))
+
+
+def confirmation(by_payer: Column, by_receiver: Column) -> Column:
+    return F.when(by_payer & by_receiver, "both").when(by_payer, "payer").when(by_receiver, "receiver").otherwise("third")
+
 
+def edited_edges(edges: DataFrame, edits: DataFrame) -> DataFrame:
+    """Merged edges after an investigator's edits (src, dst, kind, amount, action): `reverse` turns the edge and
+    who confirmed it, `drop` removes it, `kind:x` makes it one of kind x. An edge takes one edit,
+    the last by name if there are several; edits of unknown edges and unknown actions change nothing."""
+    last = edits.groupBy(*[F.col(c).alias(f"__{c}") for c in EDGE]).agg(F.max("action").alias("__action"))
+    same = F.lit(True)
+    for c in EDGE:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    j = edges.join(last, same, "left").where("__action is null or __action <> 'drop'")
+    back = F.coalesce(F.col("__action") == "reverse", F.lit(False))
+    kind = F.when(F.col("__action").startswith("kind:"), F.substring("__action", 6, 1 << 20)).otherwise(F.col("kind"))
+    turned = {"src": F.when(back, F.col("dst")).otherwise(F.col("src")), "dst": F.when(back, F.col("src")).otherwise(F.col("dst")), "kind": kind}
+    turned |= {"by_payer": F.when(back, F.col("by_receiver")).otherwise(F.col("by_payer")), "by_receiver": F.when(back, F.col("by_payer")).otherwise(F.col("by_receiver"))}
+    return j.withColumns(turned).withColumn("confirmed", confirmation(F.col("by_payer"), F.col("by_receiver"))).select(*edges.columns)
 
-def balances(edges: DataFrame) -> DataFrame:
-    """Per party: in, out, unknown amounts, balance, and its part in the flow, which goes by
-    whether it pays or receives at all, known amounts or not."""
+
+def balances(edges: DataFrame, withdrawals: DataFrame | None = None) -> DataFrame:
+    """Per party: in, out, withdrawn, flows of unknown amount, balance, and its part in the flow, which goes by
+    whether it pays or receives at all, known amounts or not. withdrawals: (party, amount)."""
     amount = F.coalesce(F.col("amount"), F.lit(0))
     lost = F.col("amount").isNull().cast("int")
-    sides = edges.select(F.col("src").alias("party"), F.lit(0).alias("i"), amount.alias("o"), lost.alias("u"), F.lit(True).alias("pays")).unionByName(
-        edges.select(F.col("dst").alias("party"), amount.alias("i"), F.lit(0).alias("o"), lost.alias("u"), F.lit(False).alias("pays"))
-    )
-    out = sides.groupBy("party").agg(F.sum("i").alias("total_in"), F.sum("o").alias("total_out"), F.sum("u").alias("unknown"), F.bool_or("pays").alias("__pays"), F.bool_or(~F.col("pays")).alias("__gets"))
-    role = F.when(F.col("__pays") & F.col("__gets"), "middle").when(F.col("__pays"), "source").otherwise("end")
-    return out.withColumns({"balance": F.col("total_in") - F.col("total_out"), "role": role}).drop("__pays", "__gets")
+    zero = F.lit(0)
+    side = lambda party, i, o, w, u, what: [F.col(party).alias("party"), i.alias("i"), o.alias("o"), w.alias("w"), u.alias("u"), F.lit(what).alias("what")]
+    sides = edges.select(*side("src", zero, amount, zero, lost, "pays")).unionByName(edges.select(*side("dst", amount, zero, zero, lost, "gets")))
+    if withdrawals is not None:
+        sides = sides.unionByName(withdrawals.select(*side("party", zero, zero, amount, F.lit(0), "draws")))
+    has = lambda what: F.bool_or(F.col("what") == what)
+    out = sides.groupBy("party").agg(
+        F.sum("i").alias("total_in"), F.sum("o").alias("total_out"), F.sum("w").alias("withdrawn"), F.sum("u").alias("unknown"),
+        F.count_if(F.col("what") == "gets").alias("n_in"), F.count_if(F.col("what") == "pays").alias("n_out"), has("pays").alias("__pays"), has("gets").alias("__gets"), has("draws").alias("__draws"),
+    )
+    role = F.when(F.col("__pays") & F.col("__gets"), "middle").when(F.col("__pays") | F.col("__draws"), "source").otherwise("end")
+    return out.withColumns({"balance": F.col("total_in") + F.col("withdrawn") - F.col("total_out"), "role": role}).drop("__pays", "__gets", "__draws")
 
 
-def gaps(edges: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """(party, gap, amount): what the flow leaves open of each party: money received by a middle
-    party and not passed on (unspent), paid out by one that received less (no source), and flows
-    without an amount (unknown)."""
-    b = balances(edges)
-    middle = F.col("role") == "middle"
+def gaps(edges: DataFrame, withdrawals: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
+    """(party, gap, amount): what the flow leaves open. By known sums, whatever the party's role:
+    unspent: known to have come in (received or withdrawn) and not seen to go out, of a party that pays out a known
+    amount, or that withdrew and pays nothing; no source: more paid out than is known to have come in;
+    unknown: how many flows of the party have no amount. If edges have `confirmed`, one row without a party
+    counts those that not both sides confirm (one-sided)."""
+    b = balances(edges, withdrawals)
+    got = F.col("total_in") + F.col("withdrawn")
+    pays, left = F.col("total_out") > 0, F.col("balance")
+    unspent = F.when(pays & (left > tolerance) & (got > 0), left).when(~pays & (F.col("withdrawn") > tolerance), F.col("withdrawn"))
+    gap = lambda name, amount: F.struct(F.lit(name).alias("gap"), amount.cast("double").alias("amount"))
     found = F.array(
-        F.when(middle & (F.col("balance") > tolerance), F.struct(F.lit("unspent").alias("gap"), F.col("balance").alias("amount"))),
-        F.when(middle & (F.col("balance") < -tolerance), F.struct(F.lit("no source").alias("gap"), (-F.col("balance")).alias("amount"))),
-        F.when(F.col("unknown") > 0, F.struct(F.lit("unknown").alias("gap"), F.col("unknown").cast("double").alias("amount"))),
+        F.when(unspent.isNotNull(), gap("unspent", unspent)),
+        F.when(pays & (left < -tolerance), gap("no source", -left)),
+        F.when(F.col("unknown") > 0, gap("unknown", F.col("unknown"))),
     )
-    return b.select("party", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("g")).select("party", "g.*")
+    out = b.select("party", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("g")).select("party", "g.*")
+    if "confirmed" in edges.columns:
+        one = edges.agg(F.count_if(F.col("confirmed") != "both").cast("double").alias("amount")).where("amount > 0")
+        out = out.unionByName(one.select(F.lit(None).cast(b.schema["party"].dataType).alias("party"), F.lit("one-sided").alias("gap"), "amount"))
+    return out
+
+
+def profiles(edges: DataFrame, withdrawals: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """Per party: its balance, its `most` largest counterparts (by flows, then name), the first day and its gaps. Counterparts
+    are counted before they are ranked, so a party with many flows is one row per counterpart."""
+    from pyspark.sql import Window
+
+    both = edges.select(F.col("src").alias("party"), F.col("dst").alias("other"), "n", "first_at").unionByName(edges.select(F.col("dst").alias("party"), F.col("src").alias("other"), "n", "first_at"))
+    by = both.groupBy("party", "other").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
+    place = F.row_number().over(Window.partitionBy("party").orderBy(F.desc("n"), "other"))
+    near = by.withColumn("__k", place).where(F.col("__k") <= most).groupBy("party").agg(F.array_sort(F.collect_list(F.struct("__k", "other"))).alias("__o"))
+    first = by.groupBy("party").agg(F.count(F.lit(1)).alias("n_others"), F.min("first_at").alias("first_at"))
+    open_ = gaps(edges, withdrawals).where("party is not null").groupBy("party").agg(F.array_join(F.array_sort(F.collect_set("gap")), ",").alias("gaps"))
+    out = balances(edges, withdrawals).join(near, "party", "left").join(first, "party", "left").join(open_, "party", "left")
+    return out.select("party", "role", "total_in", "total_out", "withdrawn", "balance", "n_in", "n_out", "n_others", "first_at", F.transform("__o", lambda x: x["other"]).alias("others"), F.coalesce("gaps", F.lit("")).alias("gaps"))

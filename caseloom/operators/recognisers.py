@@ -39,12 +39,13 @@ def automaton(phrases: list[tuple[str, str, str]]) -> ahocorasick.Automaton:
     return auto
 
 
-def matches(auto: ahocorasick.Automaton, text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, stop, kind, phrase id) of hits on word limits, by their ends."""
+def matches(auto: ahocorasick.Automaton, text: str, limits: bool = True) -> Iterator[tuple[int, int, str, str]]:
+    """(start, stop, kind, phrase id) of hits, on word limits or anywhere, by their ends."""
     low = lowered(text)
     for end, (n, ps) in auto.iter(low):
         start, stop = end + 1 - n, end + 1
-        if not (start and low[start - 1].isalnum() and low[start].isalnum()) and not (stop < len(low) and low[stop].isalnum() and low[end].isalnum()):
+        inside = start and low[start - 1].isalnum() and low[start].isalnum() or stop < len(low) and low[stop].isalnum() and low[end].isalnum()
+        if not (limits and inside):
             for phrase_id, _, kind in ps:
                 yield start, stop, kind, phrase_id
 
@@ -63,7 +64,7 @@ def outside(hits: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str,
     return kept
 
 
-def raw_hits(rows: DataFrame, keys: Sequence[str], text: str, phrases: list[tuple[str, str, str]], settled: bool) -> DataFrame:
+def raw_hits(rows: DataFrame, keys: Sequence[str], text: str, phrases: list[tuple[str, str, str]], settled: bool, limits: bool) -> DataFrame:
     fields = [StructField(k, rows.schema[k].dataType) for k in keys]
     fields += [StructField("phrase_id", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("kind", StringType())]
     types = to_arrow_schema(StructType(fields))
@@ -73,7 +74,7 @@ def raw_hits(rows: DataFrame, keys: Sequence[str], text: str, phrases: list[tupl
         for batch in batches:
             at, found = [], []
             for k, t in enumerate(batch.column(text)):
-                hits = list(matches(auto, t.as_py() or "")) if phrases else []
+                hits = list(matches(auto, t.as_py() or "", limits)) if phrases else []
                 if settled:
                     hits = [] if any(h[2] == "deny" for h in hits) else outside(hits)
                 at += [k] * len(hits)
@@ -85,9 +86,9 @@ def raw_hits(rows: DataFrame, keys: Sequence[str], text: str, phrases: list[tupl
     return rows.select(*keys, text).mapInArrow(run, StructType(fields))
 
 
-def phrase_hits(rows: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def phrase_hits(rows: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, block_chars: int = BLOCK_CHARS, limits: bool = True) -> DataFrame:
     """(keys, phrase_id, start, stop): where phrases (phrase_id, phrase, kind) stand in each row's text,
-    whatever their case, on word limits. keys tell rows apart.
+    whatever their case, on word limits unless `limits` is unset. keys tell rows apart.
 
     kind `find`: these are the hits. `harmless`: a hit that a harmless phrase overlaps and outreaches on a
     side doesn't count (one that covers the harmless phrase does). `deny`: a row with such a phrase
@@ -102,10 +103,10 @@ def phrase_hits(rows: DataFrame, keys: Sequence[str], text: str, phrases: DataFr
         blocks[-1].append(tuple(p))
         held += len(p[1])
     if len(blocks) == 1:
-        return raw_hits(rows, keys, text, blocks[0], True).drop("kind")
-    every = raw_hits(rows, keys, text, blocks[0], False)
+        return raw_hits(rows, keys, text, blocks[0], True, limits).drop("kind")
+    every = raw_hits(rows, keys, text, blocks[0], False, limits)
     for b in blocks[1:]:
-        every = every.unionByName(raw_hits(rows, keys, text, b, False))
+        every = every.unionByName(raw_hits(rows, keys, text, b, False, limits))
     denied = every.where("kind = 'deny'").select(*keys).distinct()
     found = every.where("kind = 'find'").join(denied, list(keys), "left_anti").drop("kind")
     harmless = every.where("kind = 'harmless'").select(*keys, F.col("start").alias("__from"), F.col("stop").alias("__to"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caseloom.operators import ranges
+from caseloom.operators import ranges, scans
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
@@ -55,19 +55,15 @@ def drop_adjacent_repeats(rows: DataFrame, group: list[str], order: list[str], v
 
 
 def non_overlapping(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Greedy choice of intervals by start (longest first): one fold over each group's sorted intervals."""
-    spans = F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("e"))))
-    kept = F.aggregate(
-        "spans",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("k")),
-        lambda a, x: F.when(
-            a["last"].isNull() | (x["s"].cast("long") >= a["last"]),
-            F.struct((-x["e"]).cast("long").alias("last"), F.array_append(a["k"], F.struct(x["s"].cast("long").alias("s"), (-x["e"]).cast("long").alias("e"))).alias("k")),
-        ).otherwise(a),
-        lambda a: a["k"],
-    )
-    out = rows.groupBy(group).agg(spans.alias("spans")).select(group, F.explode(kept).alias("x"))
-    return out.select(group, F.col("x.s").alias(start), F.col("x.e").alias(end))
+    """Greedy choice of intervals by start (longest first): one pass over each group's sorted intervals, which
+    remembers where the last one chosen ends."""
+    def step(last, s, e):
+        free = last is None or s >= last
+        return (e if free else last), free
+
+    spans = rows.select(group, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end))
+    chosen = scans.scanned(spans, [group], [start, F.desc(end)], [start, end], "__free", "boolean", lambda: None, step)
+    return chosen.where("__free").drop("__free")
 
 
 def sliding_totals(events: DataFrame, key: str, time: str, value: Column, seconds: int) -> DataFrame:
@@ -92,19 +88,14 @@ def capped(rows: DataFrame, group: list[str], order: list[Column], n: int) -> Da
 
 
 def budgeted(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Greedy knapsack: in the given order, rows that still fit the budget (too large ones
-    are passed over). One fold per group over (size, key) pairs."""
-    items = F.sort_array(F.collect_list(F.struct(*order, F.col(size).alias("__size"))))
-    fold = F.aggregate(
-        "items",
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("at")),
-        lambda a, x: F.when(
-            a["used"] + x["__size"] <= budget,
-            F.struct((a["used"] + x["__size"]).alias("used"), F.array_append(a["at"], x[order[-1]].cast("long")).alias("at")),
-        ).otherwise(a),
-        lambda a: a["at"],
-    )
-    return rows.groupBy(group).agg(items.alias("items")).select(group, F.explode(fold).alias(order[-1]))
+    """Greedy knapsack: of each group's rows, in the given order, those that still fit the budget (too large
+    ones are passed over; a null size is none)."""
+    def step(used, n):
+        fits = used + (n or 0) <= budget
+        return used + (n or 0) * fits, fits
+
+    kept = scans.scanned(rows, [group], [*order, size], [size], "__fits", "boolean", lambda: 0, step)
+    return kept.where("__fits").drop("__fits")
 
 
 def status_pivot(rows: DataFrame, group: str, status: str, values: list[str]) -> DataFrame:

@@ -110,15 +110,16 @@ def without_overlaps(rows: DataFrame, others: DataFrame, group: str, start: str,
     return ranges.not_overlapping(rows, others, (start, end), [group], closed=False)
 
 
-def lockouts(events: DataFrame, key: str, order: list[str], failed: Column, cleared: Column, every: int = 5, minutes: int = 5) -> DataFrame:
+def lockouts(events: DataFrame, key: str, order: list[str], failed: Column, cleared: Column, every: int = 5, minutes: int = 5, most: int = 1 << 40) -> DataFrame:
     """Of each key, the events that lock it: every fifth failure since the last success, for
-    5, 10, 20, ... minutes."""
+    5, 10, 20, ... minutes, `most` at most (a whole number, long)."""
     w = Window.partitionBy(key).orderBy(*order)
     rounds = events.withColumn("__run", F.sum(cleared.cast("int")).over(w)).withColumn("__f", failed)
     own = Window.partitionBy(key, "__run").orderBy(*order)
     n = rounds.withColumn("__n", F.sum(F.col("__f").cast("int")).over(own))
     hit = n.where(F.col("__f") & (F.col("__n") % every == 0))
-    return hit.withColumn("minutes", (F.lit(minutes) * F.pow(F.lit(2), F.col("__n") / every - 1)).cast("int")).drop("__run", "__f", "__n")
+    doubled = F.pow(F.lit(2), F.least(F.col("__n") / every - 1, F.lit(62)))
+    return hit.withColumn("minutes", F.least(F.lit(float(most)), minutes * doubled).cast("long")).drop("__run", "__f", "__n")
 
 
 def shown(rows: DataFrame, group: str, most: int = 5, ratio: float = 0.35, by_words: int = 2) -> DataFrame:

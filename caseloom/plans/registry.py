@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from caseloom.functions import extract as X, text as T
-from caseloom.operators import deadlines, flows, language, ranges, relational as R, retrieval
+from caseloom.operators import deadlines, flows, language, ranges, recognisers, relational as R, retrieval
 from caseloom.session import table
 
 QUERIES: dict = {}
@@ -130,23 +130,17 @@ def document_facets(spark, sf_dir):
 @query(
     "keyword_search",
     rf"""SELECT doc_id, count(*) AS n_items FROM (
-           SELECT d.doc_id, b.item_id FROM (SELECT doc_id, ' ' || trim(regexp_replace({_FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS k FROM documents) d
-           JOIN (SELECT item_id, substring(trim(regexp_replace({_FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), 1, 24) AS q FROM benchmark) b ON contains(d.k, ' ' || b.q)
+           SELECT d.doc_id, b.item_id FROM (SELECT doc_id, ' ' || trim(regexp_replace({_FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS k FROM documents) d
+           JOIN (SELECT item_id, trim(regexp_replace({_FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS q FROM benchmark) b ON q <> '' AND contains(d.k, ' ' || b.q || ' ')
          ) GROUP BY doc_id""",
 )
 def keyword_search(spark, sf_dir):
-    """Documents with a word sequence that begins like a benchmark item. The items are the
-    query set; Spark joins each document's words with the items' first word, then verifies."""
-    key = lambda c: T.match_key(T.fold(c))
-    docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit(" "), key(F.col("text"))).alias("k"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(key(F.col("text")), 1, 24).alias("q")).withColumn("w", F.split("q", " ")[0])
-    words = docs.select("doc_id", "k", F.explode(F.array_distinct(F.split(F.trim("k"), " "))).alias("word"))
-    full = items.where(F.length("w") < F.length("q"))
-    hit = words.join(full.withColumnRenamed("w", "word"), "word").where(F.col("k").contains(F.concat(F.lit(" "), F.col("q"))))
-    single = items.where(F.length("w") >= F.length("q")).withColumn("p", F.substring("w", 1, 24))
-    prefix = words.withColumn("p", F.substring("word", 1, 24)).join(single, "p").where(F.col("word").startswith(F.col("q")))
-    pairs = hit.select("doc_id", "item_id").unionByName(prefix.select("doc_id", "item_id")).distinct()
-    return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
+    """Documents that hold the words of a benchmark item, all and in order: one scan with an automaton
+    of the items, which are the query set."""
+    key = T.match_key(T.fold(F.col("text")))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), key.alias("phrase"), F.lit("find").alias("kind"))
+    hits = recognisers.phrase_hits(_docs(spark, sf_dir).select("doc_id", key.alias("k")), ["doc_id"], "k", items)
+    return hits.select("doc_id", "phrase_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
 @query(
@@ -164,10 +158,59 @@ def tf_idf_ranking(spark, sf_dir):
     return retrieval.tf_idf_rank(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id", "rank")
 
 
-@query("chunk_packing")
+#: chunks(doc_id, chunk_no, chunk), paragraph by paragraph.
+_CHUNKS = r"""ps AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda p: trim(p, ' ' || chr(9) || chr(13) || chr(11) || chr(12) || chr(160))), lambda p: p <> '') AS ps FROM documents),
+  para AS (SELECT doc_id, unnest(range(len(ps))) + 1 AS k, unnest(ps) AS p FROM ps),
+  walk AS (SELECT doc_id, 0::BIGINT AS k, ''::VARCHAR AS open, []::VARCHAR[] AS done FROM (SELECT DISTINCT doc_id FROM para)
+    UNION ALL SELECT w.doc_id, w.k + 1,
+      CASE WHEN length(p) > 1440 THEN '' WHEN w.open <> '' AND length(w.open) + length(p) <= 900 THEN w.open || chr(10) || p ELSE p END,
+      CASE WHEN w.open <> '' AND length(w.open) + length(p) > 900 THEN [w.open] ELSE [] END || CASE WHEN length(p) > 1440 THEN list_transform(range(0, length(p), 900), lambda i: substring(p, i + 1, 900)) ELSE [] END
+    FROM walk w JOIN para ON para.doc_id = w.doc_id AND para.k = w.k + 1),
+  ended AS (SELECT doc_id, k, done FROM walk UNION ALL SELECT doc_id, k + 1, [open] FROM walk WHERE open <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1 AND k = (SELECT max(k) FROM para x WHERE x.doc_id = walk.doc_id)),
+  made AS (SELECT doc_id, k, unnest(range(len(done))) AS j, unnest(done) AS chunk FROM ended),
+  chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS chunk_no, chunk FROM made)"""
+
+
+@query("chunk_packing", f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_no::INTEGER AS chunk_no, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM chunks")
 def chunk_packing(spark, sf_dir):
     """Chunks of about 900 characters: number and hash of each."""
-    return retrieval.pack_chunks(_docs(spark, sf_dir)).select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+    return retrieval.pack_chunks(_docs(spark, sf_dir)).select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+_RANKED = rf"""{_CHUNKS}, c AS (SELECT doc_id, chunk_no, chunk, {_FOLD.format('chunk')} AS low, {_TOKENS.format('chunk')} AS w FROM chunks),
+  q AS (SELECT item_id, list_distinct({_TOKENS.format('text')}) AS bag, {_TOKENS.format('text')} AS w, trim(regexp_replace({_FOLD.format('text')}, '\s+', ' ', 'g')) AS q FROM benchmark),
+  first_of AS (SELECT item_id, q, list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL) AS ts FROM q),
+  pairs AS (SELECT item_id, unnest(list_transform(range(1, len(ts)::BIGINT), lambda i: ts[i] || ' ' || ts[i + 1])) AS phrase, 1.5 AS v FROM first_of UNION ALL SELECT item_id, q, 6.0 FROM first_of WHERE length(q) > 6 AND len(ts) > 0),
+  tf AS (SELECT doc_id, chunk_no, t, count(*) AS tf FROM (SELECT doc_id, chunk_no, unnest(w) AS t FROM c) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+  parts AS (SELECT item_id, doc_id, chunk_no, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM c) / df) AS v FROM (SELECT item_id, unnest(ts) AS t FROM first_of) JOIN tf USING (t) JOIN df USING (t)
+    UNION ALL SELECT item_id, doc_id, chunk_no, v FROM pairs JOIN c ON contains(c.low, phrase)),
+  scored AS (SELECT item_id, doc_id, chunk_no, round(sum(v) / sqrt(1 + len(w) / 120), 6) AS score FROM parts JOIN c USING (doc_id, chunk_no) GROUP BY item_id, doc_id, chunk_no, w),
+  top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 8)"""
+
+
+def _ranked(spark, sf_dir):
+    return retrieval.rank_chunks(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("chunk_ranking", f"WITH RECURSIVE {_RANKED} SELECT item_id, doc_id, chunk_no::INTEGER AS chunk_no, rank FROM top")
+def chunk_ranking(spark, sf_dir):
+    """The eight best chunks of each benchmark item."""
+    return _ranked(spark, sf_dir).select("item_id", "doc_id", "chunk_no", "rank")
+
+
+@query(
+    "context_budget",
+    rf"""WITH RECURSIVE {_RANKED}, blocks AS (SELECT item_id, rank, '[' || rank || '] (' || source || ' - ' || (chunk_no + 1) || ')' || chr(10) || chunk || chr(10) || chr(10) AS b FROM top JOIN chunks USING (doc_id, chunk_no) JOIN documents USING (doc_id)),
+         told AS (SELECT item_id, 0::BIGINT AS rank, ''::VARCHAR AS o, 0 AS n FROM (SELECT DISTINCT item_id FROM top)
+           UNION ALL SELECT t.item_id, t.rank + 1, CASE WHEN length(o) + length(b) <= 4000 THEN o || b ELSE o END, CASE WHEN length(o) + length(b) <= 4000 THEN n + 1 ELSE n END FROM told t JOIN blocks USING (item_id) WHERE blocks.rank = t.rank + 1)
+         SELECT item_id, md5(rtrim(rtrim(o, chr(10)), ' ')) AS context_md5, n AS n_used FROM told QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank DESC) = 1""",
+)
+def context_budget(spark, sf_dir):
+    """The context of each item: its best chunks as numbered blocks, within 4,000 characters."""
+    docs = _docs(spark, sf_dir)
+    named = retrieval.pack_chunks(docs).join(docs.select("doc_id", "source"), "doc_id")
+    hits = _ranked(spark, sf_dir).join(named, ["doc_id", "chunk_no"])
+    return retrieval.context(hits, "source", 4000).select("item_id", F.md5("context").alias("context_md5"), "n_used")
 
 
 _GRAMS = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD.format('text')}, '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
@@ -432,18 +475,56 @@ def money_flows(spark, sf_dir):
     return b.select("party", *[F.round(c, 2).alias(c) for c in ("total_in", "total_out")], "unknown", F.round("balance", 2).alias("balance"), "role")
 
 
-@query(
-    "flow_gaps",
-    """WITH e AS (SELECT l_suppkey AS src, o_custkey AS dst, CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-       s AS (SELECT src AS party, 0 AS i, coalesce(amount, 0) AS o, (amount IS NULL)::INT AS u, 1 AS p FROM e UNION ALL SELECT dst, coalesce(amount, 0), 0, (amount IS NULL)::INT, 0 FROM e),
-       b AS (SELECT party, sum(i) - sum(o) AS bal, sum(u) AS u, min(p) = 0 AND max(p) = 1 AS mid FROM s GROUP BY 1)
-       SELECT party, 'unspent' AS gap, round(bal, 2) AS amount FROM b WHERE mid AND bal > 0.005 UNION ALL SELECT party, 'no source', round(-bal, 2) FROM b WHERE mid AND bal < -0.005 UNION ALL SELECT party, 'unknown', CAST(u AS DOUBLE) FROM b WHERE u > 0""",
-)
+_SAID = """said AS (SELECT l_suppkey AS src, o_custkey AS dst, CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) END AS amount, l_shipdate AS said_at,
+         CASE l_linenumber % 3 WHEN 0 THEN l_suppkey WHEN 1 THEN o_custkey END AS teller FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+       e AS (SELECT src, dst, amount, count(*) AS n, min(said_at) AS first_at, coalesce(bool_or(teller = src), false) AND coalesce(bool_or(teller = dst), false) AS sure FROM said GROUP BY 1, 2, 3),
+       w AS (SELECT s_suppkey AS party, s_acctbal AS amount FROM supplier WHERE s_acctbal > 0),
+       sides AS (SELECT src AS party, 0 AS i, coalesce(amount, 0) AS o, 0 AS w, (amount IS NULL)::INT AS u, 'pays' AS what FROM e UNION ALL SELECT dst, coalesce(amount, 0), 0, 0, (amount IS NULL)::INT, 'gets' FROM e UNION ALL SELECT party, 0, 0, amount, 0, 'draws' FROM w),
+       b AS (SELECT party, sum(i) AS i, sum(o) AS o, sum(w) AS w, sum(u) AS u, bool_or(what = 'pays') AS p, bool_or(what = 'gets') AS g FROM sides GROUP BY 1),
+       gaps AS (SELECT party, 'unspent' AS gap, CASE WHEN o > 0 THEN i + w - o ELSE w END AS amount FROM b WHERE (o > 0 AND i + w - o > 0.005) OR (o = 0 AND w > 0.005)
+         UNION ALL SELECT party, 'no source', o - i - w FROM b WHERE o > 0 AND o - i - w > 0.005 UNION ALL SELECT party, 'unknown', u FROM b WHERE u > 0)"""
+
+
+def _flow(spark, sf_dir):
+    """Merged edges of the payments, and withdrawals."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice").cast("double")).alias("amount"), F.col("l_shipdate").alias("at"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("dst"))
+    by = F.when(F.col("l_linenumber") % 3 == 0, F.col("src")).when(F.col("l_linenumber") % 3 == 1, F.col("dst"))
+    drawn = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("party"), F.col("s_acctbal").alias("amount"))
+    return flows.merge_edges(li.join(o, "l_orderkey").withColumns({"said_by": by, "kind": F.lit("money")})), drawn
+
+
+@query("flow_gaps", f"WITH {_SAID} SELECT party, gap, round(amount, 2) AS amount FROM gaps UNION ALL SELECT NULL, 'one-sided', count(*) FILTER (NOT sure) FROM e")
 def flow_gaps(spark, sf_dir):
     """What the flow of money leaves open, party by party."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("src"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice").cast("double")).alias("amount"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("dst"))
-    return flows.gaps(li.join(o, "l_orderkey"), 0.005).select("party", "gap", F.round("amount", 2).alias("amount"))
+    edges, drawn = _flow(spark, sf_dir)
+    return flows.gaps(edges, drawn, 0.005).select("party", "gap", F.round("amount", 2).alias("amount"))
+
+
+@query(
+    "party_profiles",
+    f"""WITH {_SAID}, pairs AS (SELECT party, other, sum(n) AS n, min(first_at) AS first_at FROM (SELECT src AS party, dst AS other, n, first_at FROM e UNION ALL SELECT dst, src, n, first_at FROM e) GROUP BY 1, 2),
+         near AS (SELECT party, string_agg(other, ',' ORDER BY k) AS others FROM (SELECT *, row_number() OVER (PARTITION BY party ORDER BY n DESC, other) AS k FROM pairs) WHERE k <= 3 GROUP BY 1)
+         SELECT b.party, CASE WHEN p AND g THEN 'middle' WHEN p OR w > 0 THEN 'source' ELSE 'end' END AS role, round(i, 2) AS total_in, round(o, 2) AS total_out, round(w, 2) AS withdrawn, others,
+           (SELECT min(first_at) FROM pairs x WHERE x.party = b.party) AS first_at, (SELECT count(*) FROM pairs x WHERE x.party = b.party) AS n_others, coalesce((SELECT string_agg(gap, ',' ORDER BY gap) FROM gaps q WHERE q.party = b.party), '') AS gaps
+         FROM b LEFT JOIN near USING (party)""",
+)
+def party_profiles(spark, sf_dir):
+    """Each party's part in the flow, its nearest counterparts and what is open about it."""
+    p = flows.profiles(*_flow(spark, sf_dir))
+    return p.select("party", "role", *[F.round(c, 2).alias(c) for c in ("total_in", "total_out", "withdrawn")], F.array_join("others", ",").alias("others"), "first_at", F.coalesce("n_others", F.lit(0)).alias("n_others"), "gaps")
+
+
+@query(
+    "edited_flow",
+    f"""WITH {_SAID}, x AS (SELECT *, CASE WHEN n > 1 THEN 'drop' WHEN dst % 5 = 0 THEN 'reverse' WHEN dst % 5 = 1 THEN 'kind:order' END AS action FROM e)
+         SELECT CASE WHEN action = 'reverse' THEN dst ELSE src END AS src, CASE WHEN action = 'reverse' THEN src ELSE dst END AS dst, CASE WHEN action = 'kind:order' THEN 'order' ELSE 'money' END AS kind, count(*) AS n FROM x WHERE action IS DISTINCT FROM 'drop' GROUP BY ALL""",
+)
+def edited_flow(spark, sf_dir):
+    """Edges after edits: some turned round, some of another kind, some dropped."""
+    edges, _ = _flow(spark, sf_dir)
+    action = F.when(F.col("n") > 1, "drop").when(F.col("dst") % 5 == 0, "reverse").when(F.col("dst") % 5 == 1, "kind:order").otherwise("unheard of")
+    return flows.edited_edges(edges, edges.select(*flows.EDGE, action.alias("action"))).groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -569,7 +650,7 @@ def interval_selection(spark, sf_dir):
 def budgeted_lines(spark, sf_dir):
     """Lines of each order, by number, that fit a quantity budget of 100."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
-    return R.budgeted(li, "l_orderkey", ["l_linenumber"], "q", 100)
+    return R.budgeted(li, "l_orderkey", ["l_linenumber"], "q", 100).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
 
 
 @query(
