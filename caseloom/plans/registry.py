@@ -231,8 +231,21 @@ def unigram_model(spark, sf_dir):
 )
 def bigram_model(spark, sf_dir):
     """Pair counts of the n-gram model."""
-    docs = _docs(spark, sf_dir)
-    return language.bigram_counts(docs, language.unigrams(docs))
+    return language.bigram_model(_docs(spark, sf_dir))
+
+
+@query("corrected_lines")
+def corrected_lines(spark, sf_dir):
+    """Turns that lost the marks of some words, put right by a model of the documents: how many words
+    change, and how many of those that lost their marks come back."""
+    words, pairs = language.spelling_model(_docs(spark, sf_dir))
+    tok = language.letters(F.col("text"))
+    lost = F.transform(tok, lambda t: F.when(F.crc32(t) % 4 == 0, T.fold(t)).otherwise(t))
+    between = F.split("text", r"\p{L}+", -1)
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("was"), F.array_join(F.zip_with(between, lost, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"))
+    back = language.corrected(c.select("id", "text"), words, pairs).join(c.select("id", "was"), "id")
+    same = lambda a, b: F.size(F.filter(F.zip_with(language.letters(F.col(a)), language.letters(F.col(b)), lambda x, y: x != y), lambda x: x))
+    return back.select("id", "n_changed", same("text", "was").alias("n_lost"), same("corrected", "was").alias("n_wrong"))
 
 
 @query(
