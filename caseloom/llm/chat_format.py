@@ -15,7 +15,8 @@ the text and is undone by taking one backslash away.
 Defined results: null text counts as empty; turns are ordered by (turn, role, text),
 nulls first, so ties and repeated rows have a fixed order and all are kept; an empty
 table gives an empty result; further columns are ignored. A conversation's turns
-meet in one row, as every example needs all turns before it.
+meet in one row, as every example needs all turns before it. Its examples never meet: each is
+read on its own, and only targets, sizes and the context of the last one are gathered.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def format_turn(role: Column, text: Column) -> Column:
 
 
 def expand_examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, example, context, target): one row per assistant turn, in order, and
+    """(conv_id, example, context, target, is_last): one row per assistant turn, in order, and
     one with a null target where turns follow the last reply."""
     turns = conversations.select(
         "conv_id",
@@ -62,12 +63,13 @@ def expand_examples(conversations: DataFrame) -> DataFrame:
     spots = F.filter(F.sequence(F.lit(0), F.size("ts")), lambda i: (i == F.size("ts")) | (F.get("ts", i)["role"] == "assistant"))
     last_is_reply = F.element_at("ts", -1)["role"] == "assistant"
     spots = F.when(last_is_reply, F.slice(spots, 1, F.size(spots) - 1)).otherwise(spots)
-    at = whole.select("conv_id", "fs", F.posexplode(spots).alias("example", "spot"))
+    at = whole.select("conv_id", "fs", F.size(spots).alias("n"), F.posexplode(spots).alias("example", "spot"))
     return at.select(
         "conv_id",
         "example",
         F.array_join(F.slice("fs", 1, F.col("spot")), "").alias("context"),
         F.get("fs", F.col("spot")).alias("target"),
+        (F.col("example") == F.col("n") - 1).alias("is_last"),
     )
 
 
@@ -81,20 +83,25 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digest_examples(examples: DataFrame) -> DataFrame:
-    """Per conversation, what can be read back from its examples."""
-    whole = examples.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("example", "context", "target"))).alias("es"),
-    )
-    last = F.element_at("es", -1)
-    loss = F.array_join(F.transform("es", lambda e: F.coalesce(F.element_at(read_turns(e["target"]), 1)["text"], F.lit(""))), "")
-    size = F.aggregate("es", F.lit(0).cast("long"), lambda a, e: a + F.char_length(e["context"]) + F.coalesce(F.char_length(e["target"]), F.lit(0)))
-    back = whole.select(
+    """Per conversation, what can be read back from its examples. An example adds its size and what its target
+    says; the turns come from the last example, whose context holds all before. What is gathered of a
+    conversation is as long as its turns, though its examples are as long as their square."""
+    size = F.char_length("context") + F.coalesce(F.char_length("target"), F.lit(0))
+    whole_text = F.concat("context", F.coalesce("target", F.lit("")))
+    each = examples.select(
         "conv_id",
-        read_turns(F.concat(last["context"], F.coalesce(last["target"], F.lit("")))).alias("ts"),
-        loss.alias("loss"),
-        size.alias("formatted_chars"),
-        F.size("es").cast("long").alias("n_examples"),
+        "example",
+        size.cast("long").alias("size"),
+        F.coalesce(F.element_at(read_turns(F.col("target")), 1)["text"], F.lit("")).alias("said"),
+        F.when(F.col("is_last"), whole_text).alias("whole"),
+    )
+    by = each.groupBy("conv_id").agg(
+        F.max("whole").alias("whole"),
+        F.sort_array(F.collect_list(F.struct("example", "said"))).alias("es"),
+        F.sum("size").alias("formatted_chars"),
+        F.count(F.lit(1)).alias("n_examples"),
     )
+    back = by.select("conv_id", read_turns(F.col("whole")).alias("ts"), F.array_join(F.transform("es", lambda e: e["said"]), "").alias("loss"), "formatted_chars", "n_examples")
     nl = F.lit("\n")
     return back.select(
         "conv_id",

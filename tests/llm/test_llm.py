@@ -220,6 +220,20 @@ def test_chat(spark):
     assert chat_format.digest_examples(chat_format.expand_examples(df.where("false"))).count() == 0
 
 
+def test_chat_of_very_many_turns(spark):
+    n = 6000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.format_string("%s%s", F.repeat(F.lit("x"), 140), F.col("id").cast("string")).alias("text"))
+    got = chat_format.digest_examples(chat_format.expand_examples(rows)).first()
+    texts = ["x" * 140 + str(k) for k in range(n)]
+    assert got.n_turns == n and got.n_examples == n // 2
+    assert got.loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+    turns = [len(t) + (13 if k % 2 == 0 else 7) for k, t in enumerate(texts)]
+    sums = [sum(turns[:2])]
+    for k in range(2, n, 2):
+        sums.append(sums[-1] + turns[k] + turns[k + 1])
+    assert got.formatted_chars == sum(sums)
+
+
 def test_near_duplicates(docs, none, rows):
     sets = {}
     for k, t in rows:
