@@ -69,7 +69,7 @@ WITH d AS (
 ), cover AS (
   SELECT r, count(DISTINCT i + k) AS n FROM dups, unnest(range(5)) AS t(k) GROUP BY r
 ), s AS (
-  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  SELECT doc_id, text, w, l, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM d LEFT JOIN cover USING (r)
@@ -77,7 +77,11 @@ WITH d AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 15 * n_words OR word_chars < 2 * n_words) AS kept
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 15 * n_words OR word_chars < 2 * n_words
+    OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 30 * n_lines
+    OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[•●*·‣–-]'))) > 90 * n_lines
+    OR 2 * len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) > n_words
+    OR 10 * length(regexp_replace(text, '\P{Lu}', '', 'g')) > 7 * length(regexp_replace(text, '\P{L}', '', 'g'))) AS kept
 FROM b
 """
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -356,6 +357,10 @@ def test_quality_rules(docs, none, rows):
         n, chars, sym, dup = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
         failed = n < 10 or 100 * len(cover) > 20 * n
         kept = not (failed or 10 * sym > n or 2 * dup > len(lines) or chars > 15 * n or chars < 2 * n)
+        kept &= 100 * sum(x.rstrip(" \t\n\x0b\x0c\r").endswith(("...", "…")) for x in lines) <= 30 * len(lines)
+        kept &= 100 * sum(x.lstrip(" \t\n\x0b\x0c\r")[0] in "•●*·‣–-" for x in lines) <= 90 * len(lines)
+        kept &= 2 * sum(not any(c.isalpha() for c in x) for x in w) <= n
+        kept &= 10 * sum(unicodedata.category(c) == "Lu" for c in t) <= 7 * sum(c.isalpha() for c in t)
         want[(k, n, chars, sym, len(lines), dup, len(cover), failed, kept)] += 1
     assert got == want
     assert quality_rules.quality_cascade(none).count() == 0
@@ -363,22 +368,34 @@ def test_quality_rules(docs, none, rows):
 
 def test_rules_in_any_order_agree(docs):
     rules = quality_rules.base_rules() + quality_rules.further_rules()
-    both = docs.select(quality_rules.verdict(rules, F.col("text")).isNull().alias("a"), quality_rules.verdict(rules[::-1], F.col("text")).isNull().alias("b"))
-    assert both.where("a <> b").count() == 0
-    whole = quality_rules.cascade(docs).where("__rejected_by is null").select("doc_id").collect()
-    kept = quality_rules.quality_cascade(docs).where("kept").select("doc_id").collect()
-    assert sorted(whole) == sorted(kept)
+    docs = quality_rules.with_stats(docs, "text", "s")
+    both = docs.select(quality_rules.verdict(rules, F.col("text"), F.col("s")).isNull().alias("a"), quality_rules.verdict(rules[::-1], F.col("text"), F.col("s")).isNull().alias("b"))
+    assert all(r.a == r.b for r in both.collect())
+    whole = [r.doc_id for r in quality_rules.cascade(docs).select("doc_id", "__rejected_by").collect() if r["__rejected_by"] is None]
+    kept = [r.doc_id for r in quality_rules.quality_cascade(docs.drop("s")).select("doc_id", "kept").collect() if r.kept]
+    assert sorted(whole, key=str) == sorted(kept, key=str)
 
 
 def test_cascade_skips_rules_and_keeps_its_order(docs):
-    names = [[r.name for r in quality_rules.order_rules(docs, quality_rules.base_rules() + quality_rules.further_rules())] for _ in range(3)]
+    stats = quality_rules.with_stats(docs, "text", "__stats")
+    names = [[r.name for r in quality_rules.order_rules(stats, quality_rules.further_rules())] for _ in range(3)]
     assert names[0] == names[1] == names[2]
-    cheap = quality_rules.Rule("all", lambda t: t.isNotNull(), (0, 0, 0))
-    fails = quality_rules.Rule("fails", lambda t: F.raise_error(F.concat(F.lit("evaluated"), F.left(t, F.lit(1)))).cast("boolean"), (9, 9, 9))
-    got = docs.select(quality_rules.verdict([cheap, fails], F.col("text")).alias("v")).distinct().collect()
+    assert set(names[0][:4]) == {"symbols", "repeated_lines", "long_words", "short_words"}  # comparisons come first
+    cheap = quality_rules.Rule("all", lambda t, s: t.isNotNull())
+    fails = quality_rules.Rule("fails", lambda t, s: F.raise_error(F.concat(F.lit("evaluated"), F.left(t, F.lit(1)))).cast("boolean"))
+    got = stats.select(quality_rules.verdict([cheap, fails], F.col("text"), F.col("__stats")).alias("v")).distinct().collect()
     assert [r.v for r in got] == ["all"]
     with pytest.raises(Exception, match="evaluated"):
-        docs.select(quality_rules.verdict([fails, cheap], F.col("text")).alias("v")).collect()
+        stats.select(quality_rules.verdict([fails, cheap], F.col("text"), F.col("__stats")).alias("v")).collect()
+
+
+def test_rules_that_read_text_are_evaluated_for_rows_that_reach_them_only(spark):
+    rows = [(1, "too few"), (2, " ".join(f"#{k}" for k in range(20))), (3, " ".join(f"plain{k}" for k in range(20)))]
+    seen = quality_rules.Rule("seen", lambda t, s: F.when(~t.startswith("plain"), F.raise_error(F.lit("reached"))).otherwise(F.lit(False)).cast("boolean"), lambda t, s: F.lit(10**9))
+    own = [quality_rules.further_rules()[0], seen]
+    df = quality_rules.with_stats(spark.createDataFrame(rows, "doc_id long, text string"), "text", "s")
+    got = df.select("doc_id", quality_rules.verdict(own, F.col("text"), F.col("s"), quality_rules.base_failed(F.col("s"))).alias("v")).collect()
+    assert {r.doc_id: r.v for r in got} == {1: "base", 2: "symbols", 3: None}
 
 
 def test_judged_keeps_all_columns(docs):
