@@ -6,13 +6,14 @@ alike: the tone is parted from the letter it stands on, then the letter's own ma
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from caseloom.functions.text import let
+
 # Tones in their order (level, huyền, sắc, hỏi, ngã, nặng) and the vowels that carry them.
 TONES = ("", "̀", "́", "̉", "̃", "̣")
 TONED = {
@@ -68,11 +69,6 @@ def rhyme(base: Column) -> Column:
     return F.when(base.rlike("^gi[nmtpcê]"), F.concat(F.lit("i"), rest)).otherwise(rest)
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def parsed(word: Column) -> Column:
     """struct<base, digits, start, r>: the toneless word, its tones, its initial and its rhyme."""
     whole = lambda b: F.struct(b["base"].alias("base"), b["digits"].alias("digits"), initial(b["base"]).alias("start"), rhyme(b["base"]).alias("r"))

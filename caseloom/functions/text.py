@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Letters with marks and the letters they fold to.
@@ -10,6 +12,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyadiuouaaaaaaaaaaaaeeeeeeeeiioooooooooooouuuu
 STOP_WORDS = ("and", "the", "of", "to", "in", "is", "de", "la", "le", "el", "y", "en", "un", "des", "der", "die", "und", "den")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def match_key(text: Column) -> Column:
     """Lower case; runs of anything but letters and digits become one space; trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

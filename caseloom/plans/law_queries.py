@@ -173,3 +173,45 @@ def legal_range(spark, sf_dir):
     shown = {"range_low": "low", "range_high": "high", "range_life": "life", "range_death": "death", "range_suspension": "suspension"}
     framed = lambda c: F.when(F.col("framed"), F.col(c)) if c in ("range_low", "range_high") else F.col(c)
     return r.select("case_id", "n", *[framed(c).alias(name) for c, name in shown.items()])
+
+
+@query(
+    "statute_ranges",
+    """SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN a WHEN 2 THEN a WHEN 3 THEN a END AS low, CASE k WHEN 0 THEN b WHEN 1 THEN b WHEN 2 THEN a WHEN 3 THEN b END AS high, k = 3 AS life, k = 3 AS death,
+         CASE WHEN k IN (1, 4) THEN 36 END AS reform, CASE WHEN k = 4 THEN l_partkey * 1000000.0 END AS fine_low, CASE WHEN k = 4 THEN (l_partkey + 20) * 1000000.0 END AS fine_high, v AS value_from, CASE WHEN k <> 3 THEN v * 5 END AS value_to
+       FROM (SELECT *, l_linenumber % 5 AS k, (l_quantity::INTEGER % 9 + 1) * CASE WHEN l_tax > 0.04 THEN 12 ELSE 1 END AS a, (l_quantity::INTEGER % 9 + 11) * 12 AS b, (floor(l_extendedprice)::BIGINT + 20000) AS v FROM lineitem)""",
+)
+def statute_ranges(spark, sf_dir):
+    """Penalties and ranges of value read from clauses that are written in words of several forms."""
+    from caseloom.functions import statutes as L
+
+    q = F.col("l_quantity").cast("int") % 9
+    li = table(spark, sf_dir, "lineitem").withColumns({"a": F.concat(F.lpad((q + 1).cast("string"), 2, "0"), F.when(F.col("l_tax") > 0.04, " năm").otherwise(" tháng")), "b": F.concat((q + 11).cast("string"), F.lit(" năm")), "v": F.floor("l_extendedprice") + 20000, "k": F.col("l_linenumber") % 5})
+    money = lambda c: F.translate(F.format_number(c, 0), ",", ".")
+    p = F.col("l_partkey").cast("string")
+    said = (
+        F.when(F.col("k") == 0, F.concat(F.lit("thì bị phạt tù từ "), "a", F.lit(" đến "), "b", F.lit(".")))
+        .when(F.col("k") == 1, F.concat(F.lit("thì bị phạt cải tạo không giam giữ đến 03 năm hoặc PHẠT TÙ  đến "), "b"))
+        .when(F.col("k") == 2, F.concat(F.lit("thì bị phạt tù "), "a", F.lit("; đến 9 năm là mức khác")))
+        .when(F.col("k") == 3, F.concat(F.lit("thì bị phạt tù từ "), "a", F.lit(" đến "), "b", F.lit(", tù chung thân hoặc tử hình")))
+        .otherwise(F.concat(F.lit("thì bị phạt tiền từ "), p, F.lit(" triệu đồng đến "), (F.col("l_partkey") + 20).cast("string"), F.lit(" triệu đồng, cải tạo không giam giữ từ 01 năm đến 03 năm")))
+    )
+    of = F.concat(F.lit("Tài sản trị giá từ "), money(F.col("v")), F.when(F.col("k") == 3, " đồng trở lên; ").otherwise(F.concat(F.lit(" đồng đến dưới "), money(F.col("v") * 5), F.lit(" đồng, "))))
+    r = li.select("l_orderkey", "l_linenumber", L.penalty(F.concat(of, said)).alias("p"), L.value_ranges(F.concat(of, said)).alias("r"))
+    return r.select("l_orderkey", "l_linenumber", "p.*", F.get("r", 0)["from"].alias("value_from"), F.get("r", 0)["to"].alias("value_to"))
+
+
+@query(
+    "number_words",
+    """WITH n AS (SELECT DISTINCT o_custkey * o_orderkey * 1000003 % 999999999999 AS n FROM orders), g AS (SELECT n, unnest(range(4)) AS k FROM n), h AS (SELECT n, k, (n // CAST(pow(1000, k) AS BIGINT)) % 1000 AS v, (SELECT max(j) FROM range(4) t(j) WHERE n >= pow(1000, j)) AS top FROM g),
+         w AS (SELECT n, k, top, v, v // 100 AS a, v // 10 % 10 AS b, v % 10 AS c, ['không', 'một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín'] AS d FROM h WHERE v > 0)
+       SELECT n, CASE WHEN n = 0 THEN 'không' ELSE string_agg(concat_ws(' ', CASE WHEN a > 0 OR k < top THEN d[a + 1] || ' trăm' END, CASE WHEN b = 0 AND c > 0 AND (a > 0 OR k < top) THEN 'linh' WHEN b = 1 THEN 'mười' WHEN b > 1 THEN d[b + 1] || ' mươi' END,
+         CASE WHEN c = 0 THEN NULL WHEN c = 1 AND b > 1 THEN 'mốt' WHEN c = 5 AND b > 0 THEN 'lăm' WHEN c = 4 AND b > 1 THEN 'tư' ELSE d[c + 1] END, [NULL, 'nghìn', 'triệu', 'tỷ'][k + 1]), ' ' ORDER BY k DESC) END AS words, n AS back
+       FROM n LEFT JOIN w USING (n) GROUP BY n""",
+)
+def number_words(spark, sf_dir):
+    """Numbers up to twelve digits in words, and the words read back."""
+    from caseloom.functions import numbers as N
+
+    n = table(spark, sf_dir, "orders").select((F.col("o_custkey") * F.col("o_orderkey") * 1000003 % 999999999999).alias("n")).distinct()
+    return n.select("n", N.number_words(F.col("n").cast("string")).alias("words")).select("n", "words", N.words_number(F.col("words")).cast("long").alias("back"))
