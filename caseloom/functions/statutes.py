@@ -19,7 +19,7 @@ def after(text: Column, words: str) -> Column:
     """What follows the words up to the next penalty, comma, semicolon or full stop; null without them."""
     at = F.locate(words, text)
     rest = F.substring(text, at + len(words), F.length(text))
-    return F.when(at > 0, F.split(rest, rf"[;,]|\.(?!\d)|{PRISON}|{FINE}|{REFORM}|{LIFE}|{DEATH}", 2)[0])
+    return F.when(at > 0, F.split(rest, rf";|[.,](?!\d)|{PRISON}|{FINE}|{REFORM}|{LIFE}|{DEATH}", 2)[0])
 
 
 def months(part: Column, k: int) -> Column:

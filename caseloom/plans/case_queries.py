@@ -55,7 +55,15 @@ def keyword_frequency(spark, sf_dir):
     return D.keyword_frequency(table(spark, sf_dir, "documents"))
 
 
-@query("summary_sentences")
+@query(
+    "summary_sentences",
+    rf"""WITH a AS (SELECT doc_id, {_SENTENCES.format('text', 1)} AS ss FROM documents), s AS (SELECT doc_id, len(ss) AS n, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM a),
+         t AS (SELECT *, {_TOKENS.format('sentence')} AS terms, len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w: w <> '')) AS words FROM s),
+         df AS (SELECT doc_id, term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(terms)) AS term FROM t) GROUP BY ALL), w AS (SELECT doc_id, term, df / max(df) OVER (PARTITION BY doc_id) AS w FROM df),
+         g AS (SELECT doc_id, pos, sum(w) AS total FROM (SELECT doc_id, pos, unnest(terms) AS term FROM t) JOIN w USING (doc_id, term) GROUP BY ALL),
+         c AS (SELECT doc_id, pos, n, sentence, round(total / sqrt(len(terms)) * CASE WHEN pos = 0 THEN 1.35 WHEN pos = n - 1 THEN 1.1 ELSE 1.0 END * CASE WHEN words < 5 THEN 0.5 ELSE 1.0 END, 6) AS score FROM t JOIN g USING (doc_id, pos))
+         SELECT doc_id, pos::INTEGER AS pos, score, md5(sentence) AS sentence_md5 FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) <= ceil(n * 0.3)""",
+)
 def summary_sentences(spark, sf_dir):
     """Extractive summary: places and scores of the best third of each document's sentences."""
     return D.summary_sentences(table(spark, sf_dir, "documents")).select("doc_id", "pos", "score", F.md5("sentence").alias("sentence_md5"))
