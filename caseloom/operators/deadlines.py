@@ -22,8 +22,20 @@ def status(due: Column, done: Column, today: Column, soon: int = 5) -> Column:
     )
 
 
+MOST_RULES = 1000  # of a table of deadlines; each case gets a row for each
+
+
 def deadline_rows(cases: DataFrame, rules: DataFrame, base: str, done: str, today: Column) -> DataFrame:
-    """One row per case and rule (a fixed, small table, which Spark broadcasts by its size)."""
-    rows = cases.crossJoin(rules)
+    """One row per case and rule. The rules, MOST_RULES at most, become a constant array that each case is exploded by: nothing is
+    joined."""
+    rows = rules.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} deadlines")
+    if not rows:
+        rows = [dict.fromkeys(rules.columns)]
+        cases = cases.where("false")
+    typed = lambda r, f: F.lit(r[f.name]).cast(f.dataType).alias(f.name)
+    all_ = F.array(*[F.struct(*[typed(r, f) for f in rules.schema]) for r in rows])
+    each = cases.withColumn("__rule", F.explode(all_)).select("*", "__rule.*").drop("__rule")
     due = due_date(F.col(base), F.col("n"), F.col("unit"))
-    return rows.withColumn("due", due).withColumns({"status": status(F.col("due"), F.col(done), today), "days_left": F.date_diff("due", today)})
+    return each.withColumn("due", due).withColumns({"status": status(F.col("due"), F.col(done), today), "days_left": F.date_diff("due", today)})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions import text as T
 
+# Weight of a word pair; weights of a summary's first, last and short sentences, words of a short one, share of sentences.
+PAIR_WEIGHT, FIRST, LAST, SHORT, SHORT_WORDS, SHARE = 1.6, 1.35, 1.1, 0.5, 5, 0.3
 
 def split_statements(docs: DataFrame, heading: str) -> DataFrame:
     """(doc_id, part, speaker, role, text): the text under each heading line, as one row.
@@ -25,21 +27,16 @@ def information_filter(docs: DataFrame, signal: str, boiler: str, least: int = 6
     Sentences stay in one array per document: nothing shuffles."""
     all_ = T.sentences(F.col("text"), sentence)
     fit = F.filter(all_, lambda s: s.rlike(signal) & ~s.rlike(boiler))
-    none = F.array().cast("array<string>")
-    first = F.aggregate(
-        fit,
-        F.struct(none.alias("keys"), none.alias("out")),
-        lambda a, s: F.when(F.array_contains(a["keys"], F.lower(s)), a).otherwise(
-            F.struct(F.array_append(a["keys"], F.lower(s)).alias("keys"), F.array_append(a["out"], s).alias("out"))
-        ),
-        lambda a: a["out"],
-    )
+    # The first of each by sorting: equal ones become neighbours, and the places bring the order back.
+    keyed = F.sort_array(F.transform(fit, lambda s, i: F.struct(F.lower(s).alias("k"), i.alias("i"), s.alias("s"))))
+    new = lambda xs: F.filter(xs, lambda x, j: (j == 0) | (F.get(xs, j - 1)["k"] != x["k"]))
+    first = F.transform(F.sort_array(F.transform(T.let(keyed, new), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
     kept = F.array_join(first, " ")
     use = (F.length("text") > least) & (F.length(kept) >= share * F.length("text"))
     return docs.select("doc_id", F.when(use, kept).otherwise(F.col("text")).alias("text"), F.when(use, F.size(first)).otherwise(-1).alias("n_kept"))
 
 
-def keyword_frequency(docs: DataFrame, top: int = 8, pair_weight: float = 1.6) -> DataFrame:
+def keyword_frequency(docs: DataFrame, top: int = 8, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """(doc_id, term, weight, rank): single words weigh 1 and word pairs pair_weight for each
     occurrence; totals of 2 or more, by weight and then term; a word that is part of a pair
     ranked before it is left out."""
@@ -55,7 +52,7 @@ def keyword_frequency(docs: DataFrame, top: int = 8, pair_weight: float = 1.6) -
     return joined.where(~earlier).select("doc_id", "term", "weight", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
 
 
-def summary_sentences(docs: DataFrame, ratio: float = 0.3) -> DataFrame:
+def summary_sentences(docs: DataFrame, ratio: float = SHARE) -> DataFrame:
     """(doc_id, pos, score, sentence): the ceil(n * ratio) best sentences of each document.
     score: the sum over a sentence's terms of df / largest df (sentences of the document that
     hold the term), over the root of its length in terms; 1.35 times for the first sentence,
@@ -66,7 +63,7 @@ def summary_sentences(docs: DataFrame, ratio: float = 0.3) -> DataFrame:
     top = F.max("df").over(Window.partitionBy("doc_id"))
     weight = df.select("doc_id", "term", (F.col("df") / top).alias("w"))
     summed = s.select("doc_id", "pos", F.explode("terms").alias("term")).join(weight, ["doc_id", "term"]).groupBy("doc_id", "pos").agg(F.sum("w").alias("sum"))
-    factor = F.when(F.col("pos") == 0, 1.35).when(F.col("pos") == F.col("n") - 1, 1.1).otherwise(1.0) * F.when(F.size(T.words(F.col("sentence"))) < 5, 0.5).otherwise(1.0)
+    factor = F.when(F.col("pos") == 0, FIRST).when(F.col("pos") == F.col("n") - 1, LAST).otherwise(1.0) * F.when(F.size(T.words(F.col("sentence"))) < SHORT_WORDS, SHORT).otherwise(1.0)
     scored = s.join(summed, ["doc_id", "pos"]).withColumn("score", F.round(F.col("sum") / F.sqrt(F.size("terms")) * factor, 6))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.ceil(F.col("n") * ratio)).select("doc_id", "pos", "score", "sentence")

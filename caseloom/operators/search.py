@@ -49,3 +49,40 @@ def search(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
     n = hits.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return top.join(n, "kind").select("kind", "id", "in_title", "snippet", "rank", "n")
+
+
+# What a hit is worth by place (name, text, comment): all words, or the whole query; the most that further hits add.
+WORTH = {"name": (80, 100), "text": (40, 50), "comment": (20, 30)}
+MOST_HITS = 20
+
+
+def search_book(outline: DataFrame, query: str, limit: int = 60) -> DataFrame:
+    """Articles of outlined texts (see outline.outlined) that a query finds: (doc_id, article, place, score, hits, rank). A number finds the
+    article of that number. Else an article's name and lines are graded: the whole query, or all its words at the beginnings of words; the best
+    grade by place counts, and every line that is a hit adds one, up to MOST_HITS. place is the name if it is a hit, or the best line's."""
+    spark = outline.sparkSession
+    q = spark.range(1).select(F.trim(F.regexp_replace(T.fold(F.lit(query)), r"\s+", " ")).alias("q")).first().q
+    own = outline.where("article is not null and kind in ('article', 'body', 'comment')")
+    number = re.fullmatch(r"(?:dieu\s*)?(\d{1,3}[a-z]?)", q)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "first")
+    if number:
+        found = own.where((F.col("kind") == "article") & (T.fold(F.col("article")) == number[1])).groupBy("doc_id", "article").agg(F.min("n").alias("first"))
+        found = found.select("*", F.lit("name").alias("place"), F.lit(0).cast("long").alias("score"), F.lit(1).cast("long").alias("hits"))
+    else:
+        words = query_words(query, spark)
+        if not words or len(q) < 2:
+            return outline.select("doc_id", "article", F.lit("").alias("place"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("rank")).where("false")
+        line = T.fold(F.when(F.col("kind") == "article", F.regexp_replace("line", r"^\s*Điều\s+\d{1,3}[a-zđ]?[.:]?\s+", "")).otherwise(F.col("line")))
+        every = F.lit(True)
+        for w in words:
+            every &= begins(line, w) > 0
+        whole = line.contains(q)
+        place = F.when(F.col("kind") == "article", "name").when(F.col("kind") == "body", "text").otherwise("comment")
+        worth = F.coalesce(*[F.when(place == p, F.when(whole, F.lit(full)).otherwise(F.lit(part))) for p, (part, full) in WORTH.items()])
+        hits = own.where(whole | every).select("doc_id", "article", "n", place.alias("place"), worth.alias("worth"))
+        lines = F.count_if(F.col("place") != "name")
+        best = F.max_by("place", F.struct((F.col("place") == "name"), "worth", (-F.col("n")).alias("n")))
+        found = hits.groupBy("doc_id", "article").agg(F.max("worth").alias("w"), lines.alias("lines"), best.alias("place"))
+        first = own.groupBy("doc_id", "article").agg(F.min("n").alias("first"))
+        found = found.join(first, ["doc_id", "article"]).select("doc_id", "article", "first", "place", (F.col("w") + F.least("lines", F.lit(MOST_HITS))).cast("long").alias("score"), F.greatest("lines", F.lit(1)).cast("long").alias("hits"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("doc_id", "article", "place", "score", "hits", "rank")

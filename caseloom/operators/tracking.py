@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.operators import ranges
 
+# What is shown at most, the share of the best score that words need, and how many of them are shown; an act's weights for
+# pairs and words, the score of a whole phrase, the price of a missing qualifier, the least score, the least share of pairs.
+SHOWN, NEAR_BEST, BY_WORDS = 5, 0.35, 2
+PAIRS, WORDS, PHRASE, MISSING, LEAST_SCORE, LEAST_PAIRS = 0.75, 0.35, 0.7, 0.3, 0.34, 0.25
+
 
 def ranked(value: Column, order: list[str]) -> Column:
     """Place of value in a fixed order, from 0; after the last for any other."""
@@ -122,7 +127,7 @@ def lockouts(events: DataFrame, key: str, order: list[str], failed: Column, clea
     return hit.withColumn("minutes", F.least(F.lit(float(most)), minutes * doubled).cast("long")).drop("__run", "__f", "__n")
 
 
-def shown(rows: DataFrame, group: str, most: int = 5, ratio: float = 0.35, by_words: int = 2) -> DataFrame:
+def shown(rows: DataFrame, group: str, most: int = SHOWN, ratio: float = NEAR_BEST, by_words: int = BY_WORDS) -> DataFrame:
     """rows: (group, name, family, source, score), source being pinned, recogniser or words. Pinned ones,
     then recognisers by score, then the best by words whose family isn't shown yet and whose score
     is near the group's best; at most `most`."""
@@ -142,7 +147,7 @@ def act_match(act: Column, sentence: Column, phrase: Column, text: Column, missi
     nb, nu = F.size(pairs(act)), F.size(F.array_distinct(act))
     b, u = F.size(F.array_intersect(pairs(act), pairs(sentence))), F.size(F.array_intersect(act, sentence))
     whole = (phrase != "") & text.contains(phrase)
-    score = F.least(F.lit(1.0), b / F.greatest(F.lit(2), nb) * 0.75 + u / F.greatest(F.lit(3), nu) * 0.35)
-    score = F.when(whole, F.greatest(score, F.lit(0.7))).when((b >= 2) & (b / nb >= 0.25), score)
-    score = score - F.when(missing, 0.3).otherwise(0.0)
-    return F.when(score >= 0.34, score)
+    score = F.least(F.lit(1.0), b / F.greatest(F.lit(2), nb) * PAIRS + u / F.greatest(F.lit(3), nu) * WORDS)
+    score = F.when(whole, F.greatest(score, F.lit(PHRASE))).when((b >= 2) & (b / nb >= LEAST_PAIRS), score)
+    score = score - F.when(missing, MISSING).otherwise(0.0)
+    return F.when(score >= LEAST_SCORE, score)

@@ -215,3 +215,56 @@ def number_words(spark, sf_dir):
 
     n = table(spark, sf_dir, "orders").select((F.col("o_custkey") * F.col("o_orderkey") * 1000003 % 999999999999).alias("n")).distinct()
     return n.select("n", N.number_words(F.col("n").cast("string")).alias("words")).select("n", "words", N.words_number(F.col("words")).cast("long").alias("back"))
+
+
+def _answers(spark, sf_dir):
+    """Answers of each order's lines about money given and taken, and their questions."""
+    from caseloom.operators import statements as St
+
+    verb = F.element_at(F.array(*map(F.lit, St.VERBS)), (F.col("l_suppkey") % 7 + 1).cast("int"))
+    sum_ = F.concat((F.col("l_partkey") % 3 + 1).cast("string"), F.lit(" triệu đồng"))
+    k = F.col("l_linenumber") % 3
+    said = F.when(k == 0, F.concat(F.lit("Tôi đã "), verb, F.lit(" "), sum_, F.lit("; còn lại thì không nhớ"))).when(k == 1, F.concat(F.lit("Có việc đó. Tôi "), verb, F.lit(" "), sum_)).otherwise("Tôi không hề biết")
+    asked = F.concat(F.lit("Anh kể về "), F.when(F.col("l_partkey") % 2 == 0, "việc đồng tiền").otherwise("chuyến hàng"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("n"), asked.alias("question"), said.alias("answer"))
+
+
+_ANSWERS = """x AS (SELECT l_orderkey AS case_id, l_linenumber * 100000 + l_partkey AS n, l_linenumber % 3 AS k, l_partkey % 2 = 0 AS about, ['nhận', 'đưa', 'chuyển', 'chi', 'trả', 'vay', 'cho'][(l_suppkey % 7 + 1)::INTEGER] AS verb, (l_partkey % 3 + 1) * 1000000.0 AS s FROM lineitem)"""
+
+
+@query(
+    "differing_sums",
+    f"WITH {_ANSWERS} SELECT case_id, verb, count(DISTINCT s) AS n_sums, string_agg(DISTINCT s::BIGINT::VARCHAR, ',' ORDER BY s::BIGINT::VARCHAR) AS sums, min(n) AS first_at FROM x WHERE k < 2 GROUP BY 1, 2 HAVING count(DISTINCT s) > 1",
+)
+def differing_sums(spark, sf_dir):
+    """Verbs with which the answers of a case name different sums."""
+    from caseloom.operators import statements as St
+
+    d = St.differing_sums(_answers(spark, sf_dir))
+    return d.select("case_id", "verb", "n_sums", F.array_join(F.transform("sums", lambda s: s.cast("long").cast("string")), ",").alias("sums"), "first_at")
+
+
+@query(
+    "late_denials",
+    f"WITH {_ANSWERS} SELECT d.case_id, d.n, min(a.n) AS admitted_at FROM x d JOIN x a ON a.case_id = d.case_id AND a.n < d.n AND a.k = 1 AND d.about WHERE d.k = 2 GROUP BY 1, 2",
+)
+def late_denials(spark, sf_dir):
+    """Answers that deny what an earlier one of the same case admits."""
+    from caseloom.operators import statements as St
+
+    return St.late_denials(_answers(spark, sf_dir), "case_id")
+
+
+@query(
+    "book_search",
+    f"""WITH RECURSIVE {_READ}, own AS (SELECT doc_id, n, article, kind, lower(CASE WHEN kind = 'article' THEN regexp_replace(line, '^\\s*Điều\\s+\\d{{1,3}}[a-zđ]?[.:]?\\s+', '') ELSE line END) AS l FROM read WHERE article IS NOT NULL AND kind IN ('article', 'body', 'comment')),
+        g AS (SELECT *, contains(l, 'the of') AS whole FROM own WHERE contains(l, 'the of') OR (regexp_matches(l, '(^|[^a-z0-9])the') AND regexp_matches(l, '(^|[^a-z0-9])of'))),
+        h AS (SELECT doc_id, article, n, kind, CASE kind WHEN 'article' THEN CASE WHEN whole THEN 100 ELSE 80 END WHEN 'body' THEN CASE WHEN whole THEN 50 ELSE 40 END ELSE CASE WHEN whole THEN 30 ELSE 20 END END AS w FROM g),
+        f AS (SELECT doc_id, article, max(w) + least(count(*) FILTER (kind <> 'article'), 20) AS score, greatest(count(*) FILTER (kind <> 'article'), 1) AS hits, arg_max(kind, (kind = 'article', w, -n)) AS kind FROM h GROUP BY 1, 2)
+        SELECT doc_id, f.article, CASE kind WHEN 'article' THEN 'name' WHEN 'body' THEN 'text' ELSE 'comment' END AS place, score, hits, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, (SELECT min(n) FROM own o WHERE o.doc_id = f.doc_id AND o.article = f.article)) AS rank FROM f""",
+)
+def book_search(spark, sf_dir):
+    """Articles that a search for two words finds, best first."""
+    from caseloom.operators import search
+
+    return search.search_book(outline.outlined(book(spark, sf_dir), 426), "THE  of")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import extract as X, measures, numbers as N, statutes as L
-from caseloom.operators import documents, flows, outline, relational, retrieval, rules
+from caseloom.operators import deadlines, documents, flows, outline, relational, retrieval, rules, search, statements
 
 RULES = "rule string, level string, condition string, text string"
 
@@ -149,3 +149,37 @@ def test_chunks_and_context(spark):
     hits = spark.createDataFrame([(7, 1, "n", 0, "x" * 30), (7, 2, "n", 4, "y" * 100), (7, 3, "m", 1, "z")], "item_id long, rank int, name string, chunk_no int, chunk string")
     c = retrieval.context(hits, most=70).first()
     assert c.n_used == 2 and c.context == "[1] (n - 1)\n" + "x" * 30 + "\n\n[3] (m - 2)\nz"
+
+
+def test_statements(spark):
+    rows = [(1, 1, "Ai nhận tiền của công ty?", "Tôi có nhận 5 triệu đồng. Đưa 2 triệu; cho 2.000.000 đồng"), (1, 2, "x", "nhận 7 triệu"), (1, 3, "Việc nhận TIỀN công ty?", "Tôi không hề biết"), (1, 4, "công", "chưa từng"), (2, 1, "tiền công ty", "không biết"), (2, 2, "?", "có nhận công ty"), (3, 1, None, None)]
+    df = spark.createDataFrame(rows, "case_id int, n int, question string, answer string")
+    got = [(r.case_id, r.verb, [float(x) for x in r.sums], r.first_at) for r in statements.differing_sums(df).collect()]
+    assert got == [(1, "nhận", [5e6, 7e6], 1)]
+    more = df.unionByName(spark.createDataFrame([(4, 1, "", "Đã mua hàng hóa ở công trường"), (4, 2, "chuyến hàng hàng hóa", "không có việc đó"), (4, 3, "hàn", "không biết")], df.schema))
+    assert [(r.case_id, r.n, r.admitted_at) for r in statements.late_denials(more, "case_id").orderBy("case_id").collect()] == [(1, 3, 1), (4, 2, 1)]
+
+
+def test_totals_over_slices_of_time(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("ab"), rnd.randint(0, 500), rnd.randint(1, 9)) for _ in range(400)] + [("a", None, 1)]
+    df = spark.createDataFrame(rows, "k string, s int, v int").withColumn("t", F.timestamp_seconds("s"))
+    got = relational.sliding_totals(df, "k", "t", F.col("v"), 10, 25).where("s is not null").select("k", "s", "v", "window_count", "window_total").collect()
+    want = [(k, s, v, *map(sum, zip(*[(1, y) for q, x, y in rows if q == k and x is not None and s - 10 < x <= s]))) for k, s, v in rows if s is not None]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_deadlines_without_rules(spark):
+    cases = spark.createDataFrame([(1, None, None)], "id int, base date, done date")
+    none = spark.createDataFrame([], "rule string, n int, unit string")
+    assert deadlines.deadline_rows(cases, none, "base", "done", F.current_date()).collect() == []
+
+
+def test_book_search(spark):
+    o = outline.outlined(outline.lines_of(spark.createDataFrame([(1, BOOK)], "doc_id long, text string")))
+    found = lambda q: [(r.article, r.place, r.score, r.hits) for r in search.search_book(o, q).orderBy("rank").collect()]
+    assert found("điều 2a") == [("2a", "name", 0, 1)]
+    assert found("khoan hai") == [("1", "text", 51, 1)]
+    assert found("nhiệm VU") == [("1", "name", 100, 1)]
+    assert found("kho") == [("1", "text", 53, 3)]
+    assert found("lời") == [("1", "comment", 31, 1)] and found("?") == [] and found("zzz") == []
