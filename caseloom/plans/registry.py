@@ -768,4 +768,4 @@ def word_bigram_overlap(spark, sf_dir):
     return j.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-from caseloom.plans import analysis_queries, case_queries, language_queries, law_queries, source_queries, tracking_queries  # noqa: E402, F401  register their queries here
+from caseloom.plans import analysis_queries, case_queries, field_queries, language_queries, law_queries, source_queries, tracking_queries  # noqa: E402, F401  register their queries here

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import extract as X, measures, numbers as N, statutes as L
-from caseloom.operators import deadlines, documents, flows, outline, relational, retrieval, rules, search, statements
+from caseloom.operators import deadlines, documents, fields, flows, outline, relational, retrieval, rules, search, statements
 
 RULES = "rule string, level string, condition string, text string"
 
@@ -183,3 +183,17 @@ def test_book_search(spark):
     assert found("nhiệm VU") == [("1", "name", 100, 1)]
     assert found("kho") == [("1", "text", 53, 3)]
     assert found("lời") == [("1", "comment", 31, 1)] and found("?") == [] and found("zzz") == []
+
+
+def test_fields_of_documents(spark):
+    kinds = spark.createDataFrame([("judgment", 2, r"(?m)^BẢN ÁN\b"), ("first", 1, "BẢN ÁN SỐ 1")], "kind string, place int, pattern string")
+    rules = spark.createDataFrame([("day", 1, "date", r"ngày (\d+ tháng \d+ năm \d+)"), ("day", 2, "date", r"(\d+/\d+/\d{4})"), ("name", 1, "text", r"Tên *: *([^;\n]+)")], "field string, place int, form string, pattern string")
+    docs = spark.createDataFrame([(1, "x\nBản án\nTên: An  Bình. ; a\nhôm 3/2/2020, ngày 1 tháng 2 năm 2021"), (2, "bản án số 1\nTên: "), (3, None), (4, "\n" * 70 + "BẢN ÁN\n31/2/2020")], "doc_id long, text string")
+    c = fields.classified(docs, kinds)
+    assert {r.doc_id: r.kind for r in c.collect()} == {1: "judgment", 2: "first", 3: "other", 4: "other"}
+    got = {(r.doc_id, r.field): (r.value, r.quote) for r in fields.fields(c, rules, ["doc_id"]).collect()}
+    assert got == {(1, "day"): ("2021-02-01", "hôm 3/2/2020, ngày 1 tháng 2 năm 2021"), (1, "name"): ("An Bình", "Tên: An  Bình. ; a")}
+    assert fields.fields(docs, rules.where("false"), ["doc_id"]).collect() == []
+    found = spark.createDataFrame([(7, 1, "a", "f", "x"), (7, 2, "b", "f", "y"), (7, 3, "b", "f", "x"), (7, 4, None, "g", "z")], "case_id int, doc_id int, kind string, field string, value string")
+    trust = spark.createDataFrame([("f", "b", 1)], "field string, kind string, rank int")
+    assert sorted(map(tuple, fields.case_fields(found, trust).collect())) == [(7, "f", "y", 2, 1, 1), (7, "g", "z", 4, 1, 0)]

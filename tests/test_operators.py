@@ -53,8 +53,9 @@ def test_merges(spark):
 
 def test_correction_prefers_known_pairs(spark):
     df = spark.createDataFrame([(1, "hoa don"), (2, None)], "id long, text string")
-    out = language.correct_words(df, {"hoá": 50, "đơn": 60, "hoa": 1}, {("hoá", "đơn"): 40}, {"hoa": ["hoá"], "don": ["đơn"]})
-    assert {r.id: r.corrected for r in out.collect()} == {1: "hoá đơn", 2: ""}
+    words = spark.createDataFrame([("hoá", 50), ("hóa", 50), ("đơn", 60), ("đón", 70)], "word string, n long")
+    pairs = spark.createDataFrame([("hoá", "đơn", 40)], "first string, second string, n long")
+    assert {r.id: r.corrected for r in language.corrected(df, words, pairs).collect()} == {1: "hoá đơn", 2: None}
 
 
 def test_stream_equals_batch(spark, tmp_path):
