@@ -86,3 +86,36 @@ def search_book(outline: DataFrame, query: str, limit: int = 60) -> DataFrame:
         first = own.groupBy("doc_id", "article").agg(F.min("n").alias("first"))
         found = found.join(first, ["doc_id", "article"]).select("doc_id", "article", "first", "place", (F.col("w") + F.least("lines", F.lit(MOST_HITS))).cast("long").alias("score"), F.greatest("lines", F.lit(1)).cast("long").alias("hits"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("doc_id", "article", "place", "score", "hits", "rank")
+
+
+# What a catalogue entry is worth: its number, its name, one of its acts, its signs.
+BY_NUMBER, BY_NAME, BY_ACT, BY_SIGNS = 100, 40, 20, 5
+
+
+def search_catalogue(rows: DataFrame, query: str) -> DataFrame:
+    """rows: (number, name, acts array<string>, signs array<string>, place). Those that a query finds, folded: (number, place, score): by its number
+    (with or without the word for article), in the name, in one act, or in the signs taken together; the largest sum first, then by place.
+    An empty query finds nothing. One scan; only hits are sorted, by range."""
+    q = rows.sparkSession.range(1).select(F.btrim(F.regexp_replace(T.fold(F.lit(query)), r"\s+", " ")).alias("q")).first().q
+    if not q:
+        return rows.select("number", "place", F.lit(0).alias("score")).where("false")
+    number = re.sub(r"^dieu\s*", "", q)
+    holds = lambda c: F.coalesce(T.fold(c).contains(q), F.lit(False))
+    act = F.coalesce(F.exists("acts", holds), F.lit(False))
+    parts = ((F.col("number") == number, BY_NUMBER), (holds(F.col("name")), BY_NAME), (act, BY_ACT), (holds(F.array_join("signs", " ")), BY_SIGNS))
+    score = sum((F.when(c, w).otherwise(0) for c, w in parts), F.lit(0))
+    return rows.select("number", "place", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "place")
+
+
+# What makes a candidate: cited, primary, shown by evidence, of a high level besides, named by a typical situation; how many are kept.
+CITED, PRIMARY, EVIDENCE, LEVEL, SITUATION, CANDIDATES = 100, 90, 50, 10, 8, 8
+
+
+def ranked_candidates(rows: DataFrame, group: str = "doc_id", limit: int = CANDIDATES) -> DataFrame:
+    """rows: (group, article, cited, is_primary, shown, level, seeded, evidence). Per group the `limit` best articles: (group, article, score, rank). Repeated
+    articles count with the best of each; nulls count as not; ties go by article."""
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    one = rows.groupBy(group, "article").agg(flag("cited").alias("c"), flag("is_primary").alias("p"), flag("shown").alias("s"), flag(F.col("shown") & (F.col("level") == "high")).alias("l"), flag("seeded").alias("t"), F.coalesce(F.max("evidence"), F.lit(0)).alias("e"))
+    score = sum((F.when(F.col(c), w).otherwise(0) for c, w in (("c", CITED), ("p", PRIMARY), ("s", EVIDENCE), ("l", LEVEL), ("t", SITUATION))), F.col("e"))
+    w = Window.partitionBy(group).orderBy(F.desc("score"), "article")
+    return one.select(group, "article", score.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

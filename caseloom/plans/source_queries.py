@@ -72,3 +72,27 @@ def store_search(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("title"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.lit("item").alias("title"), "text")
     return S.search(d.unionByName(c).unionByName(b), "En, THE").drop("snippet")
+
+
+@query(
+    "catalogue_search",
+    """SELECT number, place, score FROM (SELECT p_partkey::VARCHAR AS number, p_partkey AS place,
+         (p_partkey = 7)::INT * 100 + contains(lower(p_name), '7')::INT * 40 + (contains(lower(p_type), '7') OR contains(lower(p_brand), '7'))::INT * 20 + contains(p_size || ' ' || p_size * 7, '7')::INT * 5 AS score FROM part) WHERE score > 0""",
+)
+def catalogue_search(spark, sf_dir):
+    """Entries of a catalogue by number, name, acts and signs."""
+    text = lambda c: F.col(c).cast("string")
+    p = table(spark, sf_dir, "part").select(text("p_partkey").alias("number"), F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("acts"), F.array(text("p_size"), (F.col("p_size") * 7).cast("string")).alias("signs"), F.col("p_partkey").alias("place"))
+    return S.search_catalogue(p, " 7 ")
+
+
+@query(
+    "candidate_ranking",
+    """WITH r AS (SELECT l_orderkey, l_partkey % 50 AS article, bool_or(l_returnflag = 'A') AS c, bool_or(l_linestatus = 'F') AS p, bool_or(l_quantity > 25) AS s, bool_or(l_discount > 0.05 AND l_quantity > 25) AS l, bool_or(l_tax > 0.04) AS t, max(l_linenumber) AS e FROM lineitem GROUP BY 1, 2)
+       SELECT l_orderkey, article, c::INT * 100 + p::INT * 90 + s::INT * 50 + l::INT * 10 + t::INT * 8 + e AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY c::INT * 100 + p::INT * 90 + s::INT * 50 + l::INT * 10 + t::INT * 8 + e DESC, article) AS rank FROM r QUALIFY rank <= 8""",
+)
+def candidate_ranking(spark, sf_dir):
+    """The eight articles of each case that most speaks for."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select("l_orderkey", (F.col("l_partkey") % 50).alias("article"), (F.col("l_returnflag") == "A").alias("cited"), (F.col("l_linestatus") == "F").alias("is_primary"), (F.col("l_quantity") > 25).alias("shown"), F.when(F.col("l_discount") > 0.05, "high").alias("level"), (F.col("l_tax") > 0.04).alias("seeded"), F.col("l_linenumber").alias("evidence"))
+    return S.ranked_candidates(rows, "l_orderkey")

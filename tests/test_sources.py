@@ -62,3 +62,13 @@ def test_search_by_word_beginnings(spark):
     assert S.search(df, " ,; ").collect() == []
     long = spark.createDataFrame([("word " * 60 + "Needle " + "word " * 60,)], "t string").select(S.snippet(F.col("t"), ["need"]).alias("s")).first().s
     assert long.startswith("…") and long.endswith("…") and "Needle" in long and len(long) == 112
+
+
+def test_catalogue_and_candidates(spark):
+    rows = [("123", "Tội giết người", ["đâm"], ["chết"], 1), ("134", "Gây thương tích", ["đánh người", None], ["vết"], 2), ("12", None, None, None, 3)]
+    df = spark.createDataFrame(rows, "number string, name string, acts array<string>, signs array<string>, place int")
+    find = lambda q: [(r.number, r.score) for r in S.search_catalogue(df, q).collect()]
+    assert find("NGUOI") == [("123", 40), ("134", 20)] and find("Điều 12") == [("12", 100)] and find("chet") == [("123", 5)] and find(" ") == [] and find("zz") == []
+    c = [(1, "a", True, None, None, None, None, 3), (1, "b", False, True, True, "high", True, 0), (1, "c", None, None, False, "high", None, 0), (1, "a", None, None, True, None, None, 1), (2, "z", None, None, None, None, None, None)]
+    got = S.ranked_candidates(spark.createDataFrame(c, "doc_id int, article string, cited boolean, is_primary boolean, shown boolean, level string, seeded boolean, evidence int"))
+    assert [(r.doc_id, r.article, r.score, r["rank"]) for r in got.orderBy("doc_id", "rank").collect()] == [(1, "b", 158, 1), (1, "a", 153, 2)]
