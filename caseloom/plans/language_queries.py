@@ -39,7 +39,7 @@ def syllable_validity(spark, sf_dir):
     f"""WITH {_SPELT}, w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+'), lambda x: length(x) <= 7)) AS w FROM documents),
         d AS (SELECT DISTINCT w, lower(w) AS l FROM w), p AS (SELECT w, translate(l, '{_T}', '{_BASES}') AS base, regexp_replace(l, '[^{_T}]', '', 'g') AS t FROM d),
         ok AS (SELECT w, length(t) <= 1 AND EXISTS (SELECT 1 FROM spelt s WHERE s.base = p.base AND (NOT stopped OR regexp_matches(t, '^[{''.join(v[k] for v in S.TONED.values() for k in (1, 4))}]$'))) AS ok FROM p)
-        SELECT doc_id, round(coalesce(count(*) FILTER (ok) / count(ok), 0), 6) AS share FROM (SELECT doc_id FROM documents) LEFT JOIN w USING (doc_id) LEFT JOIN ok USING (w) GROUP BY doc_id""",
+        SELECT doc_id, round(CASE WHEN count(ok) = 0 THEN 0.0 ELSE count(*) FILTER (ok) / count(ok) END, 6) AS share FROM (SELECT doc_id FROM documents) LEFT JOIN w USING (doc_id) LEFT JOIN ok USING (w) GROUP BY doc_id""",
 )
 def valid_share(spark, sf_dir):
     """The share of each document's short words that are syllables."""
