@@ -7,7 +7,8 @@
    entries at most, whatever the size of the corpus. The driver solves it: the largest
    length left opens a bin, a bitset subset-sum over the lengths left finds the fullest
    feasible combination with it, and this pattern is applied as often as the counts
-   allow. Each step exhausts a length, so steps are bounded by the lengths, too.
+   allow. Each step exhausts a length, so steps are bounded by the lengths, too. The search is made
+   for a few slacks (bins that may be a little less full but take fewer pieces), and the fewest bins are kept.
 3. Pieces get a rank within their length: counts per (length, salt), a running sum over
    those, and a row number within (length, salt). No length, however frequent, meets
    in one task. A rank and the pattern table (bounded by the histogram) give the
@@ -32,6 +33,7 @@ from caseloom.session import materialize
 
 CAPACITY = 1024
 END_ID = 2
+SLACKS = (0, 2, 8)  # how much less than the fullest a bin may hold, so that it takes fewer pieces
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _memory: dict[str, bytes] = {}
@@ -86,10 +88,11 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
     return docs.select("doc_id", "text").mapInPandas(run, PIECES + ", ids binary" * with_ids)
 
 
-def fullest(room: int, counts: dict[int, int]) -> list[int]:
+def fullest(room: int, counts: dict[int, int], slack: int = 0) -> list[int]:
     """The lengths whose sum comes nearest to room, as a bitset subset-sum: bit s of a
     row is set if s can be reached with the lengths so far. Walking back from the
-    largest length takes large ones first and leaves small ones for later bins."""
+    largest length takes large ones first and leaves small ones for later bins. With a slack, sums of
+    up to so much less are tried too, and that of the fewest lengths is taken (of equally many, the fullest)."""
     mask = (1 << (room + 1)) - 1
     reach, layers = 1, []
     for length in sorted(x for x in counts if x <= room and counts[x] > 0):
@@ -99,21 +102,32 @@ def fullest(room: int, counts: dict[int, int]) -> list[int]:
             layers.append((length, take, reach))
             reach |= (reach << (length * take)) & mask
             left, step = left - take, step * 2
-    at, out = reach.bit_length() - 1, []
-    for length, take, before in reversed(layers):
-        if at >= length * take and before >> (at - length * take) & 1:
-            out += [length] * take
-            at -= length * take
-    return out
+    top, best = reach.bit_length() - 1, None
+    for total in range(top, max(-1, top - slack - 1), -1):
+        if reach >> total & 1:
+            at, out = total, []
+            for length, take, before in reversed(layers):
+                if at >= length * take and before >> (at - length * take) & 1:
+                    out += [length] * take
+                    at -= length * take
+            if best is None or len(out) < len(best):
+                best = out
+    return best
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of a bin, number of such bins) that take every piece of the histogram."""
+    """(lengths of a bin, number of such bins) that take every piece of the histogram. Bins that are as full as can be
+    use up the small lengths that later bins need, so each of SLACKS is tried, and the fewest bins are kept."""
+    tries = (with_slack(counts, capacity, s) for s in SLACKS)
+    return min(tries, key=lambda patterns: sum(n for _, n in patterns))
+
+
+def with_slack(counts: dict[int, int], capacity: int, slack: int) -> list[tuple[list[int], int]]:
     counts, out = {k: v for k, v in counts.items() if v > 0}, []
     while counts:
         seed = max(counts)
         counts[seed] -= 1
-        bin_ = [seed, *fullest(capacity - seed, counts)]
+        bin_ = [seed, *fullest(capacity - seed, counts, slack)]
         counts[seed] += 1
         need = {x: bin_.count(x) for x in set(bin_)}
         times = min(counts[x] // n for x, n in need.items())

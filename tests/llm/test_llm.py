@@ -106,6 +106,26 @@ def test_packing(docs, none, rows):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_needs_no_more_than_first_fit_decreasing():
+    rng = random.Random(8)
+    better = 0
+    for k in range(12):
+        counts = collections.Counter(min(1024, int(rng.lognormvariate(5.2 + k % 4 * 0.3, 0.8)) + 1) for _ in range(300 + 60 * k))
+        rooms = []
+        for n in sorted(counts.elements(), reverse=True):
+            at = next((j for j, r in enumerate(rooms) if r >= n), None)
+            if at is None:
+                rooms.append(1024 - n)
+            else:
+                rooms[at] -= n
+        bins = packing.minimum_bin_slack(counts)
+        assert collections.Counter(x for lengths, n in bins for x in lengths * n) == counts and all(sum(b) <= 1024 for b, _ in bins)
+        ours = sum(n for _, n in bins)
+        assert ours <= len(rooms) + 1
+        better += ours <= len(rooms)
+    assert better >= 10
+
+
 def test_fullest_is_optimal():
     rng = random.Random(1)
     for _ in range(50):
