@@ -43,7 +43,7 @@ def bigrams(words: Column) -> Column:
 def sentences(text: Column, least: int = 1) -> Column:
     """Split after . ! ? … and at line ends; trimmed parts of at least `least` characters."""
     parts = F.split(text, r"(?<=[.!?…])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def words(text: Column) -> Column:
