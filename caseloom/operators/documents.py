@@ -62,7 +62,9 @@ def summary_sentences(docs: DataFrame, ratio: float = SHARE) -> DataFrame:
     df = s.select("doc_id", F.explode(F.array_distinct("terms")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
     top = F.max("df").over(Window.partitionBy("doc_id"))
     weight = df.select("doc_id", "term", (F.col("df") / top).alias("w"))
-    summed = s.select("doc_id", "pos", F.explode("terms").alias("term")).join(weight, ["doc_id", "term"]).groupBy("doc_id", "pos").agg(F.sum("w").alias("sum"))
+    terms = s.select("doc_id", "pos", F.posexplode("terms").alias("k", "term")).join(weight, ["doc_id", "term"])
+    # added in the sentence's order: sums of doubles in any other may fall on the other side of a half
+    summed = terms.groupBy("doc_id", "pos").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("k", "w"))), F.lit(0.0), lambda a, x: a + x["w"]).alias("sum"))
     factor = F.when(F.col("pos") == 0, FIRST).when(F.col("pos") == F.col("n") - 1, LAST).otherwise(1.0) * F.when(F.size(T.words(F.col("sentence"))) < SHORT_WORDS, SHORT).otherwise(1.0)
     scored = s.join(summed, ["doc_id", "pos"]).withColumn("score", F.round(F.col("sum") / F.sqrt(F.size("terms")) * factor, 6))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
