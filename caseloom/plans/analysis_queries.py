@@ -149,8 +149,12 @@ def prices_in_bands(spark, sf_dir):
     """Bands of very different widths, half open or without an end, that hold each balance."""
     hi = F.when(F.col("p_size") < 45, F.col("p_retailprice") + F.col("p_size") * F.col("p_size") / 100.0)
     band = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), hi.alias("hi"))
-    met = ranges.at_point(table(spark, sf_dir, "supplier"), band, "s_acctbal", "lo", "hi", closed=False)
-    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"))
+    # equal bands and equal balances meet once
+    bands = band.where("lo is not null").groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("__n"), F.min("p_partkey").alias("__first"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    met = ranges.at_point(suppliers.select("s_acctbal").distinct(), bands, "s_acctbal", "lo", "hi", closed=False)
+    held = met.groupBy("s_acctbal").agg(F.sum("__n").alias("n"), F.min("__first").alias("first_part"))
+    return suppliers.join(held, "s_acctbal").groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.min("first_part").alias("first_part"))
 
 
 _VAGUE = r"(^|[^a-z])(of|de|der)([^a-z]|$)"
