@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import text as T
+from caseloom.session import materialize
 
 # Least similarity of a question and an asked line, of one issue and of two; an answer as
 # short as this that hedges is vague.
 SAME_ISSUE, OTHER_ISSUE, SHORT_ANSWER = 0.55, 0.70, 160
+SENT = 200_000  # rows of a side that is broadcast
 
 
 def word_set(text: Column) -> Column:
@@ -16,41 +18,47 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(T.match_key(text), " "), lambda w: F.length(w) > 1))
 
 
-def rare_first(sets: DataFrame, df: DataFrame) -> DataFrame:
-    """sets (id, w): words ordered by how many sets of both sides hold them, rarest first."""
-    words = sets.select("id", F.explode("w").alias("word")).join(df, "word")
-    return words.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("o")).select("id", F.transform("o", lambda x: x["word"]).alias("w"), F.size("o").alias("size"))
+def ordered(sets: DataFrame, df: DataFrame) -> DataFrame:
+    """sets (id, w): (id, size, w): the words that df has, rarest first. Of each set, words that df lacks
+    count in its size only: no set of the other side holds them."""
+    words = sets.select("id", F.size("w").alias("size"), F.explode("w").alias("word")).join(df, "word")
+    return words.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("o")).select("id", "size", F.transform("o", lambda x: x["word"]).alias("w"))
 
 
 def prefix(sets: DataFrame, least: float) -> DataFrame:
-    """The words of which two sets with a Jaccard of `least` or more share one at least."""
-    n = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1
-    return sets.select("id", "size", F.explode(F.slice("w", 1, n)).alias("word"))
+    """The words of which two sets with a Jaccard of `least` or more share one at least, beside all of w. Words that df
+    lacks stand first in the order and fill places of the prefix; a set that has no others there goes."""
+    n = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1 - (F.col("size") - F.size("w"))
+    return sets.where(n > 0).select("id", "size", "w", F.explode(F.slice("w", 1, n)).alias("word"))
 
 
 def similar_sets(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a_id, b_id, score): pairs of sets (id, w) with a Jaccard of at least `least`. Words that most
+    """(a_id, b_id, score): pairs of sets (id, w; words that differ) with a Jaccard of at least `least`. Words that most
     sets hold stand last in their order, so they are in a prefix only where nothing rarer is, and a word
-    that all sets hold makes no pairs. Sets of too different a size are not paired; the rest is verified
-    on whole sets. Empty sets are in no pair."""
-    both = a.select("w").unionByName(b.select("w")).select(F.explode("w").alias("word"))
-    df = both.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    oa, ob = rare_first(a, df), rare_first(b, df)
-    l, r = prefix(oa, least).alias("l"), prefix(ob, least).alias("r")  # noqa: E741
+    that all sets hold makes no pairs. Sets of too different a size are not paired; the rest is verified on whole
+    sets where it meets, so only pairs that are near leave the join. Empty sets are in no pair. Of b, only words
+    that a has are dealt; a is sent to b's tasks where it has at most SENT rows."""
+    word = lambda x: x.select(F.explode("w").alias("word"))
+    own = word(a).groupBy("word").agg(F.count(F.lit(1)).alias("__n"))
+    df = materialize(own.join(word(b).groupBy("word").agg(F.count(F.lit(1)).alias("__m")), "word").select("word", (F.col("__n") + F.col("__m")).alias("n")), "similar-words")
+    ours = materialize(prefix(ordered(a, df), least), "similar-prefixes")
+    l, r = (F.broadcast(ours) if ours.count() <= SENT else ours).alias("l"), prefix(ordered(b, df), least).alias("r")  # noqa: E741
     sizes = (F.col("l.size") >= least * F.col("r.size") - 1e-9) & (F.col("r.size") >= least * F.col("l.size") - 1e-9)
-    pairs = l.join(r, (F.col("l.word") == F.col("r.word")) & sizes).select(F.col("l.id").alias("a_id"), F.col("r.id").alias("b_id")).distinct()
-    sets = lambda x, n: x.select(F.col("id").alias(f"{n}_id"), F.col("w").alias(f"__{n}"))
-    full = pairs.join(sets(oa, "a"), "a_id").join(sets(ob, "b"), "b_id").select("a_id", "b_id", T.jaccard(F.col("__a"), F.col("__b")).alias("score"))
-    return full.where(F.col("score") >= least)
+    shared = F.size(F.array_intersect("l.w", "r.w"))
+    score = shared / (F.col("l.size") + F.col("r.size") - shared)
+    met = r.join(l, (F.col("l.word") == F.col("r.word")) & sizes & (score >= least))
+    return met.select(F.col("l.id").alias("a_id"), F.col("r.id").alias("b_id"), score.alias("score")).distinct()
 
 
 def matched_texts(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a_key, b_key, score) of the distinct match keys (column `key`) of both: 1 where they are equal."""
-    one = lambda x: x.where("key <> ''").select("key").distinct().select(F.col("key").alias("id"), F.array_distinct(F.filter(F.split("key", " "), lambda w: F.length(w) > 1)).alias("w"))
+    """(a_key, b_key, score) of the distinct match keys (column `key`) of both: 1 where they are equal.
+    Keys stand for themselves by 128-bit digests until pairs are found."""
+    one = lambda x: x.where("key <> ''").select("key").distinct().select("key", F.unhex(F.md5("key")).alias("id"), F.array_distinct(F.filter(F.split("key", " "), lambda w: F.length(w) > 1)).alias("w"))
     l, r = one(a), one(b)  # noqa: E741
-    equal = l.select("id").join(r.select("id"), "id").select(F.col("id").alias("a_key"), F.col("id").alias("b_key"), F.lit(1.0).alias("score"))
-    near = similar_sets(l, r, least).where("a_id <> b_id").select(F.col("a_id").alias("a_key"), F.col("b_id").alias("b_key"), "score")
-    return equal.unionByName(near)
+    equal = l.select("key").join(r.select("key"), "key").select(F.col("key").alias("a_key"), F.col("key").alias("b_key"), F.lit(1.0).alias("score"))
+    near = similar_sets(l.select("id", "w"), r.select("id", "w"), least).where("a_id <> b_id")
+    named = lambda x, n: x.select(F.col("id").alias(f"{n}_id"), F.col("key").alias(f"{n}_key"))
+    return equal.unionByName(near.join(named(l, "a"), "a_id").join(named(r, "b"), "b_id").select("a_key", "b_key", "score"))
 
 
 def answer_quality(answer: Column, vague: str) -> Column:

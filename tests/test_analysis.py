@@ -201,3 +201,10 @@ def test_tracked_questions(spark):
         spark.createDataFrame([("nothing like it", "skipped")], "key string, status string"),
     )
     assert sorted((r.question_id, r.asked, r.answered, r.status) for r in out.collect()) == [(1, 1, 1, "answered"), (2, 1, 1, "answered"), (3, 0, 0, "skipped"), (4, 0, 0, "open"), (5, 3, 1, "unclear")]
+
+
+def test_sets_of_other_words_are_not_dealt(spark):
+    df = spark.createDataFrame([("the", 9), ("who", 2)], "word string, n long")
+    sets = spark.createDataFrame([(1, ["the", "x", "y", "z"]), (2, ["who", "the", "x"]), (3, ["x", "y"])], "id long, w array<string>")
+    got = similarity.prefix(similarity.ordered(sets, df), 0.55)
+    assert [(r.id, r.size, r.w, r.word) for r in got.collect()] == [(2, 3, ["who", "the"], "who")]
