@@ -11,11 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from caseloom.operators import ranges
+from caseloom.session import dealt
 
 BLOCK_CHARS = 4_000_000
 # Sentences in a scene; share of the weight for a high level; weights that make evidence strong.
@@ -156,9 +157,11 @@ def best_scenes(sentences: DataFrame, phrases: DataFrame, group: str = "doc_id",
 
     strong: a phrase that stands alone (solo), two of weight HEAVY or more, or one such among three. Strong
     scenes win, then those of the largest weight, then the first; quote_at is its first sentence with a hit. The
-    postings of hits are the only input: a document without hits costs its scan."""
-    hits = phrase_hits(sentences, [group, at], text, phrases).select(group, at, "phrase_id").distinct()
-    own = hits.join(phrases.select(F.col("phrase_id").cast("string").alias("phrase_id"), "topic", "weight", "solo").where("topic is not null"), "phrase_id")
+    postings of hits are the only input: a document without hits costs its scan. Hits are dealt out by document once
+    and stay there; phrases are broadcast, as every task that finds them holds them."""
+    hits = dealt(phrase_hits(sentences, [group, at], text, phrases).select(group, at, "phrase_id"), sentences, group).distinct()
+    topics = phrases.select(F.col("phrase_id").cast("string").alias("phrase_id"), "topic", "weight", "solo").where("topic is not null")
+    own = hits.join(F.broadcast(topics), "phrase_id")
     near = own.withColumn("scene", F.explode(scene_starts(F.col(at)))).groupBy(group, "topic", "scene", "phrase_id").agg(F.min(at).alias("at"), F.max("weight").alias("weight"), F.bool_or("solo").alias("solo"))
     got = near.groupBy(group, "topic", "scene").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("weight") >= HEAVY).alias("heavy"), F.bool_or("solo").alias("solo"), F.min("at").alias("quote_at"))
     strong = F.col("solo") | (F.col("heavy") >= 2) | ((F.col("heavy") >= 1) & (F.col("n_hits") >= 3))
