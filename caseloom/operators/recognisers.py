@@ -130,20 +130,22 @@ def recognised(sentences: DataFrame, elements: DataFrame, phrases: DataFrame, gr
 
     (group, rule, scene, ok, level, score, most, missing): ok if no required element is missing; level none, medium,
     or high from HIGH of the whole weight on. Scenes that are ok win, then those of the largest weight, then of most required
-    elements, then the first. Only scenes with a hit are ever made: each hit asks for those around it."""
+    elements, then the first. Only scenes with a hit are ever made: each hit asks for those around it. Hits are dealt
+    out by document once and stay there; rules are broadcast, as their phrases are."""
     hits = phrase_hits(sentences, [group, at], text, phrases).select(group, at, F.split_part("phrase_id", F.lit("/"), F.lit(1)).alias("rule"), F.split_part("phrase_id", F.lit("/"), F.lit(2)).alias("element"))
     if amounts is not None:
         bound = elements.where("least is not null").select("rule", "element", "least", F.lit(None).cast(elements.schema["least"].dataType).alias("__no"))
         hits = hits.unionByName(ranges.at_point(amounts, bound, "amount", "least", "__no").select(group, at, "rule", "element"))
-    own = hits.distinct().join(elements.drop("least"), ["rule", "element"])
-    near = own.where("not anywhere").withColumn("scene", F.explode(scene_starts(F.col(at)))).select(group, "rule", "scene", "element", "weight", "required").distinct()
-    wide = own.where("anywhere").select(group, "rule", "element", "weight", "required").distinct()
-    first = own.where("anywhere").groupBy(group, "rule").agg(F.min(at).alias("scene"))
-    scenes = near.select(group, "rule", "scene").unionByName(first).distinct()
-    every = near.unionByName(scenes.join(wide, [group, "rule"]).select(*near.columns))
-    got = every.groupBy(group, "rule", "scene").agg(F.sum("weight").alias("score"), F.count_if("required").alias("__req"), F.collect_set("element").alias("__has"))
+    own = dealt(hits, sentences, group).distinct().join(F.broadcast(elements.drop("least")), ["rule", "element"])
+    one, w = F.struct("element", "weight", "required"), Window.partitionBy(group, "rule")
+    far = {"__wide": F.collect_set(F.when(F.col("anywhere"), one)).over(w), "__first": F.min(F.when(F.col("anywhere"), F.col(at))).over(w)}
+    scenes = F.when(F.col("anywhere"), F.array("__first")).otherwise(scene_starts(F.col(at)))
+    every = own.withColumns(far).select(group, "rule", "__wide", F.explode(scenes).alias("scene"), F.when(~F.col("anywhere"), one).alias("__one"))
+    got = every.groupBy(group, "rule", "scene").agg(F.concat(F.collect_set("__one"), F.first("__wide")).alias("__e"))
+    score = F.aggregate("__e", F.lit(0).cast("long"), lambda a, x: a + x["weight"])
+    got = got.select(group, "rule", "scene", score.alias("score"), F.size(F.filter("__e", lambda x: x["required"])).cast("long").alias("__req"), F.array_distinct(F.transform("__e", lambda x: x["element"])).alias("__has"))
     rules = elements.groupBy("rule").agg(F.sum("weight").alias("most"), F.count_if("required").alias("__all"), F.collect_set("element").alias("__els"))
-    j = got.join(rules, "rule").withColumn("ok", F.col("__req") == F.col("__all"))
+    j = got.join(F.broadcast(rules), "rule").withColumn("ok", F.col("__req") == F.col("__all"))
     order = F.struct("ok", "score", "__req", (-F.col("scene")).alias("first"))
     best = j.groupBy(group, "rule").agg(F.max_by(F.struct("scene", "ok", "score", "most", "__has", "__els"), order).alias("b"))
     level = F.when(~F.col("b.ok"), "none").when(F.col("b.score") >= HIGH * F.col("b.most"), "high").otherwise("medium")
