@@ -34,10 +34,16 @@ def tokens(text: Column, least: int = 2, stop: tuple[str, ...] = STOP_WORDS) ->
 
 
 def bigrams(words: Column) -> Column:
-    """Adjacent pairs, joined by a space."""
-    return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
-        F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    )
+    """Adjacent pairs, joined by a space. The words are computed once."""
+    pairs = lambda ws: F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return let(words, lambda ws: F.when(F.size(ws) < 2, F.array().cast("array<string>")).otherwise(pairs(ws)))
+
+
+def counts(values: Column) -> Column:
+    """array<struct<value, n>> of an array's values without nulls, sorted: equal ones become neighbours, so no value leaves its row."""
+    first = lambda vs: F.filter(F.transform(vs, lambda _, i: i), lambda i: (i == 0) | (F.get(vs, i) != F.get(vs, i - 1)))
+    runs = lambda vs, at: F.transform(at, lambda i, k: F.struct(F.get(vs, i).alias("value"), (F.coalesce(F.get(at, k + 1), F.size(vs)) - i).alias("n")))
+    return let(F.sort_array(values), lambda vs: let(first(vs), lambda at: runs(vs, at)))
 
 
 def sentences(text: Column, least: int = 1) -> Column:

@@ -39,17 +39,20 @@ def information_filter(docs: DataFrame, signal: str, boiler: str, least: int = 6
 def keyword_frequency(docs: DataFrame, top: int = 8, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """(doc_id, term, weight, rank): single words weigh 1 and word pairs pair_weight for each
     occurrence; totals of 2 or more, by weight and then term; a word that is part of a pair
-    ranked before it is left out."""
-    words = T.tokens(F.col("text"))
-    grams = F.concat(F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("w"))), F.transform(T.bigrams(words), lambda w: F.struct(w.alias("term"), F.lit(pair_weight).alias("w"))))
-    counted = docs.select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g.term").agg(F.round(F.sum("g.w"), 6).alias("weight")).where("weight >= 2")
+    ranked before it is left out. Texts meet by doc_id, whole, and their terms are counted in the
+    row: only totals of 2 or more become rows of their own."""
+    texts = docs.groupBy("doc_id").agg(F.collect_list("text").alias("ts"))
+    words = texts.select("doc_id", F.transform("ts", lambda t: T.tokens(t)).alias("ws"))
+    weighed = lambda terms, weight: F.transform(T.counts(F.flatten(terms)), lambda c: F.struct(F.round(c["n"] * F.lit(weight), 6).alias("weight"), c["value"].alias("term")))
+    enough = lambda cs: F.filter(cs, lambda c: c["weight"] >= 2)
+    totals = F.concat(enough(weighed(F.col("ws"), 1.0)), enough(weighed(F.transform("ws", lambda ws: T.bigrams(ws)), pair_weight)))
+    counted = words.select("doc_id", F.explode(totals).alias("c")).select("doc_id", "c.*")
     pair = F.col("term").contains(" ")
-    parts = counted.where(pair).select("doc_id", F.explode(F.split("term", " ")).alias("word"), "weight", "term")
-    best = parts.groupBy("doc_id", F.col("word").alias("term")).agg(F.max("weight").alias("__w"), F.min_by("term", F.struct(-F.col("weight"), F.col("term"))).alias("__t"))
-    joined = counted.join(best, ["doc_id", "term"], "left")
-    earlier = F.coalesce((F.col("__w") > F.col("weight")) | ((F.col("__w") == F.col("weight")) & (F.col("__t") < F.col("term"))), F.lit(False))
+    parts = counted.select("doc_id", "weight", "term", pair.alias("pair"), F.posexplode(F.split("term", " ")).alias("k", "word"))
+    before = F.coalesce(F.max("pair").over(Window.partitionBy("doc_id", "word").orderBy(F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    kept = parts.withColumn("__before", before).where("k = 0 and (pair or not __before)")
     w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    return joined.where(~earlier).select("doc_id", "term", "weight", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
+    return kept.select("doc_id", "term", "weight", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
 
 
 def summary_sentences(docs: DataFrame, ratio: float = SHARE) -> DataFrame:
