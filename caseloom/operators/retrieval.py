@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from caseloom.functions import text as T
 from caseloom.operators import recognisers
-from caseloom.session import materialize
+from caseloom.session import dealt, materialize
 
 # Characters of a chunk, and from how many sizes on a paragraph is cut; what a whole query and
 # a pair of its words add to a score; the least length of a query that counts as a whole; words of a chunk that weigh as its length.
@@ -106,14 +106,15 @@ def context(hits: DataFrame, name: str = "name", most: int = CONTEXT) -> DataFra
 def tf_idf_rank(docs: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """(item_id, doc_id, score, rank): score is the sum over the query's terms of
     (1 + ln tf) * ln(1 + N / df), over sqrt(1 + terms). The postings of the queries' terms are stored once, for the
-    document frequencies and the scores; words of no query never leave the scan."""
+    document frequencies and the scores; words of no query, which are broadcast, never leave the scan. Postings are dealt out by
+    document once, and scores are added there."""
     terms = queries.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
     words = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    tf = materialize(words.join(wanted, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    tf = materialize(words.join(F.broadcast(wanted), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     n = docs.count()
     worth = terms.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("item_id", "term", F.log(1 + F.lit(n) / F.col("df")).alias("idf"))
-    summed = worth.join(tf, "term").groupBy("item_id", "doc_id", "len").agg(F.sum((1 + F.log("tf")) * F.col("idf")).alias("s"))
+    summed = dealt(tf, docs, "doc_id").join(F.broadcast(worth), "term").groupBy("item_id", "doc_id", "len").agg(F.sum((1 + F.log("tf")) * F.col("idf")).alias("s"))
     scored = summed.select("item_id", "doc_id", F.round(F.col("s") / F.sqrt(1 + F.col("len")), 6).alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
