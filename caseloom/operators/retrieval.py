@@ -66,28 +66,30 @@ def rank_chunks(docs: DataFrame, queries: DataFrame, limit: int = 8, size: int =
     score: over the query's terms the sum of (1 + ln tf) * ln(1 + N / df), df and N counting chunks; WHOLE more if the
     chunk holds the query as it is written, PAIR for each pair of terms that it holds side by side; all over the root of
     1 + terms / WORDS. Chunks that score nothing have no row; ties go by doc_id and chunk. Chunks are made and stored once;
-    of their words only those of queries leave a task, and whole queries and pairs are found by
-    one automaton. A common word's postings are counted before they meet, so no key is hot but by its chunks.
+    of their words only those of queries, which are broadcast, leave a task, and whole queries and pairs are found by
+    one automaton. Postings are dealt out by chunk once: scores are added and the best of each query taken where they are,
+    so the pairs of query and chunk, many times the postings, never move.
 
     A query without terms gets no rows (take the first chunks instead)."""
-    chunks = materialize(pack_chunks(docs, size).select("doc_id", "chunk_no", T.fold(F.col("chunk")).alias("low")), "chunks")
+    low = pack_chunks(docs, size).select("doc_id", "chunk_no", T.fold(F.col("chunk")).alias("low"))
+    chunks = materialize(low.withColumn("len", F.size(T.tokens(F.col("low")))), "chunks")
     q = queries.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("ts"), flat(F.col("text")).alias("q")).where(F.size("ts") > 0)
-    terms = q.select("item_id", F.explode("ts").alias("term"))
-    tf = chunks.withColumn("w", T.tokens(F.col("low"))).select("doc_id", "chunk_no", F.size("w").alias("len"), F.explode("w").alias("term"))
-    tf = tf.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "chunk_no", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = materialize(tf, "chunk-postings")
-    n = chunks.count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    worth = terms.join(df, "term").withColumn("idf", F.log(1 + F.lit(n) / F.col("df"))).drop("df")
-    words = worth.join(tf, "term").select("item_id", "doc_id", "chunk_no", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
-    pairs = F.transform(T.bigrams(F.col("ts")), lambda p: F.struct(p.alias("phrase"), F.lit(PAIR).alias("v")))
-    whole = F.when(F.length("q") >= LEAST_QUERY, F.array(F.struct(F.col("q").alias("phrase"), F.lit(WHOLE).alias("v")))).otherwise(F.array().cast("array<struct<phrase: string, v: double>>"))
+    terms = q.select("item_id", F.explode("ts").alias("key"))
+    tf = chunks.select("doc_id", "chunk_no", "len", F.explode(T.tokens(F.col("low"))).alias("key")).join(F.broadcast(terms.select("key").distinct()), "key", "left_semi")
+    tf = tf.groupBy("doc_id", "chunk_no", "len", "key").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = F.transform(T.bigrams(F.col("ts")), lambda p: F.struct(p.alias("key"), F.lit(PAIR).alias("v")))
+    whole = F.when(F.length("q") >= LEAST_QUERY, F.array(F.struct(F.col("q").alias("key"), F.lit(WHOLE).alias("v")))).otherwise(F.array().cast("array<struct<key: string, v: double>>"))
     wanted = q.select("item_id", F.explode(F.concat(pairs, whole)).alias("p")).select("item_id", "p.*")
-    phrases = wanted.select(F.col("phrase").alias("phrase_id"), "phrase", F.lit("find").alias("kind")).distinct()
-    held = recognisers.phrase_hits(chunks, ["doc_id", "chunk_no"], "low", phrases, limits=False).select("doc_id", "chunk_no", F.col("phrase_id").alias("phrase")).distinct()
-    bonus = held.join(wanted, "phrase").select("item_id", "doc_id", "chunk_no", "v")
-    sizes = chunks.select("doc_id", "chunk_no", F.size(T.tokens(F.col("low"))).alias("len"))
-    summed = words.unionByName(bonus).groupBy("item_id", "doc_id", "chunk_no").agg(F.sum("v").alias("s")).join(sizes, ["doc_id", "chunk_no"])
+    phrases = wanted.select(F.col("key").alias("phrase_id"), F.col("key").alias("phrase"), F.lit("find").alias("kind")).distinct()
+    held = recognisers.phrase_hits(chunks, ["doc_id", "chunk_no", "len"], "low", phrases, limits=False).select("doc_id", "chunk_no", "len", F.col("phrase_id").alias("key")).distinct()
+    postings = tf.select("doc_id", "chunk_no", "len", "key", F.lit(False).alias("phrase"), (1 + F.log("tf")).alias("m"))
+    postings = materialize(postings.unionByName(held.withColumns({"phrase": F.lit(True), "m": F.lit(1.0)})), "chunk-postings")
+    n = chunks.count()
+    df = postings.where("not phrase").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    worth = terms.join(df, "key").select("item_id", "key", F.lit(False).alias("phrase"), F.log(1 + F.lit(n) / F.col("df")).alias("v"))
+    worth = materialize(worth.unionByName(wanted.select("item_id", "key", F.lit(True).alias("phrase"), "v")), "query-weights")
+    met = dealt(postings, docs, "doc_id", "chunk_no").join(F.broadcast(worth), ["key", "phrase"])
+    summed = met.groupBy("item_id", "doc_id", "chunk_no", "len").agg(F.sum(F.col("m") * F.col("v")).alias("s"))
     scored = summed.withColumn("score", F.round(F.col("s") / F.sqrt(1 + F.col("len") / WORDS), 6)).where("score > 0")
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("item_id", "doc_id", "chunk_no", "score", "rank")
