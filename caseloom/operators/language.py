@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from caseloom.functions import text as T
-from caseloom.session import materialize
+from caseloom.session import dealt, materialize
 
 # Candidates of a word; the price of keeping an unknown word that has candidates, and of changing a known one in plain
 # capitals; the smoothing of the model.
 MOST, KEEP_UNKNOWN, CHANGE_CAPITALS, HALF, BACK_OFF, FLOOR = 12, 5.0, 1.2, 0.5, 3, 1e-9
+# From how many occurrences in the lines on a form is broadcast instead of shuffled with its occurrences.
+OFTEN = 100_000
 
 
 def folded_words(text: Column) -> Column:
@@ -24,19 +26,18 @@ def unigrams(docs: DataFrame, least: int = 3, longest: int = 7) -> DataFrame:
     return docs.select(F.explode(w).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def adjacent(words: Column) -> Column:
-    """array<struct<first, second>> of neighbours."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+def counted_pairs(docs: DataFrame, words: Column, label: str) -> DataFrame:
+    """(first, second, n), stored: neighbours in each text's words, which are computed once; the last word's second is null, so that
+    a word's number of occurrences is that of the pairs it begins."""
+    pairs = T.let(words, lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second"))))
+    return materialize(docs.select(F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("n")), label)
 
 
 def bigram_model(docs: DataFrame, least: int = 3, longest: int = 7, least_pair: int = 2) -> DataFrame:
     """(first, second, n): adjacent folded words that occur least_pair times or more together, both among `unigrams`.
     The texts are cut into words once: a word's number of occurrences is that of the pairs it begins, and of the texts it
     ends, so one table of pairs, counted before it moves, gives both (the pair (word, null) ends a text)."""
-    w = folded_words(F.col("text"))
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
-    counted = materialize(docs.select(F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("n")), "word-pairs")
+    counted = counted_pairs(docs, folded_words(F.col("text")), "word-pairs")
     words = counted.groupBy("first").agg(F.sum("n").alias("__n")).where((F.col("__n") >= least) & (F.length("first") <= longest)).select("first")
     often = counted.where((F.col("n") >= least_pair) & F.col("second").isNotNull())
     return often.join(words, "first", "left_semi").join(words.withColumnRenamed("first", "second"), "second", "left_semi").select("first", "second", "n")
@@ -55,11 +56,10 @@ def letters(text: Column) -> Column:
 
 
 def spelling_model(docs: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """words (word, n) and pairs (first, second, n) of lower-case words with their marks."""
-    w = letters(F.lower(F.col("text")))
-    words = docs.select(F.explode(w).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    pairs = docs.select(F.explode(adjacent(w)).alias("p")).groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return words, pairs
+    """words (word, n) and pairs (first, second, n) of lower-case words with their marks; one pass over the texts."""
+    counted = counted_pairs(docs, letters(F.lower(F.col("text"))), "spelling-pairs")
+    words = counted.groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return materialize(words, "spelling-words"), counted.where((F.col("n") >= least) & F.col("second").isNotNull())
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("k", IntegerType()), StructField("s", IntegerType())])))
@@ -94,20 +94,25 @@ def corrected(lines: DataFrame, words: DataFrame, pairs: DataFrame, most: int =
     An unknown word of two letters or more may become any of the `most` commonest words of its skeleton, a known one in
     plain capitals too, at a price; a capitalised word after a capitalised one is a name and stays. Case is kept. A
     word that has no choice splits a line: only runs of words with choices, and the words beside them, leave the line, to meet
-    the model in joins (words by skeleton, pairs of states by pair); the model is a table, in no task whole. Null
-    texts stay null."""
+    the model in joins (words by skeleton, pairs of states by pair); the model is a table, in no task whole. It meets
+    each form of a word once, not each occurrence; forms that occur OFTEN times are few and broadcast, so no word is hot.
+    Null texts stay null."""
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tok = letters(F.col("text"))
-    t = lines.select("id", F.posexplode(tok).alias("k", "tok"))
     w = Window.partitionBy("id").orderBy("k")
-    t = t.withColumns({"w": F.lower("tok"), "__name": F.col("tok").rlike(r"^\p{Lu}\p{Ll}+$") & F.coalesce(F.lag("tok").over(w).rlike(r"^\p{Lu}"), F.lit(False))})
-    t = t.join(words.select(F.col("word").alias("w"), F.col("n").alias("u")), "w", "left")
-    capitals = (F.upper("tok") == F.col("tok")) & (T.fold(F.col("tok")) == F.col("w"))
-    may = (F.length("tok") > 1) & ~F.col("__name") & (F.col("u").isNull() | capitals)
+    name = lambda ts: F.transform(ts, lambda x, i: F.struct(x.alias("tok"), (x.rlike(r"^\p{Lu}\p{Ll}+$") & F.coalesce(F.get(ts, i - 1).rlike(r"^\p{Lu}"), F.lit(False))).alias("__name")))
+    t = lines.select("id", F.posexplode(T.let(tok, name)).alias("k", "x")).select("id", "k", "x.*", F.lower("x.tok").alias("w"))
     place = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("n"), "word"))
     index = words.select(T.fold(F.col("word")).alias("base"), "word", "n").withColumn("__p", place).where(F.col("__p") <= most)
     index = index.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("__p", "word", "n"))).alias("cands"))
-    t = t.withColumn("base", F.when(may, T.fold(F.col("w")))).join(index, "base", "left")
+    forms = t.groupBy("w").agg(F.count(F.lit(1)).alias("__n")).join(words.select(F.col("word").alias("w"), F.col("n").alias("u")), "w", "left")
+    forms = materialize(forms.withColumn("base", T.fold(F.col("w"))).join(index, "base", "left").select("w", "__n", "u", "cands"), "spelling-forms")
+    often, rest = forms.where(F.col("__n") >= OFTEN).drop("__n"), forms.where(F.col("__n") < OFTEN).drop("__n")
+    t = t.join(F.broadcast(often), "w").unionByName(t.join(F.broadcast(often.select("w")), "w", "left_anti").join(rest, "w"))
+    t = dealt(t, lines, "id")
+    capitals = (F.upper("tok") == F.col("tok")) & (T.fold(F.col("tok")) == F.col("w"))
+    may = (F.length("tok") > 1) & ~F.col("__name") & (F.col("u").isNull() | capitals)
+    t = t.withColumn("cands", F.when(may, F.col("cands")))
     others = F.filter(F.coalesce("cands", F.array().cast("array<struct<__p: int, word: string, n: bigint>>")), lambda c: c["word"] != F.col("w"))
     price = F.when(F.col("u").isNull(), 0.0).otherwise(CHANGE_CAPITALS)
     state = lambda word, u, pen: F.struct(word.alias("w"), F.coalesce(u, F.lit(0)).cast("long").alias("u"), pen.cast("double").alias("pen"))
