@@ -197,8 +197,8 @@ def statute_ranges(spark, sf_dir):
         .otherwise(F.concat(F.lit("thì bị phạt tiền từ "), p, F.lit(" triệu đồng đến "), (F.col("l_partkey") + 20).cast("string"), F.lit(" triệu đồng, cải tạo không giam giữ từ 01 năm đến 03 năm")))
     )
     of = F.concat(F.lit("Tài sản trị giá từ "), money(F.col("v")), F.when(F.col("k") == 3, " đồng trở lên; ").otherwise(F.concat(F.lit(" đồng đến dưới "), money(F.col("v") * 5), F.lit(" đồng, "))))
-    r = li.select("l_orderkey", "l_linenumber", L.penalty(F.concat(of, said)).alias("p"), L.value_ranges(F.concat(of, said)).alias("r"))
-    return r.select("l_orderkey", "l_linenumber", "p.*", F.get("r", 0)["from"].alias("value_from"), F.get("r", 0)["to"].alias("value_to"))
+    r = li.select("l_orderkey", "l_linenumber", L.clause(F.concat(of, said)).alias("c")).select("l_orderkey", "l_linenumber", "c.penalty", F.get("c.ranges", 0).alias("r"))
+    return r.select("l_orderkey", "l_linenumber", "penalty.*", F.col("r.from").alias("value_from"), F.col("r.to").alias("value_to"))
 
 
 @query(
