@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from caseloom.functions.text import let
+
 # Unit words and what they multiply by; names of the currency; the least amount.
 UNITS = {"nghìn": 1_000, "ngàn": 1_000, "triệu": 1_000_000, "tỷ": 1_000_000_000, "tỉ": 1_000_000_000}
 CURRENCY = ("đồng", "vnđ", "vnd", "đ")
@@ -60,7 +62,7 @@ def amounts(text: Column) -> Column:
         in_full = F.when(all_threes(F.split(token, "[.,]")), F.regexp_replace(token, "[.,]", "").try_cast("decimal(30,2)"))
         return F.when(token.rlike(r"^\d"), F.when(follows.isin(*UNITS), by_unit).when(follows.isin(*CURRENCY), in_full))
 
-    return F.filter(F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), value), lambda x: x >= LEAST_AMOUNT)
+    return let(tokens, lambda ts: F.filter(F.zip_with(ts, F.slice(ts, 2, F.size(ts)), value), lambda x: x >= LEAST_AMOUNT))
 
 
 def dates(text: Column) -> Column:

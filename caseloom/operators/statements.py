@@ -17,8 +17,10 @@ def differing_sums(answers: DataFrame, case: str = "case_id", at: str = "n", tex
     rising order, each once. A sentence (up to a full stop, semicolon or line end) counts for each verb in it. A sum is counted once
     per case and verb before it is gathered."""
     s = answers.select(case, at, F.explode(F.split(text, r"[.;\n](?!\d)")).alias("s"))
-    verbs = F.filter(F.array(*map(F.lit, VERBS)), lambda v: F.rlike(F.col("s"), F.concat(F.lit(r"(?iu)(^|\s)"), v, F.lit(r"(\s|$)"))))
-    said = s.select(case, at, F.explode(verbs).alias("verb"), "s").select(case, at, "verb", F.explode(X.amounts(F.col("s"))).alias("sum"))
+    # One pattern for each verb, as a literal: a pattern that comes from a column is compiled again for every verb of every sentence.
+    verbs = F.array_compact(F.array(*[F.when(F.col("s").rlike(rf"(?iu)(^|\s){v}(\s|$)"), F.lit(v)) for v in VERBS]))
+    any_verb = F.col("s").rlike(rf"(?iu)(^|\s)({'|'.join(VERBS)})(\s|$)")
+    said = s.where(any_verb).select(case, at, F.explode(verbs).alias("verb"), "s").select(case, at, "verb", F.explode(X.amounts(F.col("s"))).alias("sum"))
     once = said.groupBy(case, "verb", "sum").agg(F.min(at).alias("at"))
     by = once.groupBy(case, "verb").agg(F.count(F.lit(1)).alias("n_sums"), F.array_sort(F.collect_list("sum")).alias("sums"), F.min("at").alias("first_at"))
     return by.where("n_sums > 1")
@@ -28,15 +30,16 @@ def late_denials(answers: DataFrame, record: str = "record_id", at: str = "n") -
     """answers: (record, n, question, answer). (record, n, admitted_at): answers that deny, and the first earlier answer of the same record
     that admits, without a negation, and holds one of the first words of the denial's question (longer ones, in any case).
 
-    A word that an answer holds begins with some four letters of it, so denials and answers meet by (record, four letters), and what
-    meets is tested; an answer is dealt once for each four letters that it has, and two answers of a record that share none never meet."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - KEY_LETTERS + 1, F.lit(1))), lambda k: F.substring(c, k, F.lit(KEY_LETTERS))))
-    low = F.lower("answer")
+    A word has no white space, so an answer that holds it holds it inside one of its own words: denials' words and answers' words meet by
+    (record, four letters) and are then tested. Of each word the first answer that admits it is kept, so many denials and many
+    answers of a record meet at its words, not in pairs."""
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - KEY_LETTERS + 1), lambda k: F.substring(c, k, F.lit(KEY_LETTERS))))
+    long = lambda ws: F.array_distinct(F.filter(ws, lambda w: F.length(w) >= KEY_LETTERS))
     words = F.slice(F.filter(F.split("question", r"\s+"), lambda w: F.length(w) >= KEY_LETTERS), 1, KEY_WORDS)
     denied = answers.where(F.col("answer").rlike(DENIES)).select(F.col(record), F.col(at).alias("__d"), F.explode(F.array_distinct(F.transform(words, F.lower))).alias("__w"))
-    denied = denied.withColumn("__g", F.substring("__w", 1, KEY_LETTERS))
-    admitted = answers.where(F.col("answer").rlike(ADMITS) & ~F.col("answer").rlike(NEGATES)).select(F.col(record), F.col(at).alias("__a"), low.alias("__t"))
-    admitted = admitted.withColumn("__g", F.explode(grams(F.col("__t"))))
-    wanted = denied.select(record, "__g").distinct()
-    met = denied.join(admitted.join(wanted, [record, "__g"], "left_semi"), [record, "__g"]).where((F.col("__a") < F.col("__d")) & F.col("__t").contains(F.col("__w")))
-    return met.groupBy(record, F.col("__d").alias(at)).agg(F.min("__a").alias("admitted_at"))
+    asked = denied.groupBy(record, F.substring("__w", 1, KEY_LETTERS).alias("__g")).agg(F.collect_set("__w").alias("__ws"))
+    admitted = answers.where(F.col("answer").rlike(ADMITS) & ~F.col("answer").rlike(NEGATES)).select(F.col(record), F.col(at).alias("__a"), F.explode(long(F.split(F.lower("answer"), r"\s+"))).alias("__t"))
+    admitted = admitted.select(record, "__a", "__t", F.explode(grams(F.col("__t"))).alias("__g"))
+    held = asked.join(admitted, [record, "__g"]).select(record, "__a", F.explode(F.filter("__ws", lambda w: F.col("__t").contains(w))).alias("__w"))
+    first = held.groupBy(record, "__w").agg(F.min("__a").alias("__a"))
+    return denied.join(first, [record, "__w"]).where(F.col("__a") < F.col("__d")).groupBy(record, F.col("__d").alias(at)).agg(F.min("__a").alias("admitted_at"))
