@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.operators import outline, ranges, rules
+from caseloom.operators import outline, rules
 from caseloom.plans.registry import query
 from caseloom.session import table
 
@@ -80,9 +80,11 @@ def cases(spark, sf_dir) -> DataFrame:
     )
     own = frames.select("article", "clause", "low", "high", "life", "death", F.lit(True).alias("framed"))
     lighter = frames.select("article", (F.col("clause") + 1).alias("clause"), F.col("low").alias("lighter_low"))
-    by_value = frames.where("from_value is not null").select("article", F.col("clause").alias("fits"), "from_value", "to_value")
-    asked = ranges.at_point(c.select("article", "value").distinct(), by_value, "value", "from_value", "to_value", ["article"], closed=False).groupBy("article", "value").agg(F.max("fits").alias("fits"))
-    return c.join(own, ["article", "clause"], "left").join(lighter, ["article", "clause"], "left").join(asked, ["article", "value"], "left")
+    # The frames of an article are a few rows: they go to the cases, and no case moves.
+    by_value = frames.where("from_value is not null").groupBy("article").agg(F.collect_list(F.struct(F.col("clause").alias("fits"), "from_value", "to_value")).alias("__frames"))
+    held = F.filter("__frames", lambda f: (f["from_value"] <= F.col("value")) & (f["to_value"].isNull() | (F.col("value") < f["to_value"])))
+    out = c.join(F.broadcast(own), ["article", "clause"], "left").join(F.broadcast(lighter), ["article", "clause"], "left").join(F.broadcast(by_value), "article", "left")
+    return out.withColumn("fits", F.array_max(F.transform(held, lambda f: f["fits"]))).drop("__frames")
 
 
 #: (rule, level, condition, text). A term of 3 to 240 months; suspension up to 36 with a probation of 12 to 60;
