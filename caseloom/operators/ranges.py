@@ -5,7 +5,8 @@ two aligned bins of that scale. Each side is dealt to its own scale and to the l
 other side has, so two intervals that meet share a bin of the larger of their scales: the one
 where they begin to meet, which finds each pair once. The join is on (columns, scale, bin)
 and then tests the true bounds; no width is presumed, and there is no nested loop. A row is sent
-once or twice for each scale of the other side, of which there are at most 63.
+once or twice for each scale of the other side, of which there are at most 63. Of two sides one of which
+has FEW intervals, that one is sent and the other stays.
 
 Null bounds are open. Dates, timestamps and numbers are binned by whole days, microseconds and units.
 """
@@ -17,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 TOP = 62  # scale of intervals without a bound
+FEW = 10_000  # up to how many intervals go to the other side, which then stays where it is
 
 
 def whole(c: Column, kind: str) -> Column:
@@ -42,9 +44,12 @@ def placed(df: DataFrame, span: tuple[str, str]) -> DataFrame:
     return df.withColumn("__k", F.least(scale, F.lit(TOP)).cast("int"))
 
 
-def scales(df: DataFrame, span: tuple[str, str]) -> list[int]:
-    """The scales that occur: at most 63 numbers. Points have scale 0."""
-    return [0] if span[0] == span[1] else sorted(r[0] for r in df.select("__k").distinct().collect())
+def scales(df: DataFrame, span: tuple[str, str]) -> tuple[list[int], bool]:
+    """The scales that occur, at most 63 numbers, and whether there are FEW rows. Points have scale 0 and aren't counted."""
+    if span[0] == span[1]:
+        return [0], False
+    found = df.groupBy("__k").count().collect()
+    return sorted(r[0] for r in found), sum(r[1] for r in found) <= FEW
 
 
 def dealt(df: DataFrame, others: list[int]) -> DataFrame:
@@ -60,8 +65,14 @@ def overlapping(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tup
     those of b but `on`; apart from `on`, names must differ. how: inner or left_semi."""
     points = a_span[0] == a_span[1]
     ranked_a, ranked_b = placed(a, a_span), placed(b, b_span)
-    in_a, in_b = scales(ranked_a, a_span), scales(ranked_b, b_span)
-    l, r = dealt(ranked_a, in_b).alias("l"), dealt(ranked_b, in_a).alias("r")  # noqa: E741
+    (in_a, few_a), (in_b, few_b) = scales(ranked_a, a_span), scales(ranked_b, b_span)
+    l, r = dealt(ranked_a, in_b), dealt(ranked_b, in_a)  # noqa: E741
+    # Many rows in one wide bin of a few intervals would be one task's.
+    if few_b:
+        r = F.broadcast(r)
+    elif few_a and how == "inner":
+        l = F.broadcast(l)  # noqa: E741
+    l, r = l.alias("l"), r.alias("r")  # noqa: E741
     col = lambda side, c: F.col(f"{side}.{c}")
     same = F.lit(True)
     for c in on:
