@@ -21,28 +21,29 @@ def records(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return exploded(parsed, keys, "__v").select(*keys, F.coalesce("key", F.col("pos").cast("string")).alias("record"), "value")
 
 
-def exploded(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """rows with (pos, key, value) for each member of the VARIANT in `column`; scalars have none."""
+def exploded(rows: DataFrame, keys: Sequence[str], column: str, outer: bool = False) -> DataFrame:
+    """rows with (pos, key, value) for each member of the VARIANT in `column`; scalars have none or, if outer, one of nulls."""
     spark = rows.sparkSession
-    return spark.sql("SELECT r.*, e.pos, e.key, e.value FROM {rows} r, LATERAL variant_explode(r." + column + ") e", rows=rows)
+    return spark.sql("SELECT r.*, e.pos, e.key, e.value FROM {rows} r, LATERAL variant_explode" + "_outer" * outer + "(r." + column + ") e", rows=rows)
 
 
 def leaves(rows: DataFrame, keys: Sequence[str], column: str = "value", deepest: int = 64) -> DataFrame:
     """(keys, path, value, kind): every scalar inside the VARIANT, whatever its depth, with its path in the form that `at_path`
-    takes. One level is taken apart at a time, and only containers go on to the next, so the work is the size of the data and
-    the number of passes its depth; beyond `deepest` levels, or for empty containers, there are no leaves."""
-    level = rows.select(*keys, F.lit("$").alias("path"), F.col(column).alias("__v"))
-    out = None
-    for _ in range(deepest):
-        kind = F.schema_of_variant("__v")
-        inside = kind.rlike("^(OBJECT|ARRAY)")
-        plain = level.where(~inside).select(*keys, "path", F.col("__v").cast("string").alias("value"), F.lower(kind).alias("kind"))
-        out = plain if out is None else out.unionByName(plain)
+    takes. The rows are stored once. A row is then taken apart where it is, level by level: members of a container take its
+    place and scalars stay, so there are as many steps as levels and nothing is stored between them. A look at the stored rows
+    before each step tells whether any container is left; beyond `deepest` levels, or for empty containers, there are no leaves."""
+    stored = materialize(rows.select(*keys, F.col(column).alias("__v")), "leaves")
+    level = stored.select(*keys, F.lit("$").alias("path"), "__v", F.lit(True).alias("__open"))
+    inside = F.schema_of_variant("__v").rlike("^(OBJECT|ARRAY)")
+    for _ in range(deepest - 1):
+        if level.where(F.col("__open") & inside).isEmpty():
+            break
+        out = exploded(level.withColumn("__in", F.when(F.col("__open"), F.col("__v"))), keys, "__in", outer=True)
+        member = F.col("pos").isNotNull()
         step = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit("['"), "key", F.lit("']")))
-        level = materialize(exploded(level.where(inside), keys, "__v").select(*keys, F.concat("path", step).alias("path"), F.col("value").alias("__v")), "leaves")
-        if level.isEmpty():
-            return out
-    return out
+        path = F.when(member, F.concat("path", step)).otherwise(F.col("path"))
+        level = out.select(*keys, path.alias("path"), F.when(member, F.col("value")).otherwise(F.col("__v")).alias("__v"), member.alias("__open"))
+    return level.where(~inside).select(*keys, "path", F.col("__v").cast("string").alias("value"), F.lower(F.schema_of_variant("__v")).alias("kind"))
 
 
 def at_path(value: Column, path: str, kind: str = "string") -> Column:
