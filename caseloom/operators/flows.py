@@ -57,13 +57,8 @@ def balances(edges: DataFrame, withdrawals: DataFrame | None = None) -> DataFram
     return out.withColumns({"balance": F.col("total_in") + F.col("withdrawn") - F.col("total_out"), "role": role}).drop("__pays", "__gets", "__draws")
 
 
-def gaps(edges: DataFrame, withdrawals: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
-    """(party, gap, amount): what the flow leaves open. By known sums, whatever the party's role:
-    unspent: known to have come in (received or withdrawn) and not seen to go out, of a party that pays out a known
-    amount, or that withdrew and pays nothing; no source: more paid out than is known to have come in;
-    unknown: how many flows of the party have no amount. If edges have `confirmed`, one row without a party
-    counts those that not both sides confirm (one-sided)."""
-    b = balances(edges, withdrawals)
+def open_gaps(tolerance: float) -> Column:
+    """array<struct<gap, amount>> of a row of `balances`, as `gaps` names them."""
     got = F.col("total_in") + F.col("withdrawn")
     pays, left = F.col("total_out") > 0, F.col("balance")
     unspent = F.when(pays & (left > tolerance) & (got > 0), left).when(~pays & (F.col("withdrawn") > tolerance), F.col("withdrawn"))
@@ -73,23 +68,54 @@ def gaps(edges: DataFrame, withdrawals: DataFrame | None = None, tolerance: floa
         F.when(pays & (left < -tolerance), gap("no source", -left)),
         F.when(F.col("unknown") > 0, gap("unknown", F.col("unknown"))),
     )
-    out = b.select("party", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("g")).select("party", "g.*")
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def gaps(edges: DataFrame, withdrawals: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
+    """(party, gap, amount): what the flow leaves open. By known sums, whatever the party's role:
+    unspent: known to have come in (received or withdrawn) and not seen to go out, of a party that pays out a known
+    amount, or that withdrew and pays nothing; no source: more paid out than is known to have come in;
+    unknown: how many flows of the party have no amount. If edges have `confirmed`, one row without a party
+    counts those that not both sides confirm (one-sided)."""
+    out = balances(edges, withdrawals).select("party", F.explode(open_gaps(tolerance)).alias("g")).select("party", "g.*")
     if "confirmed" in edges.columns:
         one = edges.agg(F.count_if(F.col("confirmed") != "both").cast("double").alias("amount")).where("amount > 0")
-        out = out.unionByName(one.select(F.lit(None).cast(b.schema["party"].dataType).alias("party"), F.lit("one-sided").alias("gap"), "amount"))
+        out = out.unionByName(one.select(F.lit(None).cast(out.schema["party"].dataType).alias("party"), F.lit("one-sided").alias("gap"), "amount"))
     return out
 
 
 def profiles(edges: DataFrame, withdrawals: DataFrame | None = None, most: int = 3) -> DataFrame:
     """Per party: its balance, its `most` largest counterparts (by flows, then name), the first day and its gaps. Counterparts
-    are counted before they are ranked, so a party with many flows is one row per counterpart."""
+    are counted before they are ranked, so a party with many flows is one row per counterpart. The flows move once: sums
+    of both sides are kept by (party, counterpart), and all that is said of a party comes from these rows."""
     from pyspark.sql import Window
 
-    both = edges.select(F.col("src").alias("party"), F.col("dst").alias("other"), "n", "first_at").unionByName(edges.select(F.col("dst").alias("party"), F.col("src").alias("other"), "n", "first_at"))
-    by = both.groupBy("party", "other").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
+    known, lost = F.coalesce(F.col("amount"), F.lit(0)), F.col("amount").isNull().cast("int")
+    side = lambda party, other, what: F.struct(F.col(party).alias("party"), F.col(other).alias("other"), F.lit(what).alias("what"))
+    both = edges.select(F.explode(F.array(side("src", "dst", "pays"), side("dst", "src", "gets"))).alias("s"), known.alias("a"), lost.alias("u"), "n", "first_at").select("s.*", "a", "u", "n", "first_at")
+    of = lambda what, c: F.sum(F.when(F.col("what") == what, F.col(c)).otherwise(0))
+    by = both.groupBy("party", "other").agg(
+        of("gets", "a").alias("i"), of("pays", "a").alias("o"), F.sum("u").alias("u"), F.count_if(F.col("what") == "gets").alias("gets"),
+        F.count_if(F.col("what") == "pays").alias("pays"), F.sum("n").alias("n"), F.min("first_at").alias("first_at"),
+    )
     place = F.row_number().over(Window.partitionBy("party").orderBy(F.desc("n"), "other"))
-    near = by.withColumn("__k", place).where(F.col("__k") <= most).groupBy("party").agg(F.array_sort(F.collect_list(F.struct("__k", "other"))).alias("__o"))
-    first = by.groupBy("party").agg(F.count(F.lit(1)).alias("n_others"), F.min("first_at").alias("first_at"))
-    open_ = gaps(edges, withdrawals).where("party is not null").groupBy("party").agg(F.array_join(F.array_sort(F.collect_set("gap")), ",").alias("gaps"))
-    out = balances(edges, withdrawals).join(near, "party", "left").join(first, "party", "left").join(open_, "party", "left")
-    return out.select("party", "role", "total_in", "total_out", "withdrawn", "balance", "n_in", "n_out", "n_others", "first_at", F.transform("__o", lambda x: x["other"]).alias("others"), F.coalesce("gaps", F.lit("")).alias("gaps"))
+    near = F.array_sort(F.collect_list(F.when(F.col("__k") <= most, F.struct("__k", "other"))))
+    flow = by.withColumn("__k", place).groupBy("party").agg(
+        *[F.sum(c).alias(c) for c in ("i", "o", "u", "gets", "pays")], F.count(F.lit(1)).alias("n_others"), F.min("first_at").alias("first_at"), near.alias("__o")
+    )
+    drawn = (withdrawals if withdrawals is not None else edges.select(F.col("src").alias("party"), "amount").where("false")).groupBy("party").agg(F.sum(F.coalesce("amount", F.lit(0))).alias("w"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    role = F.when((F.col("n_out") > 0) & (F.col("n_in") > 0), "middle").when((F.col("n_out") > 0) | F.col("w").isNotNull(), "source").otherwise("end")
+    out = flow.withColumn("p", F.col("party")).join(drawn.withColumnRenamed("party", "q"), F.col("p").eqNullSafe(F.col("q")), "full")
+    out = out.select(
+        F.coalesce("p", "q").alias("party"), zero("i").alias("total_in"), zero("o").alias("total_out"), zero("w").alias("withdrawn"), zero("u").alias("unknown"),
+        zero("gets").alias("n_in"), zero("pays").alias("n_out"), "w", "n_others", "first_at", "__o",
+    )
+    out = out.withColumns({"balance": F.col("total_in") + F.col("withdrawn") - F.col("total_out"), "role": role})
+    # Nothing but its sums is said of a party without a name.
+    own = lambda c, other=None: F.when(F.col("party").isNotNull(), c).otherwise(other)
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(open_gaps(0.0), lambda g: g["gap"]))), ",")
+    return out.select(
+        "party", "role", "total_in", "total_out", "withdrawn", "balance", "n_in", "n_out", own(F.col("n_others")).alias("n_others"), own(F.col("first_at")).alias("first_at"),
+        own(F.transform("__o", lambda x: x["other"])).alias("others"), own(names, F.lit("")).alias("gaps"),
+    )
