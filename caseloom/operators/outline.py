@@ -4,12 +4,14 @@ A line's place is carried down from the headings above it. What looks sequential
 only if its number is above all before it, and headings that don't count never raise that maximum, so a running
 maximum decides; a heading's name may go on in lines of capitals, and a line goes on so if the last line before it that isn't
 such a line is a heading. All windows run from the first line to the current one, which Spark does in one
-pass over a text's sorted lines without holding them."""
+pass over a text's sorted lines without holding them. Texts are dealt out once, in partitions that grow with the scan."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caseloom.session import dealt
+
 # Forms of headings.
 PART = r"^(?:Phần|PHẦN)\s+(?:thứ\s+|THỨ\s+)?(\p{L}+|\d+)[.:]?\s*(.*)$"
 CHAPTER = r"^(?:Chương|CHƯƠNG)\s+([IVXLC]+|\d+)[.:]?\s*(.*)$"
@@ -40,6 +42,7 @@ def outlined(lines: DataFrame, most: int = 426) -> DataFrame:
     the nearest above, forgotten where a wider one begins; so with clause and point under an article. An
     article's number is null outside. Headings whose number doesn't rise, is above `most`, or reads on as
     a sentence, are body."""
+    lines = dealt(lines, lines, "doc_id")
     t = F.btrim(F.col("line"), F.lit(" \t\u000b\u000c"))
     up = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     above = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
