@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-from caseloom.functions.text import let
+from caseloom.functions.text import counts, let
 
 # Tones in their order (level, huyền, sắc, hỏi, ngã, nặng) and the vowels that carry them.
 TONES = ("", "̀", "́", "̉", "̃", "̣")
@@ -72,7 +72,9 @@ def rhyme(base: Column) -> Column:
 def parsed(word: Column) -> Column:
     """struct<base, digits, start, r>: the toneless word, its tones, its initial and its rhyme."""
     whole = lambda b: F.struct(b["base"].alias("base"), b["digits"].alias("digits"), initial(b["base"]).alias("start"), rhyme(b["base"]).alias("r"))
-    return let(F.struct(toneless(word).alias("base"), tone_digits(word).alias("digits")), whole)
+    # Plain letters have no tone to part.
+    plain = F.when(F.lower(word).rlike("^[a-z]*$"), F.struct(F.lower(word).alias("base"), F.lit("").alias("digits")))
+    return let(plain.otherwise(F.struct(toneless(word).alias("base"), tone_digits(word).alias("digits"))), whole)
 
 
 def problem(word: Column) -> Column:
@@ -103,10 +105,13 @@ def fault(p: Column) -> Column:
 
 
 def valid_share(text: Column, longest: int = 7) -> Column:
-    """The share of syllables among words of at most `longest` letters; 0 without words."""
+    """The share of syllables among words of at most `longest` letters; 0 without words. Each word of a text is parsed once, however
+    often it occurs there."""
     words = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}]+)"), F.lit(1)), lambda w: F.length(w) <= longest)
-    good = F.size(F.filter(words, lambda w: problem(w).isNull()))
-    return F.when(F.size(words) > 0, good / F.size(words)).otherwise(0.0)
+    total = lambda cs, n: F.aggregate(cs, F.lit(0), lambda a, c: a + n(c))
+    good = lambda c: F.when(problem(c["value"]).isNull(), c["n"]).otherwise(0)
+    share = lambda cs: F.when(F.size(cs) > 0, total(cs, good) / total(cs, lambda c: c["n"])).otherwise(0.0)
+    return let(counts(words), share)
 
 
 def tone_place(base: Column) -> Column:
