@@ -45,7 +45,7 @@ def resolved_people(names: DataFrame, group: str = "case_id") -> DataFrame:
     status: clear, ambiguous (several people) or partial (one word only, and no longer name). A name
     without letters has no row."""
     key = T.match_key(F.col("name"))
-    n = names.select(F.col(group), key.alias("key"), F.trim("name").alias("name"), F.coalesce("known", F.lit(False)).alias("known")).where(F.col("key").rlike(r"\p{L}"))
+    n = names.select(F.col(group), key.alias("key"), F.trim("name").alias("name"), F.coalesce("known", F.lit(False)).alias("known")).where(F.lower("name").rlike(r"\p{L}"))
     one = n.groupBy(group, "key").agg(F.count(F.lit(1)).alias("mentions"), F.min("name").alias("name"), F.bool_or("known").alias("known"))
     ends = one.select(group, F.col("key").alias("full"), F.explode(suffixes(F.col("key"))).alias("key"))
     people = one.select(group, "key").join(ends.select(group, "key").distinct(), [group, "key"], "left_anti").withColumnRenamed("key", "full")
@@ -63,6 +63,5 @@ def aliases(resolved: DataFrame, group: str = "case_id") -> DataFrame:
     clear = resolved.where("status = 'clear'")
     ws = F.split("person", " ")
     tail = F.array_join(F.slice(ws, -2, 2), " ")
-    own = clear.select(group, "person", F.explode(F.array(F.col("key"), F.col("person"), tail, F.element_at(ws, -1))).alias("alias")).distinct()
-    shared = own.groupBy(group, "alias").agg(F.count(F.lit(1)).alias("n"), F.min("person").alias("person")).where("n = 1")
-    return shared.select(group, "person", "alias")
+    own = clear.select(group, "person", F.explode(F.array(F.col("key"), F.col("person"), tail, F.element_at(ws, -1))).alias("alias"))
+    return own.groupBy(group, "alias").agg(F.min("person").alias("person"), F.max("person").alias("__last")).where("person = __last").select(group, "person", "alias")
