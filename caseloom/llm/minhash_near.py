@@ -29,8 +29,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.llm.linking import Rule, candidates, linked_groups, sized
-from caseloom.session import discard, materialize
+from caseloom.llm.linking import Rule, candidates, half, linked_groups, sized
+from caseloom.session import discard, materialize, tidy
 
 CHUNKS, WIDTH, ERRORS, BITS = 13, 6, 1, 16
 WORDS, PERCENT = 2, 80
@@ -42,6 +42,10 @@ _XOR = _rng.integers(0, 1 << 63, CHUNKS * WIDTH, dtype="u8")
 _memory: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    _memory.clear()
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -91,7 +95,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     rows.append((doc, len(s), *fingerprint(s), sig if len(s) else None))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(tidy(run, forget), "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
 
 
 def chunk_keys(sig: Column) -> Column:
@@ -119,7 +123,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
                 yield pd.DataFrame(rows, columns=["id", "s"])
 
     wanted = docs.select("doc_id", "text").join(sized(ids).withColumnRenamed("id", "doc_id"), "doc_id")
-    return wanted.select("doc_id", "text", "f1", "f2").mapInPandas(run, "id long, s array<long>")
+    return wanted.select("doc_id", "text", "f1", "f2").mapInPandas(tidy(run, forget), "id long, s array<long>")
 
 
 #: A link: MORE * (size of the difference of both sets) <= LESS * (sum of their sizes).
@@ -176,7 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def differences(pairs: DataFrame) -> DataFrame:
         both, sets = with_sets(pairs.select(F.col("ref").alias("a"), F.col("id").alias("b")))
-        diff = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))
+        diff = half(F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")))  # equal ones stay apart: the size is exact
         both = both.select(F.col("a").alias("ref"), F.col("b").alias("id"), F.size("sb").alias("n"), F.size("sa").alias("nr"), diff.alias("diff"))
         sums, d = F.col("n") + F.col("nr"), F.size("diff")
         out = materialize(both.withColumn("score", F.when(MORE * d <= LESS * sums, (sums - d) / (sums + d))), "minhash-differences")
