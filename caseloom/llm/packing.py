@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caseloom.llm import pretokens
-from caseloom.session import materialize
+from caseloom.session import materialize, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -39,6 +39,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _memory: dict[str, bytes] = {}
 
 
+def forget() -> None:
+    _memory.clear()
+
+
 def encode(text: str | None) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers, special tokens not added."""
     if not text:
@@ -85,7 +89,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
                         rows.append((doc, k, start, len(ids) // 4, zlib.crc32(ids), *[ids] * with_ids))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInPandas(tidy(run, forget), PIECES + ", ids binary" * with_ids)
 
 
 def fullest(room: int, counts: dict[int, int], slack: int = 0) -> list[int]:

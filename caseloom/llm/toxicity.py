@@ -35,11 +35,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.functions import PandasUDFType
 
 from caseloom.llm import minhash_near
-from caseloom.session import materialize
+from caseloom.session import materialize, tidy
 
 FIT_ROWS = 12_000  # most labelled documents that the model is fitted on
 MIN_Z, MOST_FEATURES = 2.0, 2000
@@ -158,7 +160,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     least = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(least), "doc_id")  # at most fit_rows pairs of numbers
     once = picked.select(F.xxhash64("doc_id", "text").alias("row"), F.col("__grade").alias("grade"), "text").dropDuplicates(["row"])
-    return once.mapInPandas(run, "row long, grade int, sig array<int>, feats array<string>")
+    return once.mapInPandas(tidy(run), "row long, grade int, sig array<int>, feats array<string>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_z: float = MIN_Z, most: int = MOST_FEATURES) -> OrdinalModel:
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_z: flo
     n, n_pos = len(rows), sum(g > 0 for g, _, _ in rows)
     if not 0 < n_pos < n:
         return OrdinalModel()
-    kept = docs.sparkSession.createDataFrame([(r,) for _, r, _ in rows], "row long")
+    kept = docs.sparkSession.createDataFrame(pa.table({"row": pa.array([r for _, r, _ in rows], pa.int64())}))  # an Arrow table needs no Python workers of its own
     used = stored.select("row", "grade", "feats").join(F.broadcast(kept), "row")  # at most fit_rows numbers
     counts = used.select((F.col("grade") > 0).cast("int").alias("pos"), F.explode("feats").alias("f")).groupBy("f").agg(F.sum("pos").alias("c"), F.count(F.lit(1)).alias("m"))
     counts = materialize(counts.where("c > 0"), "toxicity-features")
@@ -192,12 +194,12 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs with a struct __tox: severity (expected grade, six places) and grade."""
     kind = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType())])
 
-    @F.pandas_udf(kind)
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        got = [model.severity(t) for t in texts]
-        return pd.DataFrame({"severity": [round(s, 6) for s, _ in got], "grade": [g for _, g in got]})
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            got = [model.severity(t) for t in texts]
+            yield pd.DataFrame({"severity": [round(s, 6) for s, _ in got], "grade": [g for _, g in got]})
 
-    return docs.withColumn("__tox", judge("text"))
+    return docs.withColumn("__tox", F.pandas_udf(tidy(judge), kind, PandasUDFType.SCALAR_ITER)("text"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import collections
 import random
 
-from caseloom.llm import pretokens
+from caseloom.llm import minhash_near, packing, pretokens
 from tests.llm.test_groups import shingled, tops
 from tests.llm.test_lines import brute, word
 
@@ -82,3 +82,22 @@ def test_pipeline(spark, tmp_path):
     copies = collections.Counter(k for k, _ in four.elements())
     assert sizes == {k: n * copies[k] for k, n in want.items()}
     assert all(sum(n for _, n in b) <= 1024 and sorted(b)[0][0] == 0 for b in bins.values())
+
+
+def test_workers_remember_nothing_between_tasks(spark):
+    """Workers outlive a task: words that one remembers are memory that the steps after it lack."""
+    docs = spark.createDataFrame([(i, f"some words alone {i} and more of them {i + 7}") for i in range(40)], "doc_id long, text string")
+
+    def held(batches):
+        import sys
+
+        import pandas as pd
+
+        for b in batches:
+            own = [len(m._memory) for n in ("packing", "minhash_near") if (m := sys.modules.get(f"caseloom.llm.{n}"))]
+            yield pd.DataFrame({"n": [sum(own)] * len(b)})
+
+    assert packing.tokenize(docs).count() == 40 and minhash_near.profiles(docs).where("n_shingles > 0").count() == 40
+    packing.tokenize(docs).write.format("noop").mode("overwrite").save()
+    minhash_near.profiles(docs).write.format("noop").mode("overwrite").save()
+    assert {r.n for r in docs.select("doc_id").mapInPandas(held, "n long").collect()} == {0}
