@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions import text as T
-from caseloom.session import materialize
+from caseloom.session import dealt, materialize
 
 # Least similarity of a question and an asked line, of one issue and of two; an answer as
 # short as this that hedges is vague.
 SAME_ISSUE, OTHER_ISSUE, SHORT_ANSWER = 0.55, 0.70, 160
 SENT = 200_000  # rows of a side that is broadcast
+BLOCK = 1024  # ids of one text that are handled at once, or so
 
 
 def word_set(text: Column) -> Column:
@@ -61,6 +62,31 @@ def matched_texts(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return equal.unionByName(near.join(named(l, "a"), "a_id").join(named(r, "b"), "b_id").select("a_key", "b_key", "score"))
 
 
+def alike(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(a, b, score): all pairs of rows (id, keys, f; f a folded text) with equal keys and a < b whose texts have an edit
+    similarity of at least `least`. Rows of one text meet others in blocks of their ids, so the texts of two blocks are compared
+    once for all of their pairs. Pairs of blocks that are near are dealt out before they become pairs of ids: there may be
+    as many as the square of a text's rows, in tasks that hold two blocks at a time."""
+    own = [*keys, "f"]
+    counted = rows.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__n"))
+    parts = rows.join(counted, own).withColumn("block", F.pmod(F.xxhash64("id"), F.col("__n"))).groupBy(*own, "block").agg(F.collect_list("id").alias("ids"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    equal = x("f") == y("f")
+    fit = F.least(F.length(x("f")), F.length(y("f"))) >= least * F.greatest(F.length(x("f")), F.length(y("f")))
+    on = (x("f") < y("f")) & fit | equal & (x("block") <= y("block"))
+    for k in keys:
+        on = on & (x(k) == y(k))
+    score = F.when(equal, F.lit(1.0)).otherwise(T.edit_similarity(x("f"), y("f")))
+    met = parts.alias("x").join(parts.alias("y"), on).select(
+        x("f").alias("f"), y("f").alias("g"), x("block").alias("m"), y("block").alias("n"), *[x(k).alias(k) for k in keys], x("ids").alias("xs"), y("ids").alias("ys"), score.alias("score")
+    )
+    near = dealt(met.where(F.col("score") >= least), rows, *keys, "f", "g", "m", "n")
+    once = F.col("one") & (F.col("i") < F.col("j")) | ~F.col("one") & (F.col("i") != F.col("j"))  # a block beside itself has each pair twice
+    pairs = near.select(((F.col("f") == F.col("g")) & (F.col("m") == F.col("n"))).alias("one"), F.explode("xs").alias("i"), "ys", "score")
+    pairs = pairs.select("one", "i", F.explode("ys").alias("j"), "score").where(once)
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "score")
+
+
 def answer_quality(answer: Column, vague: str) -> Column:
     """empty, vague (short, and matching the pattern) or ok."""
     a = F.trim(F.coalesce(answer, F.lit("")))
