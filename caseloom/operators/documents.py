@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions import text as T
+from caseloom.session import materialize
 
 # Weight of a word pair; weights of a summary's first, last and short sentences, words of a short one, share of sentences.
 PAIR_WEIGHT, FIRST, LAST, SHORT, SHORT_WORDS, SHARE = 1.6, 1.35, 1.1, 0.5, 5, 0.3
+SENT = 200_000  # ids that are broadcast
 
 def split_statements(docs: DataFrame, heading: str) -> DataFrame:
     """(doc_id, part, speaker, role, text): the text under each heading line, as one row.
@@ -59,16 +61,60 @@ def summary_sentences(docs: DataFrame, ratio: float = SHARE) -> DataFrame:
     """(doc_id, pos, score, sentence): the ceil(n * ratio) best sentences of each document.
     score: the sum over a sentence's terms of df / largest df (sentences of the document that
     hold the term), over the root of its length in terms; 1.35 times for the first sentence,
-    1.1 for the last, 0.5 for those under 5 words."""
+    1.1 for the last, 0.5 for those under 5 words. Texts are scored in their rows; only ids are shuffled, to find those
+    that several rows have: the sentences of these are added up across rows, where their terms meet."""
+    in_rows = lambda rows: rows.select("doc_id", F.explode(best_sentences(T.sentences(F.col("text")), ratio)).alias("b")).select("doc_id", "b.*")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    many = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id"), "repeated-ids")
+    n = many.count()
+    if not n:
+        return in_rows(docs)
+    several = F.broadcast(many) if n <= SENT else many
+    return in_rows(docs.join(several, "doc_id", "left_anti")).unionByName(summary_of_rows(docs.join(several, "doc_id"), ratio))
+
+
+def best_sentences(all_: Column, ratio: float) -> Column:
+    """array<struct<pos, score, sentence>>: see summary_sentences. Terms are sorted, so that equal ones are neighbours, and then
+    brought back into the order of the text: nothing is looked up, and work grows with the terms."""
+    starts = lambda xs, f: F.filter(F.transform(xs, lambda _, i: i), lambda i: (i == 0) | (f(F.get(xs, i)) != f(F.get(xs, i - 1))))
+    runs = lambda xs, f, g: T.let(starts(xs, f), lambda at: F.transform(at, lambda i, r: g(F.slice(xs, i + 1, F.coalesce(F.get(at, r + 1), F.size(xs)) - i), r)))
+
+    def weighed(terms: Column) -> Column:
+        """array<struct<pos, k, w>> in the order of the text."""
+        placed = F.sort_array(F.flatten(F.transform(terms, lambda ts, i: F.transform(ts, lambda t, k: F.struct(t.alias("t"), i.alias("pos"), k.alias("k"))))))
+        df = T.counts(F.flatten(F.transform(terms, lambda ts: F.array_distinct(ts))))  # of the terms in the order of `placed`
+        own = lambda xs, ns, top: runs(xs, lambda x: x["t"], lambda run, r: F.transform(run, lambda x: F.struct(x["pos"].alias("pos"), x["k"].alias("k"), (F.get(ns, r)["n"] / top).alias("w"))))
+        return F.sort_array(F.flatten(T.let(placed, lambda xs: T.let(df, lambda ns: T.let(F.array_max(F.transform(ns, lambda c: c["n"])), lambda top: own(xs, ns, top))))))
+
+    def scored(xs: Column) -> Column:
+        """Sentences with their terms, the best first."""
+        # added in the sentence's order: sums of doubles in any other may fall on the other side of a half
+        total = lambda run: F.aggregate(run, F.lit(0.0), lambda a, x: a + x["w"]) / F.sqrt(F.size(run))
+        return T.let(xs, lambda ws: runs(ws, lambda x: x["pos"], lambda run, _: F.struct(F.get(run, 0)["pos"].alias("pos"), total(run).alias("total"))))
+
+    def chosen(ss: Column) -> Column:
+        n = F.size(ss)
+        score = lambda x: F.round(x["total"] * position_factor(x["pos"], n, F.get(ss, x["pos"])), 6)
+        ranked = F.sort_array(F.transform(scored(weighed(F.transform(ss, lambda s: T.tokens(s)))), lambda x: F.struct((-score(x)).alias("down"), x["pos"].alias("pos"))))
+        return F.transform(F.slice(ranked, 1, F.ceil(n * F.lit(ratio)).cast("int")), lambda x: F.struct(x["pos"].alias("pos"), (-x["down"]).alias("score"), F.get(ss, x["pos"]).alias("sentence")))
+
+    return T.let(all_, chosen)
+
+
+def position_factor(pos: Column, n: Column, sentence: Column) -> Column:
+    return F.when(pos == 0, FIRST).when(pos == n - 1, LAST).otherwise(1.0) * F.when(F.size(T.words(sentence)) < SHORT_WORDS, SHORT).otherwise(1.0)
+
+
+def summary_of_rows(docs: DataFrame, ratio: float) -> DataFrame:
+    """summary_sentences of documents of several rows: sentences of one place have the sum of their terms."""
     s = docs.select("doc_id", T.sentences(F.col("text")).alias("all")).select("doc_id", F.size("all").alias("n"), F.posexplode("all").alias("pos", "sentence"))
     s = s.withColumn("terms", T.tokens(F.col("sentence")))
     df = s.select("doc_id", F.explode(F.array_distinct("terms")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
     top = F.max("df").over(Window.partitionBy("doc_id"))
     weight = df.select("doc_id", "term", (F.col("df") / top).alias("w"))
     terms = s.select("doc_id", "pos", F.posexplode("terms").alias("k", "term")).join(weight, ["doc_id", "term"])
-    # added in the sentence's order: sums of doubles in any other may fall on the other side of a half
     summed = terms.groupBy("doc_id", "pos").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("k", "w"))), F.lit(0.0), lambda a, x: a + x["w"]).alias("sum"))
-    factor = F.when(F.col("pos") == 0, FIRST).when(F.col("pos") == F.col("n") - 1, LAST).otherwise(1.0) * F.when(F.size(T.words(F.col("sentence"))) < SHORT_WORDS, SHORT).otherwise(1.0)
+    factor = position_factor(F.col("pos"), F.col("n"), F.col("sentence"))
     scored = s.join(summed, ["doc_id", "pos"]).withColumn("score", F.round(F.col("sum") / F.sqrt(F.size("terms")) * factor, 6))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.ceil(F.col("n") * ratio)).select("doc_id", "pos", "score", "sentence")
